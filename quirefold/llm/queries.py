@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, rank_fusion, splitting, tokenize
+from quirefold.llm import leakage, neighbours, rank_fusion, shared_spans, splitting, tokenize
 from quirefold.llm.common import held_state
-from quirefold.tables import load
+from quirefold.tables import latest, load
 
 LIMITS = {"page": ("textFused", "fusionAt", 1500), "chunk": ("text", "chunkingAt", 500)}
 OVERLAP = 50
@@ -31,6 +31,14 @@ def _held(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = []
+    for kind, table, key, order in (("chunk", "chunk", "id", "chunkingAt"), ("community", "community_result", "community_id", None)):
+        lists = neighbours.neighbours(load(spark, d, table), key, "embedding", order, 10, 0.92)
+        parts.append(neighbours.mutual(lists, key).select(F.lit(kind).alias("kind"), "id_a", "id_b"))
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["kind", "item_id", "print"]
     texts = _texts(spark, d).withColumn("print", F.xxhash64("text"))
@@ -58,6 +66,21 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("query_id", "chunk_id", F.round("rho", 9).alias("rho"), F.col("place").cast("bigint").alias("place"))
 
 
+def _records(spark: SparkSession, d: str) -> list[DataFrame]:
+    chunks = latest(load(spark, d, "chunk"), "id", "chunkingAt", ["chunkingAt", "text"]).select(F.col("id").alias("rec"), "text")
+    return [chunks, load(spark, d, "linking_gold").where("pair_id is not null").select(F.col("pair_id").alias("rec"), F.col("gold_span").alias("text"))]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.record_pairs(*shared_spans.shared(_records(spark, d)))
+
+
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    batches = _records(spark, d)
+    links, members = shared_spans.shared(batches)
+    return shared_spans.coverage(links, members, batches[0].unionByName(batches[1]).distinct())
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(load(spark, d, "documents"), "doc_id", "text", f"{tokenize.FOLDER}/byte_bpe_50k.tiktoken")
 
@@ -68,7 +91,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_ranking, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p5_found, p5_ranking, p6_found, p6_coverage, p8_ids, p9_found)}
 
 
 _PLACES = """
@@ -86,7 +109,24 @@ def oracle_sql() -> dict[str, str]:
     strip = r"'^[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$'"
     mark = r"'[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?;:,。！？；：，、｡．…]'"
     state = "SELECT '{t}' AS kind, id, arg_max(coalesce({x}, ''), {at}) AS body, {n} AS most FROM {t} GROUP BY id"
+    good = "len({v}) = 64 AND list_bool_and(list_transform({v}, lambda x: x IS NOT NULL AND CAST(x AS VARCHAR) NOT IN ('nan', '-nan', 'inf', '-inf'))) AND list_bool_or(list_transform({v}, lambda x: x <> 0))"
+    sound = "SELECT '{kind}' AS kind, {key} AS id, CAST(v AS DOUBLE[]) AS v FROM ({rows}) WHERE " + good.format(v="v")
+    chunks = sound.format(kind="chunk", key="id", rows="SELECT id, arg_max(embedding, chunkingAt) AS v FROM chunk WHERE id IS NOT NULL GROUP BY id")
+    communities = sound.format(kind="community", key="community_id", rows="SELECT community_id, any_value(embedding) AS v FROM community_result WHERE community_id IS NOT NULL GROUP BY community_id")
     return {
+        "p1_found": f"""
+WITH v AS ({chunks} UNION ALL {communities}),
+near AS (
+  SELECT a.kind, a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.kind, a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS place
+  FROM v a JOIN v b ON a.kind = b.kind AND a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.92)
+SELECT x.kind, x.a AS id_a, x.b AS id_b FROM near x JOIN near y ON x.kind = y.kind AND x.a = y.b AND x.b = y.a
+WHERE x.a < x.b AND x.place <= 10 AND y.place <= 10""",
+        "p6_found": """
+WITH rec AS (
+  SELECT DISTINCT id AS rec, body FROM (SELECT id, arg_max(coalesce(text, ''), chunkingAt) AS body FROM chunk WHERE id IS NOT NULL GROUP BY id)
+  UNION SELECT DISTINCT pair_id, gold_span FROM linking_gold WHERE pair_id IS NOT NULL),
+grams AS (SELECT DISTINCT rec, substring(body, i, 64) AS g FROM (SELECT rec, body, unnest(range(1, length(body) - 62)) AS i FROM rec WHERE length(body) >= 64))
+SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM grams a JOIN grams b ON a.g = b.g AND a.rec < b.rec""",
         "p2_found": f"""
 WITH held AS ({state.format(t='page', x='textFused', at='fusionAt', n=1500)} UNION ALL {state.format(t='chunk', x='text', at='chunkingAt', n=500)}),
 long AS (SELECT kind, id, most, regexp_replace(body, {strip}, '', 'g') AS body FROM held)
