@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, neighbours, rank_fusion, shared_spans, splitting, tokenize
+from quirefold.llm import leakage, neighbours, page_language, rank_fusion, sentences, shared_spans, splitting, tokenize
 from quirefold.llm.common import held_state
 from quirefold.tables import latest, load
 
@@ -53,6 +53,19 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(texts, keys, "text", "most", OVERLAP).join(held, keys, "left_semi").drop("print")
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    return page_language.page_languages(load(spark, d, "page"), load(spark, d, "document_meta"), LIMITS["page"][2])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_language.label_cases(_languages(spark, d), load(spark, d, "fuse_outcome"))
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    seen = _languages(spark, d).where("language is not null")
+    return seen.select(F.col("id").alias("page_id"), F.col("language").alias("page_language"), F.col("confidence").alias("page_confidence"), F.inline("segments"))
+
+
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     return rank_fusion.fuse(load(spark, d, "search_hit"), LEGS)
 
@@ -81,6 +94,14 @@ def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.coverage(links, members, batches[0].unionByName(batches[1]).distinct())
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    native = load(spark, d, "page").where("mode = 'native'").select(F.lit("page").alias("kind"), F.col("id").alias("item_id"), F.col("fusionAt").alias("at"), F.col("textFused").alias("text"), F.lit(LIMITS["page"][2]).alias("most"))
+    texts = texts.where("kind = 'chunk'").unionByName(native)
+    held = latest(sentences.sentences(texts, ["kind", "item_id", "at"], "text", "most").where("item_id is not null"), ["kind", "item_id"], "at")
+    return sentences.sentence_rows(held, ["kind", "item_id"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(load(spark, d, "documents"), "doc_id", "text", f"{tokenize.FOLDER}/byte_bpe_50k.tiktoken")
 
@@ -91,7 +112,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p5_found, p5_ranking, p6_found, p6_coverage, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_segments, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p8_ids, p9_found)}
 
 
 _PLACES = """
