@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, neighbours, page_language, rank_fusion, sentences, shared_spans, splitting, tokenize
+from quirefold.llm import leakage, neighbours, page_language, rank_fusion, residue, sentences, shared_spans, splitting, tokenize
 from quirefold.llm.common import held_state
+from quirefold.session import cut
 from quirefold.tables import latest, load
 
 LIMITS = {"page": ("textFused", "fusionAt", 1500), "chunk": ("text", "chunkingAt", 500)}
@@ -111,8 +112,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def _mined(spark: SparkSession, d: str) -> DataFrame:
+    return cut(residue.mine(load(spark, d, "documents"), "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    mined = _mined(spark, d)
+    return residue.residue(mined, residue.templates(mined), "doc_id")
+
+
+def p10_templates(spark: SparkSession, d: str) -> DataFrame:
+    return residue.templates(_mined(spark, d)).where("residue").select("leaf", "n", "template")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_segments, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_segments, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p8_ids, p9_found, p10_found, p10_templates)}
 
 
 _PLACES = """
