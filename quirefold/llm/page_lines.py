@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 #: How many lines at the head and at the foot can be furniture.
 EDGE = 2
@@ -41,6 +42,7 @@ def han_number(text: str) -> int:
     return total + digit
 
 
+@lru_cache(maxsize=20_000)
 def numbers(line: str) -> list[int] | None:
     """The numbers of a line that consists of a page number and ornaments, None for any other line."""
     text = unicodedata.normalize("NFKC", line).lower()
@@ -59,6 +61,7 @@ def numbers(line: str) -> list[int] | None:
     return out or None
 
 
+@lru_cache(maxsize=20_000)
 def plain(text: str) -> str:
     """Letters and digits, folded so that an altered line is like its title."""
     folded = unicodedata.normalize("NFKC", text).lower().translate(_LOOKS)
@@ -68,6 +71,7 @@ def plain(text: str) -> str:
 _TAIL = re.compile(r"[\s,，.·]*(?:(?:book|b[o0]{2}k|vol|volume|part|bk)\.?\s*[ivxlcd1!|0-9]+|卷[〇一二三四五六七八九十百\d□■�]+|[ivxlc]+)[\s.]*$", re.I)
 
 
+@lru_cache(maxsize=20_000)
 def header_number(line: str, title: str) -> tuple[bool, list[int]]:
     """Whether a line carries the title (whole, shortened or altered), and the numbers beside it."""
     bare = unicodedata.normalize("NFKC", line).strip()

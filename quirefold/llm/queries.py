@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import leakage, neighbours, page_language, rank_fusion, residue, sentences, shared_spans, splitting, tokenize
+from quirefold.llm import leakage, neighbours, page_language, rank_fusion, residue, scan_repair, sentences, shared_spans, splitting, tokenize
 from quirefold.llm.common import held_state
 from quirefold.session import cut
 from quirefold.tables import latest, load
@@ -67,6 +67,18 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     return seen.select(F.col("id").alias("page_id"), F.col("language").alias("page_language"), F.col("confidence").alias("page_confidence"), F.inline("segments"))
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return scan_repair.scanned(page_language.with_titles(load(spark, d, "page"), load(spark, d, "document_meta")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.defects(*_scanned(spark, d))
+
+
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repaired(*_scanned(spark, d))
+
+
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     return rank_fusion.fuse(load(spark, d, "search_hit"), LEGS)
 
@@ -126,7 +138,7 @@ def p10_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_segments, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p8_ids, p9_found, p10_found, p10_templates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p8_ids, p9_found, p10_found, p10_templates)}
 
 
 _PLACES = """
