@@ -1,4 +1,4 @@
-"""The registry of the engine's own queries and their SQL."""
+"""The engine's own queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,19 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.tables import load
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from quirefold.plans import q_corpus, q_search, q_texts  # noqa: F401
+from quirefold.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "search_hit").groupBy("leg").count()
+    """Hits of all legs fused, the favoured tier raised, spans verified, laid out by ribbon."""
+    return QUERIES["hybrid_search"](spark, sf_dir)
