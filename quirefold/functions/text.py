@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -221,21 +221,28 @@ def ocr_fault(x: Column) -> Column:
     )
 
 
-def language_rule(x: Column) -> Column:
-    """struct<language, rule, confidence> by the scripts of a text; the first rule that holds decides."""
-    c = script_counts(x)
-    letters = c["kunten"] + c["kana"] + c["han"] + c["latin"]
-    part = {k: share(v, letters) for k, v in c.items()}
+def with_language(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``language``, ``rule`` and ``confidence`` by the scripts of a text; the first rule that holds decides.
+
+    The counts are columns of their own first, so that each is taken once.
+    """
+    x = F.col(text)
     simple = count_of(x, "这们为来对说时个国会经书数据员运")
+    counted = df.withColumns({f"_{k}": v for k, v in script_counts(x).items()} | {"_simple": simple})
+    letters = F.col("_kunten") + F.col("_kana") + F.col("_han") + F.col("_latin")
+    part = {k: share(F.col(f"_{k}"), letters) for k in ("kunten", "kana", "han", "latin")}
+    modern = share(F.col("_simple"), F.col("_han"))
     answer = lambda lang, rule, conf: F.struct(F.lit(lang).alias("language"), F.lit(rule).alias("rule"), F.round(conf, 6).alias("confidence"))
-    return (
+    found = (
         F.when(x.isNull() | (F.length(F.trim(x)) == 0), answer("unknown", "empty", F.lit(0.0)))
         .when(letters < 8, answer("unknown", "too_short", F.lit(0.0)))
-        .when(c["kunten"] > 0, answer("kanbun", "reading_marks", F.least(F.lit(1.0), 0.8 + part["kunten"])))
+        .when(F.col("_kunten") > 0, answer("kanbun", "reading_marks", F.least(F.lit(1.0), 0.8 + part["kunten"])))
         .when(part["kana"] >= 0.05, answer("ja", "kana", F.least(F.lit(1.0), 0.6 + part["kana"])))
         .when((part["latin"] >= 0.3) & (part["han"] >= 0.05), answer("mixed", "two_scripts", F.lit(0.6)))
         .when(part["latin"] >= 0.3, answer("en", "latin", part["latin"]))
-        .when(share(simple, c["han"]) >= 0.05, answer("zh-modern", "simplified", F.least(F.lit(1.0), 0.6 + share(simple, c["han"]))))
+        .when(modern >= 0.05, answer("zh-modern", "simplified", F.least(F.lit(1.0), 0.6 + modern)))
         .when(part["han"] >= 0.3, answer("zh-classical", "han", 0.5 + part["han"] / 2))
         .otherwise(answer("unknown", "none", F.lit(0.0)))
     )
+    named = counted.withColumn("_found", found)
+    return named.select(*df.columns, F.col("_found.language").alias("language"), F.col("_found.rule").alias("rule"), F.col("_found.confidence").alias("confidence"))

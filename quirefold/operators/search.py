@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions.vectors import dot, norm
+from quirefold.session import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
@@ -26,13 +27,14 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     (texts, mean length, document frequencies) are aggregates.  A negative
     inverse frequency is raised to EPSILON times the mean over the grams asked for.
     """
+    docs = spread(docs.select(key, text))
     sized = docs.where(F.length(text) >= 3).select(key, F.explode(T.char_grams(F.col(text))).alias("gram"))
     length = F.length(F.regexp_replace(F.col(text), f"[{T.SPACE}]+", ""))
     lengths = docs.where(F.length(text) >= 3).select(key, sum((F.greatest(length - n + 1, F.lit(0)) for n in T.GRAM_SIZES), F.lit(0)).alias("len"))
     total, mean = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
     asked = queries.select(query_key, F.explode(T.char_grams(F.col(query_text))).alias("gram")).groupBy(query_key, "gram").agg(F.count(F.lit(1)).alias("times"))
     wanted = asked.select("gram").distinct()
-    postings = sized.join(small(wanted), "gram").groupBy("gram", key).agg(F.count(F.lit(1)).alias("tf"))
+    postings = cut(sized.join(small(wanted), "gram").groupBy("gram", key).agg(F.count(F.lit(1)).alias("tf")))
     df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     raw = df.select("gram", (F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     negative, average = raw.agg(F.count_if(F.col("idf") < 0), F.avg("idf")).first()

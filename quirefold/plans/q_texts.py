@@ -83,7 +83,7 @@ n AS (SELECT *, ku + ka + ha + la AS n FROM c)
 SELECT id, CASE WHEN t IS NULL OR length(trim(t, ' ')) = 0 THEN 'empty' WHEN n < 8 THEN 'too_short' WHEN ku > 0 THEN 'reading_marks' WHEN ka / n >= 0.05 THEN 'kana' WHEN la / n >= 0.3 AND ha / n >= 0.05 THEN 'two_scripts'
   WHEN la / n >= 0.3 THEN 'latin' WHEN ha > 0 AND si / ha >= 0.05 THEN 'simplified' WHEN ha / n >= 0.3 THEN 'han' ELSE 'none' END AS rule FROM n""")
 def language_rules(spark: SparkSession, d: str) -> DataFrame:
-    return pages_now(spark, d, ["textFused"]).select("id", T.language_rule(F.col("textFused"))["rule"].alias("rule"))
+    return T.with_language(pages_now(spark, d, ["textFused"]), "textFused").select("id", "rule")
 
 
 @query(f"""WITH {PAGES}, n AS (SELECT id, textFused AS t, CAST(length(textFused) AS DOUBLE) AS n FROM page_now WHERE textFused IS NOT NULL)
@@ -118,6 +118,7 @@ def fuse_readings(spark: SparkSession, d: str) -> DataFrame:
     first, second = F.col("deepseekOcrText"), F.col("qwenVlOcrText")
     chosen = p.withColumn("policy", fusion.source_of(F.col("paddleOcrText"), first, second))
     other = F.when(F.col("policy").isin("anchor+second", "second"), second).when(F.col("policy").isin("anchor+first", "first"), first)
+    chosen = chosen.repartition(spark.sparkContext.defaultParallelism)  # the alignment costs far more than the move
     fused = chosen.withColumn("f", fusion.fuse_two(F.coalesce(F.col("paddleOcrText"), other), F.coalesce(other, F.col("paddleOcrText"))))
     return fused.select("id", "policy", F.col("f.text").alias("text"), F.col("f.agreement").alias("agreement"), F.col("f.edits").alias("edits"))
 

@@ -48,3 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that would run in fewer tasks than there are cores, spread over them; any other as it is.
+
+    Only a table of a few row groups is moved, so the cost has a bound; at scale
+    the scan's own splits keep all cores busy and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
