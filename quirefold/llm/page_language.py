@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import map_rows
 from quirefold.llm.languages import detect
 from quirefold.llm.page_lines import Furniture
+from quirefold.session import spread
 from quirefold.tables import latest
 
 MISSING = ["", "unknown", "und"]
@@ -33,7 +34,7 @@ def page_languages(pages: DataFrame, books: DataFrame, most: int) -> DataFrame:
     characters; headers and page numbers of scanned pages are not counted;
     offsets of segments count within the text without them.
     """
-    rows = with_titles(pages.select("id", "documentId", "docPageIndex", "mode", "textFused", F.col("language").alias("label"), "fusionAt"), books)
+    rows = with_titles(spread(pages.select("id", "documentId", "docPageIndex", "mode", "textFused", F.col("language").alias("label"), "fusionAt")), books)
 
     def run(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"language": [], "confidence": [], "parts": [], "segments": []}

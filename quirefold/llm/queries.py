@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import leakage, neighbours, page_language, rank_fusion, residue, scan_repair, sentences, shared_spans, splitting, tokenize
 from quirefold.llm.common import held_state
-from quirefold.session import cut
+from quirefold.session import cut, spread
 from quirefold.tables import latest, load
 
 LIMITS = {"page": ("textFused", "fusionAt", 1500), "chunk": ("text", "chunkingAt", 500)}
@@ -68,7 +68,7 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return scan_repair.scanned(page_language.with_titles(load(spark, d, "page"), load(spark, d, "document_meta")))
+    return scan_repair.scanned(page_language.with_titles(spread(load(spark, d, "page").select("id", "documentId", "docPageIndex", "mode", "fusionAt", *scan_repair.FIELDS)), load(spark, d, "document_meta")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,16 +116,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode(load(spark, d, "documents"), "doc_id", "text", f"{tokenize.FOLDER}/byte_bpe_50k.tiktoken")
+    return tokenize.encode(spread(load(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", f"{tokenize.FOLDER}/byte_bpe_50k.tiktoken")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leakage.leaks(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_item"), "item_id", "text")
+    found = leakage.leaks(spread(load(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", load(spark, d, "eval_item"), "item_id", "text")
     return found.select("doc_id", "item_id")
 
 
 def _mined(spark: SparkSession, d: str) -> DataFrame:
-    return cut(residue.mine(load(spark, d, "documents"), "doc_id", "text"))
+    return cut(residue.mine(spread(load(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

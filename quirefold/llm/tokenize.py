@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import map_rows
+from quirefold.session import cut
 
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 HEAD, HEAD_CHARS = 4096, 24
@@ -65,9 +66,9 @@ def encode(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
     each = words(once, key, text)
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     head = counts.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD)
-    head = encode_words(head.coalesce(1), path)
+    head = cut(encode_words(head.coalesce(1), path))
     resolved = each.join(F.broadcast(head), "word", "left")
-    rare = resolved.where("ids is null").select(key, "pos", "word")
+    rare = cut(resolved.where("ids is null").select(key, "pos", "word"))
     vocabulary = encode_words(rare.select("word").distinct(), path)
     # A rare word has a bounded share of the rows; the join needs no salt.
     placed = resolved.where("ids is not null").select(key, "pos", "ids").unionByName(rare.join(vocabulary, "word").select(key, "pos", "ids"))
