@@ -24,7 +24,7 @@ def label_of(label: Column) -> Column:
 def with_titles(pages: DataFrame, books: DataFrame) -> DataFrame:
     """Adds ``title``, that of the page's book, null if it isn't known."""
     titles = books.where("id is not null").groupBy("id").agg(F.max("title").alias("title")).withColumnRenamed("id", "documentId")
-    return pages.join(titles, "documentId", "left")
+    return pages.drop("title").join(titles, "documentId", "left")
 
 
 def page_languages(pages: DataFrame, books: DataFrame, most: int) -> DataFrame:
