@@ -322,5 +322,22 @@ def test_residue(spark):
     assert sorted(set(range(len(BAD))) ^ got) == []
 
 
+def test_random_characters():
+    rng = random.Random(3)
+    words = ["官吏", "鐘鼓", "橋梁", "蝗螟", "倉廩", "墨跡", "舟楫", "井泉", "律令", "祭器"]
+    texts = ["".join(rng.choice(words) for _ in range(30)) for _ in range(400)]
+    mixed = list("".join(texts[0]))
+    rng.shuffle(mixed)
+    counts = residue.Counter(p for t in texts for p in residue.pairs_of(t))
+    first, second = residue.Counter(), residue.Counter()
+    for p, n in counts.items():
+        first[p[0]] += n
+        second[p[1]] += n
+    total = sum(counts.values())
+    known = ({p: np.log(n * total / (first[p[0]] * second[p[1]])) for p, n in counts.items()}, first, second, total)
+    assert residue.is_salad("".join(mixed), known) and not any(residue.is_salad(t, known) for t in texts)
+    assert not residue.is_salad("官吏", known) and not residue.is_salad("", known)
+
+
 def test_long_messages_are_whole():
     assert sum(len(m) for m in residue.messages("word " * 1000)) >= 1000
