@@ -90,12 +90,12 @@ def header_number(line: str, title: str) -> tuple[bool, list[int]]:
     for g in (got, cut):
         if len(g) < 2:
             continue
-        if want.startswith(g) and len(g) >= max(2, 0.3 * len(want)):
+        if want.startswith(g) and len(g) >= max(4 if g.isascii() else 2, 0.2 * len(want)):
             return True, nums
         if len(g) <= 1.25 * len(want) + 1 and len(set(g) & set(want)) >= 0.6 * len(set(g)):
             m = SequenceMatcher(None, g, want[: len(g)] if len(g) < len(want) else want, autojunk=False)
             need = 0.75 if len(want) <= 6 else 0.8
-            if len(g) >= max(2, 0.3 * len(want)) and m.real_quick_ratio() >= need and m.ratio() >= need:
+            if len(g) >= max(4 if g.isascii() else 2, 0.2 * len(want)) and m.real_quick_ratio() >= need and m.ratio() >= need:
                 return True, nums
     return False, nums
 
