@@ -37,6 +37,7 @@ from quirefold.tables import latest
 
 DIMS = 64
 SAMPLE, TREES, PROBES, LEAF = 16_384, 6, 12, 256
+ASKED_PROBES = 200
 CODE = 300.0  # unit vectors' components are stored as round(CODE * x), cut at 127
 
 
@@ -216,6 +217,78 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
     return exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
 
 
+def nearest(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int = ASKED_PROBES, trees: int = TREES) -> DataFrame:
+    """(key, other, cosine, place): for a stated set of queries (rows of ``units``) their k most similar others.
+
+    All rows are indexed; only the queries search, with many more probes than a
+    join of all rows, since no floor narrows what they look for.  Of each leaf a
+    query keeps its 2 k best by code, of all leaves its 5 k best, which are then
+    ranked by exact cosine.
+    """
+    spark = units.sparkSession
+    kind = dict(units.dtypes)[key]
+    rows = units.count()
+    if rows < 2:
+        return spark.createDataFrame([], f"`{key}` {kind}, other {kind}, cosine double, place int")
+    column = units.orderBy(F.xxhash64(key), key).limit(SAMPLE).select("unit").toArrow().combine_chunks().column(0)
+    sample = _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    forest = spark.sparkContext.broadcast(fit_forest(sample, rows, trees))
+
+    def place(home: bool, visits: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            normals, offsets = forest.value
+            for b in batches:
+                for at in range(0, b.num_rows, 512):
+                    part = b.slice(at, 512)
+                    x = _matrix(part.column(1))
+                    cell = search_forest(x, normals, offsets, visits)[1]
+                    who = np.repeat(np.arange(len(x)), cell.shape[1])
+                    keep = cell.ravel() >= 0
+                    take = pa.array(who[keep])
+                    code = pa.array([r.tobytes() for r in codes(x)], type=pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()[keep]), pa.array(np.full(keep.sum(), home)), part.column(0).take(take), code.take(take)], names=["cell", "home", "rid", "code"])
+
+        return run
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, index = None, np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32)
+        for b in batches:
+            cell, home, rid = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            x = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.int8).reshape(b.num_rows, -1).astype(np.float32)
+            cuts = np.flatnonzero(np.diff(cell)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
+                if cell[lo] != now:
+                    now, ids, index = cell[lo], np.zeros(0, np.int64), np.zeros((0, x.shape[1]), np.float32)
+                mid = lo + int(home[lo:hi].sum())
+                if mid > lo:
+                    ids, index = np.concatenate([ids, rid[lo:mid]]), np.concatenate([index, x[lo:mid]])
+                for i in range(mid, hi, 512):
+                    q = rid[i : min(hi, i + 512)]
+                    for c in range(0, len(ids), 16_384):
+                        score = x[i : i + len(q)] @ index[c : c + 16_384].T
+                        score[q[:, None] == ids[None, c : c + 16_384]] = -np.inf
+                        n = min(2 * k, score.shape[1])
+                        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                        value = np.take_along_axis(score, best, 1).ravel()
+                        sound_ = np.isfinite(value)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(q, n)[sound_]), pa.array(ids[c : c + 16_384][best].ravel()[sound_]), pa.array(value[sound_].astype(np.float32))], names=["ra", "rb", "near"]
+                        )
+
+    lean = lambda df: df.select(F.xxhash64(key).alias("rid"), "unit")
+    schema = "cell int, home boolean, rid bigint, code binary"
+    cells = lean(units).mapInArrow(place(True, trees), schema).unionByName(lean(asked).mapInArrow(place(False, probes), schema))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    found = cells.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("home")).mapInArrow(search, "ra bigint, rb bigint, near float")
+    met = found.groupBy("ra", "rb").agg(F.max("near").alias("near"))
+    first = met.withColumn("_n", F.row_number().over(W.partitionBy("ra").orderBy(F.desc("near"), "rb"))).where(F.col("_n") <= 5 * k).select("ra", "rb")
+    full = units.select(F.xxhash64(key).alias("r"), F.col(key).alias("i"), F.col("unit").alias("u"))
+    both = first.join(full.toDF("ra", "a", "ua"), "ra").join(full.toDF("rb", "b", "ub"), "rb")
+    cosine = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    ranked = both.select("a", "b", cosine.alias("cosine")).where("a <> b")
+    return ranked.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("place") <= k).select(F.col("a").alias(key), F.col("b").alias("other"), "cosine", "place")
+
+
 def neighbours(df: DataFrame, key: str, vector: str, order: str | None, k: int, floor: float, probes: int = PROBES, trees: int = TREES) -> DataFrame:
     """(key, other, cosine, place): for every key its k most similar others with a cosine of at least ``floor``.
 

@@ -40,6 +40,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar chunks of every chunk whose id's hash is divisible by 100, among all chunks."""
+    units = cut(neighbours.sound(load(spark, d, "chunk"), "id", "embedding", "chunkingAt"))
+    near = neighbours.nearest(units, units.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0), "id", 10)
+    return near.select("id", "other", F.round("cosine", 6).alias("cosine"), "place")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["kind", "item_id", "print"]
     texts = _texts(spark, d).withColumn("print", F.xxhash64("text"))
@@ -138,7 +145,7 @@ def p10_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p8_ids, p9_found, p10_found, p10_templates)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p8_ids, p9_found, p10_found, p10_templates)}
 
 
 _PLACES = """

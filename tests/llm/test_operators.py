@@ -36,6 +36,25 @@ def test_neighbours_against_brute_force(spark):
     assert not any(k.startswith("bad") for p in got for k in p)
 
 
+def test_nearest_recall(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[:400] += 2 * x[0]
+    units = neighbours.sound(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<float>"), "id", "v", None).cache()
+    got: dict = {}
+    for r in neighbours.nearest(units, units.where("id % 100 = 0"), "id", 10, probes=60).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = total = 0
+    for q in range(0, 3000, 100):
+        s = u[q] @ u.T
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:10].tolist()) & got[q])
+        total += 10
+    assert hit / total >= 0.9 and all(len(v) == 10 for v in got.values())
+    assert neighbours.nearest(units.limit(0), units.limit(0), "id", 10).count() == 0
+
+
 def test_forest_recall():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(6000, 64)).astype(np.float32)
