@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions.vectors import dot, norm
+from quirefold.operators.ranking import places
 from quirefold.session import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -69,22 +70,22 @@ def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: s
 def rrf(hits: DataFrame, query: str, leg: str, item: str, score: str, k: int = RRF, most: int = 100) -> DataFrame:
     """(query, item, rrf, place): the sum over legs of 1 / (k + rank), ranks by score and item."""
     best = hits.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(query, leg, item).agg(F.max(score).alias("_s"))
-    ranked = best.withColumn("_r", F.row_number().over(W.partitionBy(query, leg).orderBy(F.desc("_s"), item)))
-    fused = ranked.groupBy(query, item).agg(F.sum(1.0 / (k + F.col("_r"))).alias("rrf"))
+    ranked = places(best, [query, leg], "_s", item)
+    fused = ranked.groupBy(query, item).agg(F.sum(1.0 / (k + F.col("place"))).alias("rrf"))
     return top(fused.withColumn("rrf", F.round("rrf", 12)), [query], "rrf", item, most)
 
 
-def minmax(df: DataFrame, group: list[str], score: str) -> Column:
-    """Scores scaled to 0 to 1 within a group; 1 where all are equal."""
-    w = W.partitionBy(*group)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))
+def minmax(df: DataFrame, group: list[str], score: str) -> DataFrame:
+    """Adds ``scaled``: scores from 0 to 1 within a group; 1 where all are equal."""
+    ends = df.groupBy(*group).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    return df.join(ends, group).withColumn("scaled", F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))).drop("_low", "_high")
 
 
 def boosted(df: DataFrame, query: str, score: str, item: str, tier: str, favoured: str, by: float = 0.15) -> DataFrame:
     """Scores of the favoured tier raised, and places anew."""
     up = F.col(score) + F.when(F.col(tier) == favoured, by).otherwise(0.0)
-    return df.withColumn("boosted", up).withColumn("place", F.row_number().over(W.partitionBy(query).orderBy(F.desc("boosted"), item)))
+    return places(df.withColumn("boosted", up), [query], "boosted", item).drop("of")
 
 
 def ribbons(df: DataFrame, query: str, tier: str, place: str, quota: dict[str, int], rest: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.operators.ranking import carried
+
 
 def walk(chunks: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
     """Chunks with their pages (inner) and books (left): parents are joined on their keys, so no row is multiplied."""
@@ -19,12 +21,6 @@ def citation(title: Column, chapter: Column, section: Column, index: Column) ->
     return F.concat(F.lit("《"), F.concat_ws("·", title, chapter, section, F.concat(F.lit("p."), (index + 1).cast("string"))), F.lit("》"))
 
 
-def next_in(df: DataFrame, group: str, order: list[str], key: str) -> DataFrame:
-    """(key, next): each row and its follower within the group."""
-    follower = F.lead(key).over(W.partitionBy(group).orderBy(*order))
-    return df.select(key, follower.alias("next")).where("next IS NOT NULL")
-
-
 def section_ranges(pages: DataFrame) -> DataFrame:
     """(documentId, sectionId, first, last): a section ends before the next one starts, the last at the book's end."""
     starts = pages.where("sectionId IS NOT NULL").groupBy("documentId", "sectionId").agg(F.min("docPageIndex").alias("first"))
@@ -44,8 +40,7 @@ def pages_in(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     events = pages.select("documentId", F.col("docPageIndex").alias("at"), "id", F.lit(None).cast("string").alias("section"), F.lit(1).alias("kind")).unionByName(
         starts.select("documentId", "at", F.lit(None).cast("string").alias("id"), "section", F.lit(0).alias("kind"))
     )
-    before = W.partitionBy("documentId").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumn("section", F.last("section", True).over(before)).where("id IS NOT NULL").select("id", "section")
+    return carried(events, "documentId", ["at", "kind"], "section", "at").where("id IS NOT NULL").select("id", "section")
 
 
 def ordinals(sections: DataFrame) -> DataFrame:

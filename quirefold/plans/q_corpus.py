@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import dates as D
 from quirefold.functions import text as T
-from quirefold.operators import census, merge, spine
+from quirefold.operators import census, merge, ranking, spine
 from quirefold.plans.registry import BOOKS, CHUNKS, PAGES, query
 from quirefold.streaming import events as E
 from quirefold.tables import latest, load
@@ -187,9 +187,9 @@ def range_join_sections(spark: SparkSession, d: str) -> DataFrame:
     return spine.pages_in(p, spine.section_ranges(p))
 
 
-@query(f"""WITH {PAGES} SELECT * FROM (SELECT id, lead(id) OVER (PARTITION BY documentId ORDER BY docPageIndex, id) AS next FROM page_now) WHERE next IS NOT NULL""")
+@query(f"""WITH {PAGES} SELECT * FROM (SELECT id, lead(id) OVER (PARTITION BY documentId ORDER BY docPageIndex, id) AS next FROM page_now WHERE docPageIndex IS NOT NULL AND documentId IS NOT NULL) WHERE next IS NOT NULL""")
 def next_page_link(spark: SparkSession, d: str) -> DataFrame:
-    return spine.next_in(pages_now(spark, d, ["documentId", "docPageIndex"]), "documentId", ["docPageIndex", "id"], "id")
+    return ranking.followers(pages_now(spark, d, ["documentId", "docPageIndex"]).where("docPageIndex IS NOT NULL"), "documentId", "docPageIndex", "id")
 
 
 @query(f"""WITH {PAGES}, s AS (SELECT documentId, chapterId, sectionId, min(docPageIndex) AS pos FROM page_now WHERE sectionId IS NOT NULL AND chapterId IS NOT NULL GROUP BY 1, 2, 3),

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions.vectors import cosine
 from quirefold.operators import graphs, metrics, search
+from quirefold.operators.ranking import places
 from quirefold.plans.q_corpus import books, chunks_now, pages_now
 from quirefold.plans.registry import CHUNKS, PAGES, query
 from quirefold.tables import load
@@ -37,7 +37,7 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_BEST} SELECT query_id, leg, chunk_id, round(CASE WHEN max(s) OVER w = min(s) OVER w THEN 1.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 9) AS scaled FROM best WINDOW w AS (PARTITION BY query_id, leg)")
 def minmax_scores(spark: SparkSession, d: str) -> DataFrame:
     best = _hits(spark, d).where("score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "leg", "chunk_id").agg(F.max("score").alias("s"))
-    return best.select("query_id", "leg", "chunk_id", F.round(search.minmax(best, ["query_id", "leg"], "s"), 9).alias("scaled"))
+    return search.minmax(best, ["query_id", "leg"], "s").select("query_id", "leg", "chunk_id", F.round("scaled", 9).alias("scaled"))
 
 
 @query(f"""WITH {_RRF}, {CHUNKS}, b AS (SELECT t.query_id, t.chunk_id, c.tier, rrf + CASE WHEN c.tier = 'primary' THEN 0.15 ELSE 0 END AS boosted FROM topped t JOIN chunk_now c ON c.id = t.chunk_id WHERE place <= 100)
@@ -63,7 +63,7 @@ def rerank_combined(spark: SparkSession, d: str) -> DataFrame:
         F.max(F.when(F.col("leg") == "rerank", F.col("score"))).alias("re"), F.max(F.when(F.col("leg") == "dense", F.col("score"))).alias("de")
     )
     kept = best.where("re IS NOT NULL AND de IS NOT NULL AND re >= 0")
-    placed = kept.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("re"), "chunk_id")))
+    placed = places(kept, ["query_id"], "re", "chunk_id")
     return placed.select("query_id", "chunk_id", F.round(0.7 * F.col("re") + 0.3 * F.least("de", F.lit(1.0)), 6).alias("combined"), "place")
 
 

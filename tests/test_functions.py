@@ -113,6 +113,24 @@ def test_components_and_communities(spark):
     assert len({found[1], found[2], found[3]}) == 1 and len({found[4], found[5], found[6]}) == 1
 
 
+def test_slices_agree_with_windows(spark):
+    from pyspark.sql import Window as W
+
+    from quirefold.operators import ranking
+
+    df = spark.range(900).select((F.col("id") % 3 % 2).alias("g"), (F.col("id") * 37 % 50).cast("double").alias("s"), F.col("id").alias("i"), F.when(F.col("id") % 11 == 0, F.col("id")).alias("v"))
+    got = sorted((r.i, r.place, r.of) for r in ranking.places(df, ["g"], "s", slices=4).collect())
+    w = W.partitionBy("g")
+    assert got == sorted((r.i, r.p, r.n) for r in df.withColumn("p", F.rank().over(w.orderBy(F.desc("s")))).withColumn("n", F.count("*").over(w)).collect())
+    got = sorted((r.i, r.place) for r in ranking.places(df, ["g"], "s", "i", 4).collect())
+    assert got == sorted((r.i, r.p) for r in df.withColumn("p", F.row_number().over(w.orderBy(F.desc("s"), "i"))).collect())
+    got = sorted((r.i, r.next) for r in ranking.followers(df, "g", "s", "i", 7).collect())
+    assert got == sorted((r.i, r.n) for r in df.withColumn("n", F.lead("i").over(w.orderBy("s", "i"))).collect() if r.n is not None)
+    got = sorted((r.i, r.v) for r in ranking.carried(df, "g", ["s", "i"], "v", "s", 7).collect() if r.v is not None)
+    want = df.withColumn("v", F.last("v", True).over(w.orderBy("s", "i").rowsBetween(W.unboundedPreceding, 0)))
+    assert got == sorted((r.i, r.v) for r in want.collect() if r.v is not None)
+
+
 def test_ranges(spark):
     p = spark.createDataFrame([("p0", "b", None, 0), ("p1", "b", "s1", 1), ("p2", "b", "s1", 2), ("p3", "b", "s2", 3), ("p4", "b", None, 4)], "id string, documentId string, sectionId string, docPageIndex int")
     r = spine.section_ranges(p)
