@@ -138,6 +138,17 @@ def sound(df: DataFrame, key: str, vector: str, order: str | None, dims: int = D
     return whole.mapInArrow(run, f"`{key}` {kind}, unit array<float>, print binary").withColumn("print", F.sha1("print"))
 
 
+def sampled(units: DataFrame, key: str, rows: int) -> np.ndarray:
+    """At most SAMPLE of the vectors, by the hash of their keys.
+
+    The hash first leaves about twice as many rows of the whole table, so the
+    task that orders them reads a bounded number, however many partitions there are.
+    """
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 20)) <= F.lit(math.ceil((1 << 20) * min(1.0, 2 * SAMPLE / rows)))
+    column = units.where(share).orderBy(F.xxhash64(key), key).limit(SAMPLE).select("unit").toArrow().combine_chunks().column(0)
+    return _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+
+
 def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int = PROBES, trees: int = TREES) -> DataFrame:
     """(a, b, cosine) for a != b: from the index, the pairs of distinct vectors with a cosine of at least ``floor``.
 
@@ -147,12 +158,10 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
     spark = units.sparkSession
     kind = dict(units.dtypes)[key]
     rows = units.count()
-    picked = units.orderBy(F.xxhash64(key), key).limit(SAMPLE).select("unit").toArrow().combine_chunks()
     empty = f"a {kind}, b {kind}, cosine double"
     if rows < 2:
         return spark.createDataFrame([], empty)
-    column = picked.column(0)
-    sample = _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    sample = sampled(units, key, rows)
     forest = spark.sparkContext.broadcast(fit_forest(sample, rows, trees))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +239,7 @@ def nearest(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int =
     rows = units.count()
     if rows < 2:
         return spark.createDataFrame([], f"`{key}` {kind}, other {kind}, cosine double, place int")
-    column = units.orderBy(F.xxhash64(key), key).limit(SAMPLE).select("unit").toArrow().combine_chunks().column(0)
-    sample = _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    sample = sampled(units, key, rows)
     forest = spark.sparkContext.broadcast(fit_forest(sample, rows, trees))
 
     def place(home: bool, visits: int):
