@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import map_rows
+from quirefold.llm.common import head, map_rows
 from quirefold.session import cut
 
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -65,9 +65,8 @@ def encode(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
     once = docs.select(key, text).dropDuplicates([key])
     each = words(once, key, text)
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    head = counts.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD)
-    head = cut(encode_words(head.coalesce(1), path))
-    resolved = each.join(F.broadcast(head), "word", "left")
+    often = head(cut(counts.where(F.length("word") <= HEAD_CHARS)), "n", "word", HEAD)
+    resolved = each.join(F.broadcast(cut(encode_words(often.coalesce(1), path))), "word", "left")
     rare = cut(resolved.where("ids is null").select(key, "pos", "word"))
     vocabulary = encode_words(rare.select("word").distinct(), path)
     # A rare word has a bounded share of the rows; the join needs no salt.
