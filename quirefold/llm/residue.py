@@ -134,21 +134,29 @@ _MARKS = re.compile(r"[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u206
 _FOLD = _LOOKALIKE | _PLAIN
 
 
+def wide_form(text: str) -> str:
+    """A text in normal width; its letters keep their case."""
+    return text if text.isascii() else unicodedata.normalize("NFKC", text)
+
+
 def folded(text: str) -> str:
     """A text as messages are compared."""
     if text.isascii():
         return text.lower()
-    wide = unicodedata.normalize("NFKC", text)
+    wide = wide_form(text)
     if _ACCENTED.search(wide):
         wide = unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", wide)))
     return _MARKS.sub("", wide).lower().translate(_FOLD)
 
 
 def messages(text: str) -> list[list[str]]:
-    """The messages of a text as lists of tokens; spaces between Latin words are not kept."""
+    """The messages of a text as lists of tokens; spaces between Latin words are not kept.
+
+    Sentences are told by their capitals, so the text is cut before it is folded.
+    """
     out = []
-    for part in _MESSAGE.split(folded(text)):
-        tokens = _TOKENS.findall(part)
+    for part in _MESSAGE.split(wide_form(text)):
+        tokens = _TOKENS.findall(folded(part))
         if len(tokens) <= LONGEST:
             if tokens:
                 out.append(tokens)

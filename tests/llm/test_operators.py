@@ -360,3 +360,10 @@ def test_random_characters():
 
 def test_long_messages_are_whole():
     assert sum(len(m) for m in residue.messages("word " * 1000)) >= 1000
+
+
+def test_latin_sentences_are_messages_of_their_own():
+    text = "The honest mill of Ash counted the stipend. Sample paragraph. Sample paragraph. Then no. 4 of the dr. came. Éclat is lost."
+    assert ["sample", "paragraph", "."] in residue.messages(text) and ["eclat", "is", "lost", "."] in residue.messages(text)
+    inside = ["The pledge was kept. Oops! Something went wrong on our side. The upland mill stood.", "The pledge was kept. Page not found. The upland mill stood."]
+    assert all(any(map(residue.is_residue, residue.messages(x))) for x in (text, *inside))
