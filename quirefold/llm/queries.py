@@ -114,12 +114,20 @@ def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.coverage(links, members, batches[0].unionByName(batches[1]).distinct())
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d)
     native = load(spark, d, "page").where("mode = 'native'").select(F.lit("page").alias("kind"), F.col("id").alias("item_id"), F.col("fusionAt").alias("at"), F.col("textFused").alias("text"), F.lit(LIMITS["page"][2]).alias("most"))
     texts = texts.where("kind = 'chunk'").unionByName(native)
-    held = latest(sentences.sentences(texts, ["kind", "item_id", "at"], "text", "most").where("item_id is not null"), ["kind", "item_id"], "at")
-    return sentences.sentence_rows(held, ["kind", "item_id"])
+    return latest(sentences.sentences(texts, ["kind", "item_id", "at", "most"], "text").where("item_id is not null"), ["kind", "item_id"], "at")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_rows(_sentences(spark, d).where("length <= most"), ["kind", "item_id"])
+
+
+def p7_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every chunk and native page, however long."""
+    return sentences.sentence_spans(_sentences(spark, d), ["kind", "item_id"])
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +153,7 @@ def p10_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p8_ids, p9_found, p10_found, p10_templates)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p7_sentences, p8_ids, p9_found, p10_found, p10_templates)}
 
 
 _PLACES = """

@@ -47,3 +47,13 @@ def test_empty_and_messy_tables(name, spark, odd):
     assert q(spark, empty).columns == COLUMNS[name] and q(spark, empty).count() == 0
     rows = q(spark, messy).collect()
     assert len(rows) == len({repr(r) for r in rows})
+
+
+def test_long_texts_are_cut_but_no_cases(spark, odd):
+    from pyspark.sql import functions as F
+
+    _, messy = odd
+    long = F.col("id").isin([r.id for r in spark.read.parquet(f"{messy}/chunk.parquet").where("length(trim(text)) > 500").select("id").distinct().collect()])
+    every, cases = (Q.queries()[n](spark, messy).withColumnRenamed("item_id", "id").where("kind = 'chunk'") for n in ("p7_sentences", "p7_found"))
+    assert cases.join(every, ["id", "end_pos"], "left_anti").count() == 0
+    assert every.where(long).count() > 0 and cases.where(long).count() == 0

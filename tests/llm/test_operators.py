@@ -268,6 +268,17 @@ def test_sentences_of_nothing():
     assert sentences.boundaries("") == [] == sentences.boundaries(" \n　")
 
 
+def test_texts_of_any_length_have_sentences(spark):
+    texts = ["A man came. " * 1000, "He said: “" + "One. Two. " * 900 + "Three.” Then he left.", "Short. One.", " ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    cut = sentences.sentences(df, ["id"], "t").cache()
+    got = {r.id: (r.length, r.ends) for r in cut.collect()}
+    assert len(texts[0]) > sentences.STRETCH and len(got[0][1]) == 1000
+    assert all(got[i] == (len(t.strip()), sentences.boundaries(t, 10**9)) for i, t in enumerate(texts[:3])) and got[3][1] is None and got[4][1] is None
+    spans = sentences.sentence_spans(cut, ["id"]).where("id = 2").orderBy("place").collect()
+    assert [texts[2][r.start_pos : r.end_pos] for r in spans] == ["Short.", " One."]
+
+
 # 8 -------------------------------------------------------------------------------------------------------------
 
 
