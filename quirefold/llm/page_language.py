@@ -27,28 +27,29 @@ def with_titles(pages: DataFrame, books: DataFrame) -> DataFrame:
     return pages.drop("title").join(titles, "documentId", "left")
 
 
-def page_languages(pages: DataFrame, books: DataFrame, most: int) -> DataFrame:
-    """(id, label, language, confidence, parts, segments) of the pages that hold, one row a page.
+def page_languages(pages: DataFrame, books: DataFrame) -> DataFrame:
+    """(id, label, language, confidence, parts, segments, length) of the pages that hold, one row a page.
 
-    ``language`` is null for null and blank texts and those over ``most``
-    characters; headers and page numbers of scanned pages are not counted;
+    ``language`` is null for null and blank texts only; ``length`` is that of the
+    text without white space at both ends; headers and page numbers of scanned pages are not counted;
     offsets of segments count within the text without them.
     """
     rows = with_titles(spread(pages.select("id", "documentId", "docPageIndex", "mode", "textFused", F.col("language").alias("label"), "fusionAt")), books)
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"language": [], "confidence": [], "parts": [], "segments": []}
+        out: dict[str, list] = {"language": [], "confidence": [], "parts": [], "segments": [], "length": []}
         for text, mode, title, index in zip(c["textFused"], c["mode"], c["title"], c["docPageIndex"]):
-            found = (None, None, [], [])
-            if text and 0 < len(text.strip()) <= most:
+            length = len(text.strip()) if text else 0
+            found = (None, None, [], [], length)
+            if length:
                 body = "\n".join(Furniture(text, title, index).body()) if mode == "scan" else text
                 language, confidence, runs, parts = detect(body if body.strip() else text)
-                found = (language, confidence, parts, [{"start": a, "end": b, "language": x, "confidence": p} for a, b, x, p, _ in runs])
+                found = (language, confidence, parts, [{"start": a, "end": b, "language": x, "confidence": p} for a, b, x, p, _ in runs], length)
             for k, v in zip(out, found):
                 out[k].append(v)
         return {k: c[k] for k in ("id", "fusionAt", "label")} | out
 
-    done = map_rows(rows, f"id string, fusionAt timestamp, label string, language string, confidence double, parts array<string>, segments {SEGMENTS}", run)
+    done = map_rows(rows, f"id string, fusionAt timestamp, label string, language string, confidence double, parts array<string>, segments {SEGMENTS}, length int", run)
     return latest(done, "id", "fusionAt")
 
 

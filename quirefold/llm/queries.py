@@ -62,11 +62,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    return page_language.page_languages(load(spark, d, "page"), load(spark, d, "document_meta"), LIMITS["page"][2])
+    return page_language.page_languages(load(spark, d, "page"), load(spark, d, "document_meta"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return page_language.label_cases(_languages(spark, d), load(spark, d, "fuse_outcome"))
+    return page_language.label_cases(_languages(spark, d).where(F.col("length") <= LIMITS["page"][2]), load(spark, d, "fuse_outcome"))
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:

@@ -137,6 +137,16 @@ def test_mixed_and_remarks():
     assert languages.detect("") == ("und", 0.0, [], []) and languages.detect("123 。")[0] == "und"
 
 
+def test_pages_of_any_length_have_a_language(spark):
+    from quirefold.llm import page_language
+
+    rows = [("a", "b", 0, "native", SAMPLES["en"] * 40, "en", 1), ("c", "b", 1, "native", SAMPLES["ja"], "en", 1), ("d", "b", 2, "scan", " ", None, 1), ("e", "b", 3, "native", None, None, 1)]
+    pages = spark.createDataFrame(rows, "id string, documentId string, docPageIndex int, mode string, textFused string, language string, at int").withColumn("fusionAt", F.timestamp_seconds("at"))
+    got = {r.id: r for r in page_language.page_languages(pages, spark.createDataFrame([("b", "Title")], "id string, title string")).collect()}
+    assert got["a"].language == "en" and got["a"].length > 1500 and got["a"].segments[-1].end >= got["a"].length - 1 and got["a"].confidence > 0.5
+    assert got["c"].language == "ja" and got["d"].language is None is got["e"].language
+
+
 # 4 -------------------------------------------------------------------------------------------------------------
 
 
