@@ -38,7 +38,6 @@ from quirefold.tables import latest
 DIMS = 64
 SAMPLE, TREES, PROBES, LEAF = 16_384, 6, 12, 256
 ASKED_PROBES = 200
-CODE = 300.0  # unit vectors' components are stored as round(CODE * x), cut at 127
 
 
 def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +105,22 @@ def search_forest(x: np.ndarray, normals: np.ndarray, offsets: np.ndarray, probe
     return visited[:, :trees] if probes >= trees else visited, visited
 
 
-def codes(unit: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(unit * CODE), -127, 127).astype(np.int8)
+def codes(unit: np.ndarray) -> list[bytes]:
+    """Each vector's components in steps of 1/127 of its own largest one, a byte each, then the step."""
+    step = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    code = np.clip(np.rint(unit / step), -127, 127).astype(np.int8)
+    return [c.tobytes() + s.tobytes() for c, s in zip(code, step)]
+
+
+def decoded(code: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as coded, 1 + a bound of the length of what coding changed in each).
+
+    With errors of lengths d and e at most, the product of two coded unit vectors
+    lies below the exact one by no more than d + e + d * e = (1 + d) * (1 + e) - 1.
+    """
+    raw = np.frombuffer(b"".join(code), dtype=np.uint8).reshape(len(code), -1)
+    step = raw[:, -4:].copy().view(np.float32)
+    return raw[:, :-4].view(np.int8) * step, 1 + step[:, 0] * np.float32(0.5001 * math.sqrt(raw.shape[1] - 4))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -173,7 +186,7 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
                 own, seen = search_forest(x, normals, offsets, probes)
                 # The queue starts with every root at equal priority, so the first leaves visited are the vector's own.
                 n, extra = len(x), seen[:, own.shape[1] :]
-                code = [r.tobytes() for r in codes(x)]
+                code = codes(x)
                 cell = np.concatenate([own.ravel(), extra.ravel()])
                 home = np.concatenate([np.ones(own.size, bool), np.zeros(extra.size, bool)])
                 who = np.concatenate([np.repeat(np.arange(n), own.shape[1]), np.repeat(np.arange(n), extra.shape[1])])
@@ -184,13 +197,14 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
                 )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = (floor - 0.02) * CODE * CODE
-        now, ids, index = None, [], np.zeros((0, DIMS), np.float32)
+        # The last column of a vector is its slack: products then hold what coding may have taken from them, and no pair is lost by it.
+        least = 1 + floor - 1e-5
+        now, ids, index = None, [], np.zeros((0, DIMS + 1), np.float32)
         for b in batches:
             cell = b.column(0).to_numpy()
             home = b.column(1).to_numpy(zero_copy_only=False)
             rid = b.column(2).to_numpy()
-            x = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.int8).reshape(b.num_rows, -1).astype(np.float32)
+            x = np.column_stack(decoded(b.column(3).to_pylist()))
             cuts = np.flatnonzero(np.diff(cell)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
                 if cell[lo] != now:
@@ -204,7 +218,8 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
                         s = x[i:j] @ index[c : c + 16_384].T
                         q, n = np.nonzero(s >= least)
                         if len(q) and np.bincount(q).max() > 2 * k:
-                            order = np.lexsort((-s[q, n], q))
+                            near = s[q, n] - x[i:j, -1][q] * index[c : c + 16_384, -1][n]
+                            order = np.lexsort((-near, q))
                             q, n = q[order], n[order]
                             first = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
                             nth = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
@@ -253,7 +268,7 @@ def nearest(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int =
                     who = np.repeat(np.arange(len(x)), cell.shape[1])
                     keep = cell.ravel() >= 0
                     take = pa.array(who[keep])
-                    code = pa.array([r.tobytes() for r in codes(x)], type=pa.binary())
+                    code = pa.array(codes(x), type=pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()[keep]), pa.array(np.full(keep.sum(), home)), part.column(0).take(take), code.take(take)], names=["cell", "home", "rid", "code"])
 
         return run
@@ -262,7 +277,7 @@ def nearest(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int =
         now, ids, index = None, np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32)
         for b in batches:
             cell, home, rid = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
-            x = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.int8).reshape(b.num_rows, -1).astype(np.float32)
+            x = decoded(b.column(3).to_pylist())[0]
             cuts = np.flatnonzero(np.diff(cell)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
                 if cell[lo] != now:

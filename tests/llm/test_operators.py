@@ -66,6 +66,21 @@ def test_forest_recall():
     assert hit.mean() >= 0.95
 
 
+def test_codes_keep_vectors_with_one_large_component(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 64)).astype(np.float32)
+    x[:, 7] += np.repeat([30, 14, -9, 0], 30)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    df = spark.createDataFrame([(f"k{i:03d}", 1, v.tolist()) for i, v in enumerate(x)], "id string, at int, v array<float>")
+    want = {(f"k{i:03d}", f"k{j:03d}") for i in range(120) for j in np.argsort(-c[i])[:10] if c[i, j] >= 0.92}
+    lists = neighbours.neighbours(df, "id", "v", "at", 10, 0.92).collect()
+    assert len(want) == 300 and want == {(r.id, r.other) for r in lists}
+    y, slack = neighbours.decoded(neighbours.codes(u))
+    assert (np.outer(slack, slack) - 1 + 1e-6 >= u @ u.T - y @ y.T).all() and np.abs(y @ y.T - u @ u.T).max() < 0.02
+
+
 # 2 -------------------------------------------------------------------------------------------------------------
 
 
