@@ -149,7 +149,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_templates(spark: SparkSession, d: str) -> DataFrame:
-    return residue.templates(_mined(spark, d)).where("residue").select("leaf", "n", "template")
+    return residue.leaf_templates(residue.templates(_mined(spark, d)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,11 +3,10 @@
 Every text is cut into messages (lines and sentences; a message over ``LONGEST``
 tokens into overlapping stretches).  Numbers in a message are masked.  A message
 goes down a tree of fixed depth: the number of its tokens, its first ``HEAD``
-tokens, its last ``TAIL``.  A leaf keeps its two outermost messages in order and
-a count, all of which combine on the map side; the positions at which the two
-differ are the variable parts of the leaf's template.  Each template is
-classified once, by what it says as a whole or what both outermost messages say,
-and its verdict holds for every message of the leaf.  Slots that were never filled, and dumped empty values, can
+tokens, its last ``TAIL``.  Equal messages of a leaf combine on the map side and are
+classified once, each by its own wording and numbers, so that no message decides
+for another.  The residue messages of a leaf give its template: the positions at
+which the two outermost of them differ are its variable parts.  Slots that were never filled, and dumped empty values, can
 stand in any ordinary sentence; they are looked for in the texts themselves.  So
 is dummy text of characters drawn at random, as set in scripts without spaces:
 over the whole corpus the pairs of neighbouring ideographs and kana are counted,
@@ -208,16 +207,21 @@ def _gate():
     return automaton
 
 
+@lru_cache(maxsize=100_000)
+def _is_latin_filler(word: str) -> bool:
+    return bool(_LATIN_FILLER.fullmatch(word))
+
+
 def is_residue(tokens: list[str]) -> bool:
-    """The verdict on a template or a message."""
+    """The verdict on a message."""
     if next(_gate().iter("".join(tokens)), None):
         if _SAYS.search(joined(tokens)):
             return True
-        words = [t for t in tokens if t.isascii() and t.isalpha()]
-        if len(words) >= 5:
-            filler = sum(bool(_LATIN_FILLER.fullmatch(w)) for w in words)
-            if filler >= 0.7 * len(words) and len({w for w in words if len(w) > 3}) >= 2:
-                return True
+    words = [t for t in tokens if t.isascii() and t.isalpha()]
+    if len(words) >= 5:
+        filler = sum(map(_is_latin_filler, words))
+        if filler >= 0.7 * len(words) and len({w for w in words if len(w) > 3}) >= 2:
+            return True
     if len(tokens) - len(set(tokens)) >= 5:
         same = 1
         for a, b in zip(tokens, tokens[1:]):
@@ -286,8 +290,8 @@ def mine(docs: DataFrame, key: str, text: str) -> DataFrame:
         for k, x in zip(c[key], c[text]):
             if not x or not x.strip():
                 continue
-            found = {leaf_of(m): "\x1f".join(m) for m in messages(x)}
-            for leaf, message in found.items():
+            found = dict.fromkeys((leaf_of(m), "\x1f".join(m)) for m in messages(x))
+            for leaf, message in found:
                 for name, v in zip(out, (k, leaf, message, False)):
                     out[name].append(v)
             if SLOT.search(unicodedata.normalize("NFKC", x) if not x.isascii() else x) or not x.isascii() and is_salad(x, known.value):
@@ -300,23 +304,27 @@ def mine(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def templates(mined: DataFrame) -> DataFrame:
-    """(leaf, n, template, residue) of every leaf; the text of a template is given where it is residue."""
-    leaves = mined.where("leaf is not null").groupBy("leaf").agg(F.min("message").alias("low"), F.max("message").alias("high"), F.count(F.lit(1)).alias("n"))
+    """(leaf, message, n, residue): the distinct messages of every leaf, their number and verdict."""
+    distinct = mined.where("leaf is not null").groupBy("leaf", "message").agg(F.count(F.lit(1)).alias("n"))
+
+    def rows(c: dict[str, list]) -> dict[str, list]:
+        return c | {"residue": [is_residue(m.split("\x1f")) for m in c["message"]]}
+
+    return map_rows(distinct, "leaf bigint, message string, n bigint, residue boolean", rows)
+
+
+def leaf_templates(verdicts: DataFrame) -> DataFrame:
+    """(leaf, n, template) of every leaf with residue: its residue messages, counted, and what they have in common."""
+    leaves = verdicts.where("residue").groupBy("leaf").agg(F.sum("n").alias("n"), F.min("message").alias("low"), F.max("message").alias("high"))
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        texts: list[str | None] = []
-        for low, high in zip(c["low"], c["high"]):
-            one, other = low.split("\x1f"), high.split("\x1f")
-            tokens = one if low == high else template_of(one, other)
-            bad = is_residue(tokens) or low != high and is_residue(one) and is_residue(other)
-            texts.append(joined(tokens) if bad else None)
-        return {"leaf": c["leaf"], "n": c["n"], "template": texts, "residue": [t is not None for t in texts]}
+        return {"leaf": c["leaf"], "n": c["n"], "template": [joined(template_of(low.split("\x1f"), high.split("\x1f"))) for low, high in zip(c["low"], c["high"])]}
 
-    return map_rows(leaves, "leaf bigint, n bigint, template string, residue boolean", rows)
+    return map_rows(leaves, "leaf bigint, n bigint, template string", rows)
 
 
 def residue(mined: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     """The keys of the texts that hold residue, each once."""
-    bad = verdicts.where("residue").select("leaf")
-    by_message = mined.where("leaf is not null").select(key, "leaf").join(bad, "leaf", "left_semi").select(key)
+    bad = verdicts.where("residue").select("leaf", "message")
+    by_message = mined.where("leaf is not null").select(key, "leaf", "message").join(bad, ["leaf", "message"], "left_semi").select(key)
     return by_message.unionByName(mined.where("slot").select(key)).distinct()

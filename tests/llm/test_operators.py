@@ -403,3 +403,12 @@ def test_latin_sentences_are_messages_of_their_own():
     assert ["sample", "paragraph", "."] in residue.messages(text) and ["eclat", "is", "lost", "."] in residue.messages(text)
     inside = ["The pledge was kept. Oops! Something went wrong on our side. The upland mill stood.", "The pledge was kept. Page not found. The upland mill stood."]
     assert all(any(map(residue.is_residue, residue.messages(x))) for x in (text, *inside))
+
+
+def test_messages_of_a_leaf_are_judged_by_themselves(spark):
+    docs = ["Error 12", "Error 404", "Error 12. Error 404. Error 77", "Error 9", "sed ut aliqua quis nostrud veniam sit", *[f"Of the old mill {w} was kept here" for w in ("all", "zinc")], "Of the old mill lorem ipsum was kept here"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    mined = residue.mine(df, "doc_id", "text").cache()
+    verdicts = residue.templates(mined)
+    assert sorted(r.doc_id for r in residue.residue(mined, verdicts, "doc_id").collect()) == [1, 2, 4, 7]
+    assert {(r.n, r.template) for r in residue.leaf_templates(verdicts).collect()} >= {(1, "error 404"), (1, "of the old mill lorem ipsum was kept here")}
