@@ -57,3 +57,10 @@ def head(df: DataFrame, n: str, tie: str, most: int) -> DataFrame:
         bound = df.agg(F.percentile_approx(n, 1 - most / rows, 100_000)).first()[0]
         df = df.where(F.col(n) > bound)
     return df.orderBy(F.desc(n), tie).limit(most)
+
+
+def beyond(df: DataFrame, n: str, kept: list[int]) -> int:
+    """The greatest ``n`` a row left out by ``head`` can have; 0 where ``kept`` holds the whole table."""
+    if df.count() <= len(kept):
+        return 0
+    return min(kept) if kept else df.agg(F.max(n)).first()[0]

@@ -12,8 +12,8 @@ characters whose look-alike fits the neighbouring pairs far better, and puts
 repaired words into continuous paragraphs.
 
 Only bounded tables are broadcast: the ``HEAD_WORDS`` most frequent sound words
-and the ``HEAD_PAIRS`` most frequent pairs.  Words outside them travel to the
-repairs by a join.
+and the ``HEAD_PAIRS`` most frequent pairs.  Words outside them, and look-alikes
+whose verdict hangs on a pair outside them, travel to the full tables by a join.
 
 Defined cases: null and blank texts have no defects and stay as they are; a book
 without a title has no headers; a bare number counts as the page's number only
@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import head, map_rows
+from quirefold.llm.common import beyond, head, map_rows
 from quirefold.llm.page_lines import Furniture
 from quirefold.session import cut
 from quirefold.tables import latest
@@ -220,14 +220,31 @@ def repairs(words: DataFrame, known: DataFrame) -> DataFrame:
 class Lookup:
     """The bounded tables a page is read with."""
 
-    def __init__(self, words: set[str], compounds: set[str], pairs: dict[str, int]):
-        self.words, self.compounds, self.pairs = words, compounds, pairs
+    def __init__(self, words: set[str], compounds: set[str], pairs: dict[str, int], most: int = 0, whole: bool = True):
+        """``most``: what a pair that isn't in ``pairs`` can count; ``whole``: whether ``words`` are all there are."""
+        self.words, self.compounds, self.pairs, self.most, self.whole = words, compounds, pairs, most, whole
 
-    def fit(self, before: str, c: str, after: str) -> float:
-        return math.log(self.pairs.get(before + c, 0) + 0.5) * bool(before) + math.log(self.pairs.get(c + after, 0) + 0.5) * bool(after)
+    def fit(self, before: str, c: str, after: str, unseen: int = 0) -> float:
+        return math.log(self.pairs.get(before + c, unseen) + 0.5) * bool(before) + math.log(self.pairs.get(c + after, unseen) + 0.5) * bool(after)
 
-    def wide_repairs(self, text: str) -> list[tuple[int, str]]:
-        """(place, better character) where a look-alike fits its neighbours far better."""
+    def better(self, before: str, c: str, after: str) -> str | None:
+        """The look-alike that fits far better than ``c``."""
+        best, than = max((self.fit(before, x, after), x) for x in LOOKALIKES[c])
+        return than if best - self.fit(before, c, after) > FIT else None
+
+    def open_to(self, before: str, c: str, after: str) -> bool:
+        """Whether a look-alike could fit far better, and pairs that aren't known here decide."""
+        near = [p for x in c + LOOKALIKES[c] for p in (before and before + x, after and x + after) if p]
+        if all(p in self.pairs for p in near):
+            return False
+        return max(self.fit(before, x, after, self.most) for x in LOOKALIKES[c]) - self.fit(before, c, after) > FIT
+
+    def wide_repairs(self, text: str, unsure: list[tuple[int, str]] | None = None) -> list[tuple[int, str]]:
+        """(place, better character) where a look-alike fits its neighbours far better.
+
+        Those for which the pairs known here don't suffice are put into ``unsure``
+        as (place, context).
+        """
         out = []
         keep = [i for i, c in enumerate(text)] if "㆐" not in text and not _READING.search(text) else None
         bare = text
@@ -241,14 +258,16 @@ class Lookup:
             after = bare[i + 1] if i + 1 < len(bare) and bare[i + 1] > "⿿" else ""
             if not before and not after:
                 continue
-            here = self.fit(before, c, after)
-            best, than = max((self.fit(before, x, after), x) for x in LOOKALIKES[c])
-            if best - here > FIT:
+            if self.most and unsure is not None and self.open_to(before, c, after):
+                unsure.append((keep[i], "\x1f".join((before, c, after))))
+                continue
+            than = self.better(before, c, after)
+            if than:
                 out.append((keep[i], than))
         return out
 
     def word_kind(self, word: str) -> str:
-        """'sound', 'misread' or 'unknown'."""
+        """'sound', 'misread' or 'unknown', which the full tables decide."""
         if any(c in LOST for c in word):
             return "misread"
         low = word.lower()
@@ -262,12 +281,12 @@ class Lookup:
         if any(c.isdigit() for c in bare):
             if re.search(r"[A-Za-z]\d[A-Za-z]", bare) and bare.translate(_DIGITS).isalpha():
                 return "misread"
-            return "misread" if bare.lower().translate(_DIGITS) in self.words else "sound"
+            return "misread" if bare.lower().translate(_DIGITS) in self.words else "sound" if self.whole else "unknown"
         return "sound" if bare.isalpha() else "unknown"
 
 
-def read_page(look: Lookup, text: str, title: str | None, index: int | None) -> tuple[list[str], list[str], list[str]]:
-    """(defects that are sure, words to be looked up, paragraphs) of one scanned text."""
+def read_page(look: Lookup, text: str, title: str | None, index: int | None) -> tuple[list[str], list[str], list[str], list[dict]]:
+    """(defects that are sure, words to be looked up, paragraphs, look-alikes to be looked up) of one scanned text."""
     page = Furniture(text, title, index)
     found = []
     if page.header:
@@ -281,6 +300,7 @@ def read_page(look: Lookup, text: str, title: str | None, index: int | None) ->
     unknown: set[str] = set()
     misread = False
     out = []
+    contexts: list[dict] = []
     for p in paragraphs:
         for w in words_of(p):
             kind = look.word_kind(w)
@@ -289,7 +309,9 @@ def read_page(look: Lookup, text: str, title: str | None, index: int | None) ->
                 unknown.add(w.lower())
         if not misread and any(c in p for c in LOST):
             misread = True
-        better = look.wide_repairs(p) if _SUSPECT.search(p) else []
+        unsure: list[tuple[int, str]] = []
+        better = look.wide_repairs(p, unsure) if _SUSPECT.search(p) else []
+        contexts += [{"p": len(out), "i": i, "context": x} for i, x in unsure]
         if better:
             misread = True
             chars = list(p)
@@ -299,7 +321,7 @@ def read_page(look: Lookup, text: str, title: str | None, index: int | None) ->
         out.append(p)
     if misread:
         found.append("misread")
-    return found, sorted(unknown), out
+    return found, sorted(unknown), out, contexts
 
 
 def _cut_at_foot(lines: list[str]) -> bool:
@@ -309,28 +331,46 @@ def _cut_at_foot(lines: list[str]) -> bool:
     return bool(m and len(m.group(1)) > 1)
 
 
-def tables(pages: DataFrame) -> tuple[Broadcast, DataFrame]:
-    """The lookup tables, broadcast, and the words of the lexicon (token, n)."""
+def tables(pages: DataFrame) -> tuple[Broadcast, DataFrame, DataFrame, DataFrame]:
+    """The lookup tables, broadcast, and in full (token, n) the words of the lexicon, the sound ones and the pairs."""
     spark: SparkSession = pages.sparkSession
     counted = cut(lexicon(pages))
     words = counted.where("kind = 'w'").select("token", "n")
     wrong = repairs(words, words).select(F.col("word").alias("token"))
-    top = head(cut(words.where((F.length("token") <= 24) & (F.col("n") >= 2)).join(wrong, "token", "left_anti")), "n", "token", HEAD_WORDS)
-    pairs = head(counted.where("kind = 'p'"), "n", "token", HEAD_PAIRS)
+    sound = cut(words.where((F.length("token") <= 24) & (F.col("n") >= 2)).join(wrong, "token", "left_anti"))
+    pairs = counted.where("kind = 'p'").select("token", "n")
+    top = set(head(sound, "n", "token", HEAD_WORDS).select("token").toPandas()["token"])
+    known = dict(head(pairs, "n", "token", HEAD_PAIRS).toPandas().itertuples(index=False, name=None))
     hyphened = head(counted.where("kind = 'c' and n >= 2"), "n", "token", HEAD_WORDS)
-    look = (
-        set(top.select("token").toPandas()["token"]),
-        set(hyphened.select("token").toPandas()["token"]),
-        dict(pairs.select("token", "n").toPandas().itertuples(index=False, name=None)),
-    )
-    return spark.sparkContext.broadcast(look), words
+    look = (top, set(hyphened.select("token").toPandas()["token"]), known, beyond(pairs, "n", list(known.values())), sound.count() <= len(top))
+    return spark.sparkContext.broadcast(look), words, sound, pairs
+
+
+def choices(contexts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(context, than): the contexts (before, character, after) whose look-alike fits far better by the counts of all pairs."""
+
+    def needed(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"context": [], "token": []}
+        for x in c["context"]:
+            before, own, after = x.split("\x1f")
+            for pair in {p for y in own + LOOKALIKES[own] for p in (before and before + y, after and y + after) if p}:
+                out["context"].append(x)
+                out["token"].append(pair)
+        return out
+
+    def choose(c: dict[str, list]) -> dict[str, list]:
+        return {"context": c["context"], "than": [Lookup(set(), set(), {r["token"]: r["n"] for r in k}).better(*x.split("\x1f")) for x, k in zip(c["context"], c["known"])]}
+
+    asked = map_rows(contexts.select("context").distinct(), "context string, token string", needed)
+    counted = asked.join(pairs, "token", "left").groupBy("context").agg(F.collect_list(F.struct("token", F.coalesce("n", F.lit(0)).alias("n"))).alias("known"))
+    return map_rows(counted, "context string, than string", choose).where("than is not null")
 
 
 def read_pages(pages: DataFrame, look: Broadcast) -> DataFrame:
-    """(id, fusionAt, field, defects, unknown, paragraphs) of the fields of scanned pages."""
+    """(id, fusionAt, field, defects, unknown, paragraphs, contexts) of the fields of scanned pages."""
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("id", "fusionAt", "field", "defects", "unknown", "paragraphs")}
+        out: dict[str, list] = {k: [] for k in ("id", "fusionAt", "field", "defects", "unknown", "paragraphs", "contexts")}
         for i, key in enumerate(c["id"]):
             known: dict[str, tuple] = {}
             for f in FIELDS:
@@ -338,41 +378,52 @@ def read_pages(pages: DataFrame, look: Broadcast) -> DataFrame:
                 if text and text.strip():
                     if text not in known:
                         known[text] = read_page(Lookup(*look.value), text, c["title"][i], c["docPageIndex"][i])
-                    found, unknown, paragraphs = known[text]
+                    found, unknown, paragraphs, contexts = known[text]
                 else:
-                    found, unknown, paragraphs = [], [], None
-                for k, v in zip(out, (key, c["fusionAt"][i], f, found, unknown, paragraphs)):
+                    found, unknown, paragraphs, contexts = [], [], None, []
+                for k, v in zip(out, (key, c["fusionAt"][i], f, found, unknown, paragraphs, contexts)):
                     out[k].append(v)
         return out
 
     source = pages.where("mode = 'scan' and id is not null").select("id", "fusionAt", "title", "docPageIndex", *FIELDS)
-    return map_rows(source, "id string, fusionAt timestamp, field string, defects array<string>, unknown array<string>, paragraphs array<string>", rows)
+    return map_rows(source, "id string, fusionAt timestamp, field string, defects array<string>, unknown array<string>, paragraphs array<string>, contexts array<struct<p:int,i:int,context:string>>", rows)
 
 
-def scanned(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The read fields of scanned pages, of the states that hold, and the repairs (word, repair) of their words."""
-    look, words = tables(pages)
+def scanned(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The read fields of scanned pages, of the states that hold, the repairs (word, repair) of their words and (context, than) of their look-alikes."""
+    look, words, sound, pairs = tables(pages)
     read = cut(read_pages(pages, look))
-    strange = read.select(F.explode("unknown").alias("token")).distinct().join(words, "token", "left").select("token", F.coalesce("n", F.lit(1)).alias("n"))
-    fixes = cut(repairs(strange, words))
-    return latest(read, ["id", "field"], "fusionAt"), fixes
+    asked = read.select(F.explode("unknown").alias("token")).distinct()
+    digits = asked.where(F.col("token").rlike("[0-9]"))
+    strange = asked.join(words, "token", "left").select("token", F.coalesce("n", F.lit(1)).alias("n")).join(digits, "token", "left_anti")
+    plain = F.translate(F.regexp_replace("token", "['’]", ""), "0159!68", "olsgibb")
+    read_as = digits.select(F.col("token").alias("word"), plain.alias("token")).join(sound.select("token"), "token").select("word", F.col("token").alias("repair"))
+    fixes = cut(repairs(strange, words).unionByName(read_as))
+    better = cut(choices(read.select(F.explode("contexts.context").alias("context")), pairs))
+    return latest(read, ["id", "field"], "fusionAt"), fixes, better
 
 
-def defects(held: DataFrame, fixes: DataFrame) -> DataFrame:
+def defects(held: DataFrame, fixes: DataFrame, better: DataFrame) -> DataFrame:
     """(page_id, field, defect), each once."""
     sure = held.select(F.col("id").alias("page_id"), "field", F.explode("defects").alias("defect"))
     words = held.select(F.col("id").alias("page_id"), "field", F.explode("unknown").alias("word")).join(fixes, "word", "left_semi")
-    return sure.unionByName(words.select("page_id", "field", F.lit("misread").alias("defect"))).distinct()
+    wide = held.select(F.col("id").alias("page_id"), "field", F.explode("contexts.context").alias("context")).join(better, "context", "left_semi")
+    misread = words.select("page_id", "field").unionByName(wide.select("page_id", "field")).withColumn("defect", F.lit("misread"))
+    return sure.unionByName(misread).distinct()
 
 
-def repaired(held: DataFrame, fixes: DataFrame) -> DataFrame:
+def repaired(held: DataFrame, fixes: DataFrame, better: DataFrame) -> DataFrame:
     """(page_id, field, text): every field as continuous paragraphs with its words repaired."""
     own = held.select("id", "field", F.explode("unknown").alias("word")).join(fixes, "word").groupBy("id", "field").agg(F.map_from_entries(F.collect_set(F.struct("word", "repair"))).alias("fixes"))
+    wide = held.select("id", "field", F.inline("contexts")).join(better, "context").groupBy("id", "field").agg(F.collect_list(F.struct("p", "i", "than")).alias("wide"))
 
     def rows(c: dict[str, list]) -> dict[str, list]:
         texts = []
-        for paragraphs, fix in zip(c["paragraphs"], c["fixes"]):
+        for paragraphs, fix, places in zip(c["paragraphs"], c["fixes"], c["wide"]):
             known = dict(fix or ())
+            for x in places or ():
+                own = paragraphs[x["p"]]
+                paragraphs[x["p"]] = own[: x["i"]] + x["than"] + own[x["i"] + 1 :]
 
             def better(m: re.Match) -> str:
                 w = m.group()
@@ -385,5 +436,5 @@ def repaired(held: DataFrame, fixes: DataFrame) -> DataFrame:
             texts.append(None if paragraphs is None else "\n\n".join(_WORD.sub(better, p) for p in paragraphs))
         return {"page_id": c["id"], "field": c["field"], "text": texts}
 
-    joined = held.select("id", "field", "paragraphs").join(own, ["id", "field"], "left")
+    joined = held.select("id", "field", "paragraphs").join(own, ["id", "field"], "left").join(wide, ["id", "field"], "left")
     return map_rows(joined, "page_id string, field string, text string", rows)

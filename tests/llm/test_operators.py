@@ -412,3 +412,16 @@ def test_messages_of_a_leaf_are_judged_by_themselves(spark):
     verdicts = residue.templates(mined)
     assert sorted(r.doc_id for r in residue.residue(mined, verdicts, "doc_id").collect()) == [1, 2, 4, 7]
     assert {(r.n, r.template) for r in residue.leaf_templates(verdicts).collect()} >= {(1, "error 404"), (1, "of the old mill lorem ipsum was kept here")}
+
+
+def test_pairs_and_words_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rows = [(f"p{i}", "scan", t, None, i, i) for i, t in enumerate(["官吏與民。the lord came"] * 40 + ["鐘鼓" * 50 + " bell" * 90] + ["官史與民。the 1ord came"])]
+    pages = spark.createDataFrame(rows, "id string, mode string, textFused string, title string, docPageIndex int, at int").withColumn("fusionAt", F.timestamp_seconds("at"))
+    for f in scan_repair.FIELDS[1:]:
+        pages = pages.withColumn(f, F.lit(None).cast("string"))
+    for bound in (300_000, 2):
+        monkeypatch.setattr(scan_repair, "HEAD_PAIRS", bound)
+        monkeypatch.setattr(scan_repair, "HEAD_WORDS", bound)
+        parts = scan_repair.scanned(pages)
+        assert [(r.page_id, r.defect) for r in scan_repair.defects(*parts).collect()] == [("p41", "misread")]
+        assert "官吏與民" in scan_repair.repaired(*parts).where("page_id = 'p41' and field = 'textFused'").first().text
