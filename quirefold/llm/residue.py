@@ -1,17 +1,19 @@
 """Template residue and error pages: message templates from a fixed-depth tree, and unresolved slots.
 
 Every text is cut into messages (lines and sentences; a message over ``LONGEST``
-tokens into overlapping stretches).  Numbers in a message are masked.  A message
-goes down a tree of fixed depth: the number of its tokens, its first ``HEAD``
-tokens, its last ``TAIL``.  Equal messages of a leaf combine on the map side and are
-classified once, each by its own wording and numbers, so that no message decides
-for another.  The residue messages of a leaf give its template: the positions at
-which the two outermost of them differ are its variable parts.  Slots that were never filled, and dumped empty values, can
-stand in any ordinary sentence; they are looked for in the texts themselves.  So
-is dummy text of characters drawn at random, as set in scripts without spaces:
-over the whole corpus the pairs of neighbouring ideographs and kana are counted,
-and a stretch whose pairs stand together no more often than chance would have it
-is not language.
+tokens into overlapping stretches).  Those that hold a cue (a stem of the wording
+of servers, programs, notices and fillers) go down a tree of fixed depth: the
+number of tokens, the first ``HEAD`` tokens, the last ``TAIL``, numbers masked.
+Within a leaf the tokens of each position are counted over its messages; a token
+that holds at least ``SHARE`` of its position, or can be part of a cue, stands in
+the template, any other is a variable part.  A template is judged once, by its
+two outermost members and by how many texts hold it: wording that says by itself
+what the message is decides alone, weaker wording only where the template recurs
+in ``RECURS`` texts.  The verdict goes to all members.  Should the two members
+disagree, each member is judged by itself, so no message decides for another.
+
+Slots that were never filled, and dumped empty values, can stand in any ordinary
+sentence; they are looked for in the texts themselves.
 
 Words are compared without accents, in lower case and normal width, with
 letters of look-alike scripts and traditional forms of the cue words folded.
@@ -22,21 +24,17 @@ texts are each judged alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter
 from functools import lru_cache
 
-import numpy as np
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import head, map_rows
-from quirefold.session import cut
+from quirefold.llm.common import map_rows
 
 HEAD, TAIL, LONGEST, OVERLAP = 4, 2, 64, 24
+SHARE, RECURS = 0.3, 3
 ANY = "<*>"
 
 _MESSAGE = re.compile(r"\n+|(?<=[.!?])[\"”’)\]]?\s+(?=[^\sa-z])|(?<=[。！？])[」』”’）]?(?=.)|(?<=[”’\"」』])\s+")
@@ -56,9 +54,9 @@ _SAYS = re.compile(
     "|".join(
         [
             # servers and programs
-            rf"(?:\berror|\bhttp(?:/[\d.]+)?|\bstatus(?: code)?)\W{{0,3}}[45]\d\d\b",
-            rf"\b[45]\d\d\b\W{{0,4}}{STATUS}\b",
-            rf"\b{STATUS}\W{{0,3}}\(?[45]\d\d\b",
+            rf"(?<![a-z])(?:error|http(?:/[\d.]+)?|status(?: code)?)\W{{0,3}}[45]\d\d(?![0-9a-z])",
+            rf"(?<![0-9a-z])[45]\d\d\W{{1,4}}{STATUS}(?![a-z])",
+            rf"(?<![a-z]){STATUS}\W{{0,3}}\(?[45]\d\d(?![0-9a-z])",
             rf"^\W*{STATUS}\W*$",
             r"^\W*[45]\d\d\W+(?=\D*(?:このページ|お探し|页面|服务))",
             r"traceback \(most recent call last\)",
@@ -95,12 +93,15 @@ _SAYS = re.compile(
         ]
     )
 )
+#: Wording that also stands in ordinary texts; it counts where its template recurs.
+_MAY_SAY = re.compile(r"^\W*(?:loading|please wait|just a moment|redirecting|click here|skip to (?:main )?content|back to top|read more|no results found|nothing found|try again)\W*$")
 _LATIN_FILLER = re.compile(r"\b(?:lorem\w*|ipsum\w*|dolor\w*|amet\w*|consec\w*|adipis\w*|elit\w*|tempor\w*|incidid\w*|labor[aei]\w*|magna\w*|aliq\w*|sit(?:am)?|quis\w*|nos(?:tr\w*)?|ven[ia]\w*|sed\w*|eiusm\w*|ut|et)\b")
 
 NAME = r"[A-Za-z][A-Za-z]*(?:[ ._-]?[A-Za-z]+){0,3}"
 SLOT = re.compile(
     "|".join(
         [
+            r"\{\d{1,2}\}",
             r"\{\{[^{}\n]{0,60}\}\}",
             r"\{%[^{}\n]{0,60}%\}",
             r"<%=?[^<>\n]{0,60}%>",
@@ -124,7 +125,8 @@ SLOT = re.compile(
             r"[○〇◯●]{2,}(?:様|さん|殿|先生|氏)",
             r"[×＊]{3,}(?:様|先生)",
         ]
-    )
+    ),
+    re.ASCII,
 )
 
 
@@ -181,41 +183,79 @@ def joined(tokens: list[str]) -> str:
     return "".join(out)
 
 
-def template_of(low: list[str], high: list[str]) -> list[str]:
-    """The template of a leaf by its two outermost messages; a number stays as an example."""
-    return [a if a == b or a.isdigit() and b.isdigit() else ANY for a, b in zip(low, high)]
-
-
 #: A text in which none of these stands can say none of the above.
 _STEMS = (
     "error|http|status|not found|gateway|unavailable|time-out|timeout|timed out|too many requests|unauthori|forbidden|bad request|not allowed|payment required|gone|conflict|not implemented"
     "|traceback|file \"|exception|stack trace|stacktrace|could not connect|connection|access|permission|session|login|sign in|log in|went wrong|slow down|please|requested|this page|this site"
     "|this document|page not found|home page|homepage|your browser|verify|maintenance|script|cookie|服务器|系统|网关|网络|数据库|登录|会话|检测到|权限|验证|页面|网页|资源|地址|链接|文献|内容|网址"
-    "|稍后|刷新|首页|脚本|ログイン|セッション|認証|アクセス|メンテナンス|サーバー|お探し|ページ|资料は|資料は|アドレスは|サイトは|urlは|しばらく|時間を|时間を|最初から|エラー|スクリプト|lorem|placeholder"
+    "|稍后|刷新|首页|脚本|ログイン|セッション|認証|アクセス|メンテナンス|サーバー|お探し|ページ|资料は|資料は|アドレスは|サイトは|urlは|しばらく|時間を|时间を|最初から|エラー|スクリプト|lorem|placeholder"
     "|dummy|sample|example|filler|replace before|will be|to be|goes here|comes here|coming soon|under construction|asdf|qwer|xxx|占位|示例|样例|测试|此处|请填写|サンプル|本文が|ここに|ダミー|仮の"
+    "|loading|just a moment|redirecting|click here|skip to|back to top|read more|no results|nothing found|try again"
 ).split("|")
+_FILLERS = "lorem ipsum dolor amet consec adipis elit tempor incidid labor magna aliq sitam quis nostr venia eiusm".split()
+#: Without any of these no slot can stand in a text.
+_SLOT_STEMS = (
+    "{{ {% <% ${ #{ @@ __ [[ %( insert enter add your goeshere comeshere &lt; todo tbd fixme xxx [object undefined null nan none :nil 填写 插入 输入 ここに ○○ 〇〇 ◯◯ ●● ○〇 〇○ ××× ***".split()
+    + ["%" + c for c in "abcdefghijklmnopqrstuvwxyz"]
+    + ["{%d" % i for i in range(10)]
+)
+_REPEATS = re.compile(r"(?<![a-z])([a-z]+)(?:[^a-z0-9]{0,3}\s\1){5}(?![a-z])")
 
 
 @lru_cache(maxsize=1)
 def _gate():
+    """One automaton over the stems; each says whether it is a cue (1), a slot's (2) or both."""
     import ahocorasick
 
+    kinds: dict[str, int] = {}
+    for stems, kind in ((_STEMS, 1), (_FILLERS, 1), (_SLOT_STEMS, 2)):
+        for stem in stems:
+            stem = stem.replace(" ", "")
+            kinds[stem] = kinds.get(stem, 0) | kind
     automaton = ahocorasick.Automaton()
-    for stem in (*_STEMS, *"lorem ipsum dolor amet consec adipis tempor".split()):
-        automaton.add_word(stem.replace(" ", ""), 1)
+    for stem, kind in kinds.items():
+        automaton.add_word(stem, kind)
     automaton.make_automaton()
     return automaton
 
 
+def cues(compact: str) -> int:
+    """Which kinds of stems a folded text without white space holds."""
+    found = 0
+    for _, kind in _gate().iter(compact):
+        found |= kind
+        if found == 3:
+            break
+    return found
+
+
 @lru_cache(maxsize=100_000)
 def _is_latin_filler(word: str) -> bool:
     return bool(_LATIN_FILLER.fullmatch(word))
 
 
-def is_residue(tokens: list[str]) -> bool:
-    """The verdict on a message."""
+@lru_cache(maxsize=1)
+def _literals() -> tuple[frozenset[str], tuple[str, ...]]:
+    """The literal words and ideographs of the wordings, and their longer parts."""
+    words = set(re.findall(r"[a-z']{2,}", re.sub(r"\\[a-zA-Z]", " ", _SAYS.pattern + _MAY_SAY.pattern)))
+    wide = set(re.findall(r"[^\x00-\x7f]", _SAYS.pattern))
+    return frozenset(words | wide), tuple(w for w in words if len(w) >= 5)
+
+
+@lru_cache(maxsize=200_000)
+def may_be_cue(token: str) -> bool:
+    """Whether a token can be part of some wording, so that it is never a variable part."""
+    whole, parts = _literals()
+    if not token.isalnum() or token in whole or token.isdigit() and len(token) == 3 and token[0] in "45" or set(token) == {"x"}:
+        return True
+    return token.isascii() and (_is_latin_filler(token) or any(p in token for p in parts))
+
+
+def is_residue(tokens: list[str], recurs: bool = False) -> bool:
+    """The verdict on a message; ``recurs``: whether its template stands in several texts."""
     if next(_gate().iter("".join(tokens)), None):
-        if _SAYS.search(joined(tokens)):
+        text = joined(tokens)
+        if _SAYS.search(text) or recurs and _MAY_SAY.search(text):
             return True
     words = [t for t in tokens if t.isascii() and t.isalpha()]
     if len(words) >= 5:
@@ -231,70 +271,33 @@ def is_residue(tokens: list[str]) -> bool:
     return False
 
 
-STRETCH, CHANCE = 14, 0.4
-HEAD_PAIRS, HEAD_CHARS = 300_000, 100_000
-_READING = re.compile("[㆐-㆟][ァ-ヺ]?")
-_RUN = re.compile(r"[぀-ヿ㐀-鿿]{2,}")
-
-
-def pairs_of(text: str) -> list[str]:
-    """Neighbouring ideographs and kana of a text, reading marks left out."""
-    return [r[i : i + 2] for r in _RUN.findall(_READING.sub("", text)) for i in range(len(r) - 1)]
-
-
-def pair_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(pair, n) over all texts; each task adds up before the shuffle."""
+def template_of(tokens: list[str], kept: set[tuple[int, str]]) -> list[str]:
+    """A message with its variable parts left open: tokens neither ``kept`` in their leaf nor part of a cue."""
+    return [t if (i, t) in kept or may_be_cue(t) else ANY for i, t in enumerate(tokens)]
 
-    def rows(c: dict[str, list]) -> dict[str, list]:
-        found: Counter = Counter()
-        for x in c[text]:
-            found.update(pairs_of(x))
-        return {"pair": list(found), "n": list(found.values())}
-
-    return map_rows(docs.where(F.col(text).rlike("[぀-ヿ㐀-鿿]")).select(text), "pair string, n bigint", rows).groupBy("pair").agg(F.sum("n").alias("n"))
 
+def mine(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, leaf, message, slot): the messages of every text that hold a cue, and a row for each text with an unfilled slot.
 
-def associations(docs: DataFrame, text: str) -> Broadcast:
-    """(log association of the most frequent pairs, counts of first characters, of second ones, all pairs).
-
-    At most HEAD_PAIRS pairs and HEAD_CHARS characters are broadcast; a pair
-    beyond them counts as seen once.
+    A text is folded and run through one automaton first; only one with a cue is
+    cut into messages, only one with a slot's stem is searched for slots.
     """
-    counted = cut(pair_counts(docs, text))
-    ends = [head(counted.groupBy(F.substring("pair", i, 1).alias("c")).agg(F.sum("n").alias("n")), "n", "c", HEAD_CHARS).toPandas() for i in (1, 2)]
-    first, second = (dict(e.itertuples(index=False, name=None)) for e in ends)
-    total = sum(first.values())
-    top = head(counted, "n", "pair", HEAD_PAIRS).toPandas()
-    logs = {p: math.log(n * total / (first.get(p[0], 1) * second.get(p[1], 1))) for p, n in top.itertuples(index=False, name=None)}
-    return docs.sparkSession.sparkContext.broadcast((logs, first, second, total))
-
-
-def is_salad(text: str, known: tuple[dict[str, float], dict[str, int], dict[str, int], int]) -> bool:
-    """Whether some stretch of a text holds its characters in no order of any language."""
-    pairs = pairs_of(text)
-    if len(pairs) < STRETCH:
-        return False
-    logs, first, second, total = known
-    bits = [logs[p] if p in logs else math.log(max(total, 1) / (first.get(p[0], 1) * second.get(p[1], 1))) for p in pairs]
-    run = np.cumsum(np.concatenate([[0.0], np.clip(bits, -6, 4)]))
-    return bool(((run[STRETCH:] - run[:-STRETCH]) < CHANCE * STRETCH).any())
-
-
-def mine(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, leaf, message, slot): the messages of every text, and a row for each with an unfilled slot or random characters."""
     kind = dict(docs.dtypes)[key]
-    known = associations(docs, text)
 
     def rows(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {key: [], "leaf": [], "message": [], "slot": []}
         for k, x in zip(c[key], c[text]):
             if not x or not x.strip():
                 continue
-            found = dict.fromkeys((leaf_of(m), "\x1f".join(m)) for m in messages(x))
-            for leaf, message in found:
-                for name, v in zip(out, (k, leaf, message, False)):
-                    out[name].append(v)
-            if SLOT.search(unicodedata.normalize("NFKC", x) if not x.isascii() else x) or not x.isascii() and is_salad(x, known.value):
+            whole = folded(x)
+            seen = cues("".join(whole.split()))
+            repeats = _REPEATS.search(whole) is not None
+            if seen & 1 or repeats:
+                kept = dict.fromkeys("\x1f".join(m) for m in messages(x) if repeats or cues("".join(m)) & 1)
+                for message in kept:
+                    for name, v in zip(out, (k, leaf_of(message.split("\x1f")), message, False)):
+                        out[name].append(v)
+            if seen & 2 and SLOT.search(wide_form(x)):
                 for name, v in zip(out, (k, None, None, True)):
                     out[name].append(v)
         return out
@@ -304,23 +307,48 @@ def mine(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def templates(mined: DataFrame) -> DataFrame:
-    """(leaf, message, n, residue): the distinct messages of every leaf, their number and verdict."""
+    """(leaf, message, n, template, residue): the distinct messages of every leaf, the texts that hold them, their template and its verdict.
+
+    A position of a leaf keeps at most 1 / SHARE tokens, so what is gathered of a
+    leaf has a bound, however many messages it holds.
+    """
     distinct = mined.where("leaf is not null").groupBy("leaf", "message").agg(F.count(F.lit(1)).alias("n"))
+    placed = distinct.select("leaf", "n", F.posexplode(F.split("message", "\x1f")).alias("at", "token"))
+    counts = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
+    leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("of"))
+    often = counts.join(leaves, "leaf").where(F.col("n") >= SHARE * F.col("of")).groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("kept"))
 
-    def rows(c: dict[str, list]) -> dict[str, list]:
-        return c | {"residue": [is_residue(m.split("\x1f")) for m in c["message"]]}
+    def open_up(c: dict[str, list]) -> dict[str, list]:
+        made = [template_of(m.split("\x1f"), {(k["at"], k["token"]) for k in kept or ()}) for m, kept in zip(c["message"], c["kept"])]
+        return {k: c[k] for k in ("leaf", "message", "n")} | {"template": ["\x1f".join(t) for t in made]}
+
+    opened = map_rows(distinct.join(often, "leaf", "left"), "leaf bigint, message string, n bigint, template string", open_up)
+    groups = opened.groupBy("leaf", "template").agg(F.sum("n").alias("of"), F.min("message").alias("low"), F.max("message").alias("high"))
+
+    def judge(c: dict[str, list]) -> dict[str, list]:
+        out = []
+        for of, *members in zip(c["of"], c["low"], c["high"]):
+            a, b = (is_residue(m.split("\x1f"), of >= RECURS) for m in members)
+            out.append(a if a == b else None)
+        return {k: c[k] for k in ("leaf", "template", "of")} | {"verdict": out}
+
+    judged = map_rows(groups, "leaf bigint, template string, of bigint, verdict boolean", judge)
+
+    def settle(c: dict[str, list]) -> dict[str, list]:
+        out = [is_residue(m.split("\x1f"), of >= RECURS) if v is None else v for m, of, v in zip(c["message"], c["of"], c["verdict"])]
+        return {k: c[k] for k in ("leaf", "message", "n", "template")} | {"residue": out}
 
-    return map_rows(distinct, "leaf bigint, message string, n bigint, residue boolean", rows)
+    return map_rows(opened.join(judged, ["leaf", "template"]), "leaf bigint, message string, n bigint, template string, residue boolean", settle)
 
 
 def leaf_templates(verdicts: DataFrame) -> DataFrame:
-    """(leaf, n, template) of every leaf with residue: its residue messages, counted, and what they have in common."""
-    leaves = verdicts.where("residue").groupBy("leaf").agg(F.sum("n").alias("n"), F.min("message").alias("low"), F.max("message").alias("high"))
+    """(leaf, n, template) of every template of residue: the texts that hold it and its wording with variable parts open."""
+    found = verdicts.where("residue").groupBy("leaf", "template").agg(F.sum("n").alias("n"))
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        return {"leaf": c["leaf"], "n": c["n"], "template": [joined(template_of(low.split("\x1f"), high.split("\x1f"))) for low, high in zip(c["low"], c["high"])]}
+        return {"leaf": c["leaf"], "n": c["n"], "template": [joined(t.split("\x1f")) for t in c["template"]]}
 
-    return map_rows(leaves, "leaf bigint, n bigint, template string", rows)
+    return map_rows(found, "leaf bigint, n bigint, template string", rows)
 
 
 def residue(mined: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:

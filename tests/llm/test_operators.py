@@ -377,21 +377,25 @@ def test_residue(spark):
     assert sorted(set(range(len(BAD))) ^ got) == []
 
 
-def test_random_characters():
-    rng = random.Random(3)
-    words = ["官吏", "鐘鼓", "橋梁", "蝗螟", "倉廩", "墨跡", "舟楫", "井泉", "律令", "祭器"]
-    texts = ["".join(rng.choice(words) for _ in range(30)) for _ in range(400)]
-    mixed = list("".join(texts[0]))
-    rng.shuffle(mixed)
-    counts = residue.Counter(p for t in texts for p in residue.pairs_of(t))
-    first, second = residue.Counter(), residue.Counter()
-    for p, n in counts.items():
-        first[p[0]] += n
-        second[p[1]] += n
-    total = sum(counts.values())
-    known = ({p: np.log(n * total / (first[p[0]] * second[p[1]])) for p, n in counts.items()}, first, second, total)
-    assert residue.is_salad("".join(mixed), known) and not any(residue.is_salad(t, known) for t in texts)
-    assert not residue.is_salad("官吏", known) and not residue.is_salad("", known)
+def test_slots_beside_ideographs(spark):
+    bad = ["水利を示す。 %EDITION%公の問題", "增橋梁 undefined undefined惟私無巡", "田畝不詳耳。 {0}閉孤寡無橋梁", "エラーerror 503です"]
+    good = ["约占43.5%。", "{illegible} and {12 lines}", "100% of Edition%", "undefined_undefined"]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "doc_id bigint, text string")
+    mined = residue.mine(df, "doc_id", "text").cache()
+    assert sorted(r.doc_id for r in residue.residue(mined, residue.templates(mined), "doc_id").collect()) == [0, 1, 2, 3]
+
+
+def test_one_verdict_a_template_whatever_stands_around_it(spark):
+    """Members share one verdict; thousands of ordinary messages of the same leaf change none."""
+    few = ["Access to the quarry page has been denied."]
+    many = [f"Access to the quarry w{i} has been denied." for i in range(300)] + [f"Of the access page w{i} was kept here" for i in range(600)] + ["Of the access page lorem ipsum kept here"]
+    weak = ["Loading", "Just a moment..."] + ["Click here"] * 3
+    for docs, want in ((few, {0}), (many, {*range(300), 900}), (weak, {2, 3, 4})):
+        mined = residue.mine(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), "doc_id", "text").cache()
+        verdicts = residue.templates(mined).cache()
+        assert {r.doc_id for r in residue.residue(mined, verdicts, "doc_id").collect()} == want
+        if len(docs) > 500:
+            assert (300, "access to the quarry <*> has been denied.") in {(r.n, r.template) for r in residue.leaf_templates(verdicts).collect()}
 
 
 def test_long_messages_are_whole():
