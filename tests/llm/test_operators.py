@@ -214,10 +214,25 @@ def test_fusion_against_brute_force(spark):
     assert all(0 < r.rho <= 1 for r in got.values())
     ranked = rank_fusion.ranking(rank_fusion.fuse(df, list("abc"))).collect()
     assert min(r.place for r in ranked) == 1
+    wins = {c for c, r in got.items() for at in [sorted(r[f"place_{x}"] or 999 for x in "abc")] if at[1] == 1 and at[2] <= 3}
+    assert {r.chunk_id for r in rank_fusion.clear_winners(rank_fusion.fuse(df, list("abc")), list("abc")).collect()} == wins
     scaled = df.withColumn("score", F.when(F.col("leg") == "a", F.exp(F.col("score") / 100)).otherwise(F.col("score")))
     assert {r.chunk_id: r.rho for r in rank_fusion.fuse(scaled, list("abc")).collect()} == {c: r.rho for c, r in got.items()}
 
 
+def test_significance_selects_the_winners(spark):
+    """Every case lies within the bound of its rho, few others do; the filter stays in the plan."""
+    rng = random.Random(6)
+    rows = [(f"q{q}", leg, f"c{i}", round(rng.random(), 1) if q % 3 else rng.random()) for q in range(60) for leg in "abc" for i in range(1 + q % 17) if rng.random() < 0.95]
+    fused = rank_fusion.fuse(spark.createDataFrame(rows, "query_id string, leg string, chunk_id string, score double"), list("abc")).cache()
+    every = fused.collect()
+    wins = {(r.query_id, r.chunk_id) for r in every for at in [sorted(r[f"place_{x}"] or 999 for x in "abc")] if at[1] == 1 and at[2] <= 3}
+    likely = {(r.query_id, r.chunk_id) for r in fused.where(F.col("rho") <= rank_fusion.winning_rho(list("abc")) * (1 + 1e-9)).collect()}
+    found = rank_fusion.clear_winners(fused, list("abc"))
+    assert wins and {(r.query_id, r.chunk_id) for r in found.collect()} == wins <= likely and len(likely) < len(every) / 2
+    assert "rho" in found.select("query_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
 # 6 -------------------------------------------------------------------------------------------------------------
 
 
@@ -289,6 +304,36 @@ def test_stretches_compose(text, stretch):
     assert sentences.boundaries(text, stretch) == sentences.boundaries(text, 10**6)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB1. ?!。，“”「」\"'’()\n　漢か：", max_size=300), st.integers(1, 60), st.integers(3, 40))
+def test_ranges_by_themselves_give_the_whole(text, size, stretch):
+    if not text.strip():
+        return
+    parts = list(sentences.ranges(text, size))
+    assert "".join(p[lead:] for _, lead, p, _ in parts) == text
+    ahead = [0]
+    for f in sentences.prefix_scan([sentences.range_back(p, lead) for _, lead, p, _ in reversed(parts[1:])], sentences.compose_bits):
+        ahead.append(f[0])
+    state, so_far, got = 0, False, []
+    for (off, lead, p, last), a in zip(parts, reversed(ahead)):
+        got += [off - lead + e for e in sentences.emit(p, lead, last, a, state, so_far, stretch)]
+        to, none, some = sentences.range_forth(p, lead, a, stretch)
+        state, so_far = to[state], some if so_far else none
+    assert got == sentences.boundaries(text, 10**6)
+
+
+def test_pages_compose_functions(spark, small, monkeypatch):
+    """Pages over a stretch are composed of transition functions, texts over a range as rows."""
+    made = []
+    monkeypatch.setattr(sentences, "compose", lambda f, g: made.append(1) or [g[x] for x in f])
+    pages = [r.textFused for r in spark.read.parquet(f"{small}/page.parquet").where("mode = 'native' and length(textFused) > 1200").select("textFused").collect()]
+    scan = sentences.prefix_scan
+    monkeypatch.setattr(sentences, "prefix_scan", lambda fs, then=None: scan(fs, then or sentences.compose))
+    for p in pages:
+        sentences.boundaries(p)
+    assert len(pages) > 3 and len(made) >= len(pages)
+
+
 def test_sentences_of_nothing():
     assert sentences.boundaries("") == [] == sentences.boundaries(" \n　")
 
@@ -388,7 +433,8 @@ def test_slots_beside_ideographs(spark):
 def test_one_verdict_a_template_whatever_stands_around_it(spark):
     """Members share one verdict; thousands of ordinary messages of the same leaf change none."""
     few = ["Access to the quarry page has been denied."]
-    many = [f"Access to the quarry w{i} has been denied." for i in range(300)] + [f"Of the access page w{i} was kept here" for i in range(600)] + ["Of the access page lorem ipsum kept here"]
+    names = ["".join(chr(97 + i // 26**j % 26) for j in range(3)) + "ford" for i in range(600)]
+    many = [f"Access to the quarry {x} has been denied." for x in names[:300]] + [f"Of the access page {x} was kept here" for x in names] + ["Of the access page lorem ipsum kept here"]
     weak = ["Loading", "Just a moment..."] + ["Click here"] * 3
     for docs, want in ((few, {0}), (many, {*range(300), 900}), (weak, {2, 3, 4})):
         mined = residue.mine(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), "doc_id", "text").cache()
