@@ -176,7 +176,7 @@ def joined(tokens: list[str]) -> str:
     """Tokens as text again: a space between words, none beside ideographs and marks."""
     out: list[str] = []
     for a, b in zip(["", *tokens], tokens):
-        if a and (a[-1].isalnum() or a in ".,:;)?!*>\"") and (b[0].isalnum() or b[0] in "(<\"") and not (_WIDE.match(b) or _WIDE.match(a)):
+        if a and (a[-1].isalnum() or a == ANY or a in ".,:;)?!*>\"") and (b[0].isalnum() or b[0] in "(<\"") and not (_WIDE.match(b) or _WIDE.match(a)):
             if not (a in ".:-" and b.isdigit()):
                 out.append(" ")
         out.append(b)
