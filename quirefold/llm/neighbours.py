@@ -11,10 +11,15 @@ split not taken, until it has visited ``probes`` leaves.  Leaves are searched
 with one-byte codes in blocks of matrix products; the candidates are reranked by
 exact cosines.
 
+The sample bounds the number of leaves, so leaves grow with the table.  A leaf of
+more than ``SPLIT`` vectors is split again where it is searched: ``SUB_TREES`` trees
+are fitted from its own vectors and searched in the same way, so that a search reads
+a bounded number of vectors of each leaf, whatever the size of the table.
+
 Exact copies are collapsed before the search: a group of copies is one vector of
-the index, however many rows it holds, and at most ``k + 1`` of its members can
-stand in any list of k (equal similarities are ordered by key), so only those
-are expanded.
+the index, however many rows it holds.  Every copy has its list.  At most ``k + 1``
+members of a group can stand in any list of k (equal similarities are ordered by
+key), so only those are expanded as neighbours.
 
 Defined cases: null, short or long vectors, vectors with null, NaN or infinite
 values and all-zero ones are left out; of a key's states the latest holds; a
@@ -38,6 +43,8 @@ from quirefold.tables import latest
 DIMS = 64
 SAMPLE, TREES, PROBES, LEAF = 16_384, 6, 12, 256
 ASKED_PROBES = 200
+KEPT = 16
+SPLIT, SUB_TREES, SUB_PROBES = 4096, 3, 12
 
 
 def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +76,9 @@ def search_forest(x: np.ndarray, normals: np.ndarray, offsets: np.ndarray, probe
     """(own leaf in each tree, the ``probes`` leaves visited) of each row of ``x``, as cell numbers.
 
     All rows advance together: each holds its queue as a row of a matrix; a step
-    pops every row's best entry, goes down to a leaf and pushes the siblings.
+    pops every row's best entry, goes down to a leaf and pushes the siblings.  Of a
+    queue only as many entries as there are steps left can ever be popped; every
+    ``KEPT`` steps the others are dropped, so a step costs no more at its end.
     """
     trees, nodes = offsets.shape
     leaves, n = nodes + 1, len(x)
@@ -77,7 +86,7 @@ def search_forest(x: np.ndarray, normals: np.ndarray, offsets: np.ndarray, probe
     probes = min(probes, trees * leaves)
     flat_n, flat_o = normals.reshape(-1, x.shape[1]), offsets.reshape(-1)
     rows = np.arange(n)
-    width = trees + probes * depth
+    width = max(trees, probes) + KEPT * max(1, depth)
     priority = np.full((n, width), -np.inf, dtype=np.float32)
     entry = np.zeros((n, width), dtype=np.int32)  # tree * (2 * leaves) + node
     priority[:, :trees] = np.inf
@@ -85,7 +94,12 @@ def search_forest(x: np.ndarray, normals: np.ndarray, offsets: np.ndarray, probe
     used = trees
     visited = np.zeros((n, probes), dtype=np.int32)
     for p in range(probes):
-        best = priority.argmax(axis=1)
+        if used + depth > width:
+            left = np.argpartition(-priority[:, :used], probes - p - 1, axis=1)[:, : probes - p]
+            kept = np.take_along_axis(priority, left, 1), np.take_along_axis(entry, left, 1)
+            priority[:], used = -np.inf, left.shape[1]
+            priority[:, :used], entry[:, :used] = kept
+        best = priority[:, : max(used, 1)].argmax(axis=1)
         bound = priority[rows, best].copy()
         tree, node = np.divmod(entry[rows, best], 2 * leaves)
         priority[rows, best] = -np.inf
@@ -96,10 +110,9 @@ def search_forest(x: np.ndarray, normals: np.ndarray, offsets: np.ndarray, probe
             right = margin >= 0
             down = 2 * node + 1 + right
             other = 2 * node + 2 - right
-            if used < width:
-                priority[:, used] = np.where(inner, np.minimum(bound, -np.abs(margin)), -np.inf)
-                entry[:, used] = tree * (2 * leaves) + other
-                used += 1
+            priority[:, used] = np.where(inner, np.minimum(bound, -np.abs(margin)), -np.inf)
+            entry[:, used] = tree * (2 * leaves) + other
+            used += 1
             node = np.where(inner, down, node)
         visited[:, p] = np.where(bound > -np.inf, tree * leaves + node - nodes, -1)
     return visited[:, :trees] if probes >= trees else visited, visited
@@ -129,7 +142,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def sound(df: DataFrame, key: str, vector: str, order: str | None, dims: int = DIMS) -> DataFrame:
     """(key, unit, print) of usable vectors; ``print`` is equal for copies in direction."""
-    one = latest(df.select(key, order, vector), key, order) if order else df.select(key, vector).where(F.col(key).isNotNull()).dropDuplicates([key])
+    one = latest(df.select(key, order, vector), key, order) if order else df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(vector).alias(vector))
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +175,90 @@ def sampled(units: DataFrame, key: str, rows: int) -> np.ndarray:
     return _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
 
 
+def leaf_blocks(ids: np.ndarray, index: np.ndarray, x: np.ndarray, size: int = 16_384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of ``x``, rows of ``index``) that are to be compared, of one leaf.
+
+    A leaf of at most SPLIT vectors is compared whole.  A larger one is searched by
+    trees of its own, fitted from a sample of it in the order of ``ids``.
+    """
+    if len(ids) <= SPLIT:
+        for c in range(0, len(ids), size):
+            yield np.arange(len(x)), np.arange(c, min(len(ids), c + size))
+        return
+    dims = min(DIMS, index.shape[1])
+    order, forest, members, starts = _inner_index(ids, index, dims)
+    cells = starts.shape[0] - 1
+    seen = search_forest(np.ascontiguousarray(x[:, :dims]), *forest, SUB_PROBES)[1]
+    who, cell = np.repeat(np.arange(len(x)), seen.shape[1]), seen.ravel()
+    who, cell = who[cell >= 0], cell[cell >= 0]
+    by = np.argsort(cell, kind="stable")
+    who, cell = who[by], cell[by]
+    cuts = np.searchsorted(cell, np.arange(cells + 1))
+    for j in np.flatnonzero(np.diff(cuts)):
+        inside = members[starts[j] : starts[j + 1]]
+        for c in range(0, len(inside), size):
+            yield who[cuts[j] : cuts[j + 1]], inside[c : c + size]
+
+
+_INNER: dict[tuple[int, int, int], tuple] = {}
+
+
+def _inner_index(ids: np.ndarray, index: np.ndarray, dims: int) -> tuple:
+    """(ids, forest, members by inner leaf, their starts); that of the leaf searched last is kept."""
+    key = (id(ids), len(ids), int(ids[0]))
+    if key not in _INNER:
+        _INNER.clear()
+        x = np.ascontiguousarray(index[:, :dims], dtype=np.float32)
+        order = np.argsort(ids, kind="stable")
+        sample = x[order[:: max(1, len(ids) // SAMPLE)]][:SAMPLE]
+        forest = fit_forest(sample, len(ids), SUB_TREES)
+        own = np.concatenate([search_forest(x[i : i + 4096], *forest, SUB_TREES)[0] for i in range(0, len(x), 4096)])
+        cell = own.ravel()
+        by = np.argsort(cell, kind="stable")
+        members = np.repeat(np.arange(len(ids)), own.shape[1])[by]
+        starts = np.searchsorted(cell[by], np.arange(SUB_TREES * (forest[1].shape[1] + 1) + 1))
+        _INNER[key] = (ids, forest, members, starts)
+    return _INNER[key]
+
+
+def leaves(batches: Iterator[pa.RecordBatch], width: int, themselves_too: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids and vectors of a leaf, ids and vectors that search it), in blocks.
+
+    Rows (cell, home, rid, code) come by cell, a leaf's own vectors first.  With
+    ``themselves_too`` these search their leaf as well, once all of it is read.
+    """
+    now, own, held, whole = None, [], [], None
+
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        return (np.concatenate(own), np.concatenate(held)) if own else (np.zeros(0, np.int64), np.zeros((0, width), np.float32))
+
+    def themselves(leaf):
+        for i in range(0, len(leaf[0]) if themselves_too else 0, 1024):
+            yield (*leaf, leaf[0][i : i + 1024], leaf[1][i : i + 1024])
+
+    for b in batches:
+        cell, home, rid = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+        x = np.column_stack(decoded(b.column(3).to_pylist()))[:, :width]
+        cuts = np.flatnonzero(np.diff(cell)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
+            if cell[lo] != now:
+                if now is not None and whole is None:
+                    yield from themselves(gathered())
+                now, own, held, whole = cell[lo], [], [], None
+            mid = lo + int(home[lo:hi].sum())
+            if mid > lo:
+                own.append(rid[lo:mid])
+                held.append(x[lo:mid])
+            if mid < hi:
+                if whole is None:
+                    whole = gathered()
+                    yield from themselves(whole)
+                for i in range(mid, hi, 1024):
+                    yield (*whole, rid[i : min(hi, i + 1024)], x[i : min(hi, i + 1024)])
+    if now is not None and whole is None:
+        yield from themselves(gathered())
+
+
 def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int = PROBES, trees: int = TREES) -> DataFrame:
     """(a, b, cosine) for a != b: from the index, the pairs of distinct vectors with a cosine of at least ``floor``.
 
@@ -199,41 +296,28 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last column of a vector is its slack: products then hold what coding may have taken from them, and no pair is lost by it.
         least = 1 + floor - 1e-5
-        now, ids, index = None, [], np.zeros((0, DIMS + 1), np.float32)
-        for b in batches:
-            cell = b.column(0).to_numpy()
-            home = b.column(1).to_numpy(zero_copy_only=False)
-            rid = b.column(2).to_numpy()
-            x = np.column_stack(decoded(b.column(3).to_pylist()))
-            cuts = np.flatnonzero(np.diff(cell)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
-                if cell[lo] != now:
-                    now, ids, index = cell[lo], np.zeros(0, np.int64), np.zeros((0, x.shape[1]), np.float32)
-                mid = lo + int(home[lo:hi].sum())  # rows of the leaf come before the searches
-                if mid > lo:
-                    ids, index = np.concatenate([ids, rid[lo:mid]]), np.concatenate([index, x[lo:mid]])
-                for i in range(lo, hi, 1024):
-                    j = min(hi, i + 1024)
-                    for c in range(0, len(ids), 16_384):
-                        s = x[i:j] @ index[c : c + 16_384].T
-                        q, n = np.nonzero(s >= least)
-                        if len(q) and np.bincount(q).max() > 2 * k:
-                            near = s[q, n] - x[i:j, -1][q] * index[c : c + 16_384, -1][n]
-                            order = np.lexsort((-near, q))
-                            q, n = q[order], n[order]
-                            first = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-                            nth = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-                            q, n = q[nth < 2 * k], n[nth < 2 * k]
-                        a, o = rid[i:j][q], ids[c : c + 16_384][n]
-                        other = a != o
-                        if other.any():
-                            a, o = a[other], o[other]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, o)), pa.array(np.maximum(a, o))], names=["ra", "rb"])
+        for ids, index, rid, x in leaves(batches, DIMS + 1):
+            for rows_, inside in leaf_blocks(ids, index, x):
+                xs, held = x[rows_], index[inside]
+                s = xs @ held.T
+                q, n = np.nonzero(s >= least)
+                if len(q) and np.bincount(q).max() > 2 * k:
+                    near = s[q, n] - xs[q, -1] * held[n, -1]
+                    order = np.lexsort((ids[inside][n], -near, q))
+                    q, n = q[order], n[order]
+                    first = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+                    nth = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+                    q, n = q[nth < 2 * k + 1], n[nth < 2 * k + 1]
+                a, o = rid[rows_][q], ids[inside][n]
+                other = a != o
+                if other.any():
+                    pair = np.unique(np.stack([np.minimum(a, o)[other], np.maximum(a, o)[other]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["ra", "rb"])
 
     lean = units.select(F.xxhash64(key).alias("rid"), "unit")
     cells = lean.mapInArrow(place, "cell int, home boolean, rid bigint, code binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    near = cells.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("home")).mapInArrow(search, "ra bigint, rb bigint").distinct()
+    near = cells.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("home"), "rid").mapInArrow(search, "ra bigint, rb bigint").distinct()
     full = units.select(F.xxhash64(key).alias("r"), F.col(key).alias("i"), F.col("unit").alias("u"))
     both = near.join(full.toDF("ra", "a", "ua"), "ra").join(full.toDF("rb", "b", "ub"), "rb")
     cosine = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -241,19 +325,53 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
     return exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
 
 
+def collapsed(units: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of exact copies: (key, unit, print) of the first key of each, and (print, members, n): its first k + 1 keys."""
+    first = units.groupBy("print").agg(F.min(F.struct(key, "unit")).alias("m"), F.count(F.lit(1)).alias("n"))
+    reps = first.select(F.col(f"m.{key}").alias(key), F.col("m.unit").alias("unit"), "print", "n")
+    nth = F.row_number().over(W.partitionBy("print").orderBy(key))
+    listed = units.select("print", key).withColumn("_nth", nth).where(F.col("_nth") <= k + 1).groupBy("print").agg(F.array_sort(F.collect_list(key)).alias("members"))
+    return reps, listed
+
+
+def expanded(links: DataFrame, units: DataFrame, reps: DataFrame, listed: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, other, cosine, place): lists of ``units``' keys from links (a, b, cosine) between groups' first keys.
+
+    A key whose group has more than k members has k copies at the cosine 1, ordered by
+    key, and needs nothing else; other keys have the members of their own group and
+    those of the groups linked to it.
+    """
+    groups = reps.select("print", F.col(key).alias("rep"), "n").join(listed, "print")
+    own = units.select("print", key).join(groups, "print")
+    copies = own.where("n > 1").select(F.col(key).alias("a"), F.explode("members").alias("b"), F.lit(1.0).alias("cosine")).where("a <> b")
+    few = own.where(F.col("n") <= k).select(F.col("rep").alias("a"), F.col(key).alias("_k"))
+    across = links.join(few, "a").drop("a").withColumnRenamed("_k", "a").join(groups.select(F.col("rep").alias("b"), "members"), "b").select("a", F.explode("members").alias("b"), "cosine")
+    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))
+    every = copies.unionByName(across).withColumn("place", place)
+    return every.where(F.col("place") <= k).select(F.col("a").alias(key), F.col("b").alias("other"), "cosine", "place")
+
+
 def nearest(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int = ASKED_PROBES, trees: int = TREES) -> DataFrame:
     """(key, other, cosine, place): for a stated set of queries (rows of ``units``) their k most similar others.
 
-    All rows are indexed; only the queries search, with many more probes than a
-    join of all rows, since no floor narrows what they look for.  Of each leaf a
-    query keeps its 2 k best by code, of all leaves its 5 k best, which are then
-    ranked by exact cosine.
+    All rows are indexed, copies as one; only the queries search, with many more
+    probes than a join of all rows, since no floor narrows what they look for.  Of
+    each leaf a query keeps its 2 k best by code, of all leaves its 5 k best, which
+    are then ranked by exact cosine.
     """
+    reps, listed = collapsed(units, key, k)
+    reps = cut(reps)
+    wanted = reps.join(asked.select("print").distinct(), "print", "left_semi")
+    return expanded(_nearest_reps(reps, wanted, key, k, probes, trees), asked, reps, listed, key, k)
+
+
+def _nearest_reps(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int, trees: int) -> DataFrame:
+    """(a, b, cosine): the k most similar others of each of ``asked`` among ``units``, no two of which are copies."""
     spark = units.sparkSession
     kind = dict(units.dtypes)[key]
     rows = units.count()
     if rows < 2:
-        return spark.createDataFrame([], f"`{key}` {kind}, other {kind}, cosine double, place int")
+        return spark.createDataFrame([], f"a {kind}, b {kind}, cosine double")
     sample = sampled(units, key, rows)
     forest = spark.sparkContext.broadcast(fit_forest(sample, rows, trees))
 
@@ -274,65 +392,40 @@ def nearest(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int =
         return run
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, index = None, np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32)
-        for b in batches:
-            cell, home, rid = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
-            x = decoded(b.column(3).to_pylist())[0]
-            cuts = np.flatnonzero(np.diff(cell)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
-                if cell[lo] != now:
-                    now, ids, index = cell[lo], np.zeros(0, np.int64), np.zeros((0, x.shape[1]), np.float32)
-                mid = lo + int(home[lo:hi].sum())
-                if mid > lo:
-                    ids, index = np.concatenate([ids, rid[lo:mid]]), np.concatenate([index, x[lo:mid]])
-                for i in range(mid, hi, 512):
-                    q = rid[i : min(hi, i + 512)]
-                    for c in range(0, len(ids), 16_384):
-                        score = x[i : i + len(q)] @ index[c : c + 16_384].T
-                        score[q[:, None] == ids[None, c : c + 16_384]] = -np.inf
-                        n = min(2 * k, score.shape[1])
-                        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                        value = np.take_along_axis(score, best, 1).ravel()
-                        sound_ = np.isfinite(value)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(q, n)[sound_]), pa.array(ids[c : c + 16_384][best].ravel()[sound_]), pa.array(value[sound_].astype(np.float32))], names=["ra", "rb", "near"]
-                        )
+        for ids, index, rid, x in leaves(batches, DIMS, False):
+            for rows_, inside in leaf_blocks(ids, index, x):
+                q, names = rid[rows_], ids[inside]
+                score = x[rows_] @ index[inside].T
+                score[q[:, None] == names[None, :]] = -np.inf
+                n = min(2 * k, score.shape[1])
+                best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                value = np.take_along_axis(score, best, 1).ravel()
+                sound_ = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)[sound_]), pa.array(names[best].ravel()[sound_]), pa.array(value[sound_].astype(np.float32))], names=["ra", "rb", "near"])
 
     lean = lambda df: df.select(F.xxhash64(key).alias("rid"), "unit")
     schema = "cell int, home boolean, rid bigint, code binary"
     cells = lean(units).mapInArrow(place(True, trees), schema).unionByName(lean(asked).mapInArrow(place(False, probes), schema))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = cells.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("home")).mapInArrow(search, "ra bigint, rb bigint, near float")
+    found = cells.repartition(parts, "cell").sortWithinPartitions("cell", F.desc("home"), "rid").mapInArrow(search, "ra bigint, rb bigint, near float")
     met = found.groupBy("ra", "rb").agg(F.max("near").alias("near"))
     first = met.withColumn("_n", F.row_number().over(W.partitionBy("ra").orderBy(F.desc("near"), "rb"))).where(F.col("_n") <= 5 * k).select("ra", "rb")
     full = units.select(F.xxhash64(key).alias("r"), F.col(key).alias("i"), F.col("unit").alias("u"))
     both = first.join(full.toDF("ra", "a", "ua"), "ra").join(full.toDF("rb", "b", "ub"), "rb")
     cosine = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     ranked = both.select("a", "b", cosine.alias("cosine")).where("a <> b")
-    return ranked.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("place") <= k).select(F.col("a").alias(key), F.col("b").alias("other"), "cosine", "place")
+    return ranked.withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("_n") <= k).drop("_n")
 
 
 def neighbours(df: DataFrame, key: str, vector: str, order: str | None, k: int, floor: float, probes: int = PROBES, trees: int = TREES) -> DataFrame:
     """(key, other, cosine, place): for every key its k most similar others with a cosine of at least ``floor``.
 
-    Equal cosines are ordered by key.  Of a group of copies only its first k + 1
-    keys are listed, with one another and with the neighbours of the group.
+    Equal cosines are ordered by key, and every key has its list, copies too.
     """
     units = cut(sound(df, key, vector, order))
-    first = units.groupBy("print").agg(F.min(F.struct(key, "unit")).alias("m"), F.count(F.lit(1)).alias("n"))
-    reps = cut(first.select(F.col(f"m.{key}").alias(key), F.col("m.unit").alias("unit"), "print", "n"))
-    links = similar_pairs(reps, key, floor, k, probes, trees)
-    nth = F.row_number().over(W.partitionBy("print").orderBy(key))
-    copied = reps.where("n > 1").select("print", F.col(key).alias("rep"))
-    twins = units.select(key, "print").join(copied, "print").withColumn("nth", nth).where(F.col("nth") <= k + 1).select("rep", F.col(key).alias("member"))
-    grown = links
-    for end in ("a", "b"):
-        own = twins.select(F.col("rep").alias(end), F.col("member").alias("_m"))
-        grown = grown.join(own, end, "left").withColumn(end, F.coalesce("_m", end)).drop("_m")
-    among = twins.join(twins.withColumnRenamed("member", "other"), "rep").where("member <> other")
-    every = grown.unionByName(among.select(F.col("member").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("cosine")))
-    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    return every.withColumn("place", place).where(F.col("place") <= k).select(F.col("a").alias(key), F.col("b").alias("other"), "cosine", "place")
+    reps, listed = collapsed(units, key, k)
+    reps = cut(reps)
+    return expanded(similar_pairs(reps, key, floor, k, probes, trees), units, reps, listed, key, k)
 
 
 def mutual(lists: DataFrame, key: str) -> DataFrame:

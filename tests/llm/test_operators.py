@@ -66,6 +66,38 @@ def test_forest_recall():
     assert hit.mean() >= 0.95
 
 
+def test_large_leaves_are_split_again():
+    """A leaf over SPLIT vectors is searched by trees of its own: few comparisons, and close pairs are met."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12_000, 64)).astype(np.float32)
+    x[6000:] = x[:6000] + 0.25 * rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(12_000)
+    met, compared = set(), 0
+    for q in range(0, 6000, 1000):
+        for rows, inside in neighbours.leaf_blocks(ids, x, x[q : q + 1000]):
+            compared += len(rows) * len(inside)
+            met |= {(q + rows[a], inside[b]) for a, b in zip(*np.nonzero(x[q : q + 1000][rows] @ x[inside].T > 0.92))}
+    close = {i for i in range(6000) if x[i] @ x[6000 + i] > 0.92}
+    assert len(close) > 3000 and sum((i, 6000 + i) in met for i in close) >= 0.95 * len(close)
+    assert compared < 0.35 * 6000 * 12_000
+
+
+def test_every_copy_has_its_list(spark):
+    rng = np.random.default_rng(4)
+    one, near = rng.normal(size=64), rng.normal(size=64)
+    rows = [(f"c{i:02d}", (one * (1 + i)).tolist()) for i in range(15)] + [("n1", (one + 0.05 * near).tolist()), ("z1", near.tolist()), ("z2", (2 * near).tolist())]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    got: dict = {}
+    for r in neighbours.neighbours(df, "id", "v", None, 3, 0.9).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.other)
+    assert got["c14"] == ["c00", "c01", "c02"] and got["c00"] == ["c01", "c02", "c03"] and got["z1"] == ["z2"] and got["n1"] == ["c00", "c01", "c02"]
+    units = neighbours.sound(df, "id", "v", None)
+    asked = neighbours.nearest(units, units.where("id in ('c14', 'n1', 'z1')"), "id", 3).orderBy("id", "place").collect()
+    assert [[r.other for r in asked if r.id == i] for i in ("c14", "n1")] == [["c00", "c01", "c02"], ["c00", "c01", "c02"]]
+    assert [r.other for r in asked if r.id == "z1"][0] == "z2" and len([r for r in asked if r.id == "z1"]) == 3
+
+
 def test_codes_keep_vectors_with_one_large_component(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 64)).astype(np.float32)
@@ -118,6 +150,31 @@ def test_split_files_like_texts(spark, tmp_path):
     assert [t for *_, t in by_file] == [text[a:b] for a, b, _ in by_file]
     assert by_text == [(a, b, text[a:b]) for a, b, _ in by_text]
     assert by_file[-1][1] == by_text[-1][1] == len(text)
+    assert all(len(t) <= 300 for *_, t in by_file) and all(b[0] == a[1] - 30 for a, b in zip(by_file, by_file[1:]))
+
+
+def test_files_of_one_range_of_many_and_of_none(spark, tmp_path):
+    texts = {"a.txt": "word. " * 900, "b.txt": "漢" * 2500, "c.txt": "", "d.txt": "x", "e.txt": "\ufeffé\n" * 1200}
+    for n, t in texts.items():
+        (tmp_path / n).write_bytes(t.encode())
+    rows = [(str(tmp_path / n), len(t.encode())) for n, t in texts.items()]
+    got: dict = {}
+    for r in splitting.split_files(spark, rows, 100, 10, 700).orderBy("path", "piece").collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
+    assert set(got) == {"a.txt", "b.txt", "d.txt", "e.txt"}
+    for n, rs in got.items():
+        t = texts[n]
+        assert rs[0].start == 0 and rs[-1].end == len(t) and all(r.text == t[r.start : r.end] and len(r.text) <= 100 for r in rs)
+        assert all(b.start == a.end - 10 for a, b in zip(rs, rs[1:])) and len(rs) > 3 * (n != "d.txt")
+    assert any(r.forced for r in got["b.txt"]) and not any(r.forced for r in got["a.txt"])
+
+
+def test_pages_cross_ranges(spark, small):
+    """The whole tables hold texts of several ranges, so their tables are stitched by the queries too."""
+    from quirefold.llm import queries
+
+    tables = splitting.boundary_tables(queries._texts(spark, small.replace("sf0.001", "sf0.01")), ["kind", "item_id"], "text", "most")
+    assert tables.where("range > 0").count() > 0
 
 
 def test_forced_and_very_long(spark):
