@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +11,12 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import leakage, neighbours, page_language, rank_fusion, residue, scan_repair, sentences, shared_spans, splitting, tokenize
 from quirefold.llm.common import held_state
-from quirefold.session import cut, spread
+from quirefold.session import cut, shared_dir, spread
 from quirefold.tables import latest, load
 
 LIMITS = {"page": ("textFused", "fusionAt", 1500), "chunk": ("text", "chunkingAt", 500)}
 OVERLAP = 50
+FILES, FILE_RANGE = 4, 64 << 10
 LEGS = ["bm25", "dense", "rerank"]
 
 
@@ -61,6 +64,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(texts, keys, "text", "most", OVERLAP).join(held, keys, "left_semi").drop("print")
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of all books as plain-text files in the shared folder, cut by byte ranges into pieces of at most 1,500 characters."""
+    pages = latest(load(spark, d, "page"), "id", "fusionAt", ["documentId", "docPageIndex", "textFused", "fusionAt"]).where(F.length("textFused") > 0)
+    folder = os.path.join(shared_dir(spark), f"files-{uuid.uuid4().hex}")
+    pages.repartition(FILES, "documentId", "docPageIndex").sortWithinPartitions("documentId", "docPageIndex", "id").select("textFused").write.text(folder)
+    listed = spark.read.format("binaryFile").load(folder).select("path", "length")
+    cut_ = splitting.split_files(spark, listed, LIMITS["page"][2], OVERLAP, FILE_RANGE)
+    return cut_.withColumn("path", F.regexp_extract("path", "part-([0-9]+)", 1)).withColumnRenamed("path", "file")
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     return page_language.page_languages(load(spark, d, "page"), load(spark, d, "document_meta"))
 
@@ -153,7 +166,7 @@ def p10_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p7_sentences, p8_ids, p9_found, p10_found, p10_templates)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p2_files, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p7_sentences, p8_ids, p9_found, p10_found, p10_templates)}
 
 
 _PLACES = """

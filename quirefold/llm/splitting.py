@@ -13,6 +13,12 @@ last sentence mark there, else the last boundary of any rank, else (a forced
 cut) at the limit; the next begins ``overlap`` characters before that end.  The
 texts of the pieces are then cut out by offset.
 
+Giant files (``split_files``) are never gathered: a worker that reads a byte range
+says how many characters it has and where, near its end, its last natural boundary
+stands.  A prefix sum over these two numbers a range tells every worker the offset of
+its first piece and of its last; it reads its range again with a halo of the
+characters the range before leaves to it, and emits the pieces by itself.
+
 Defined cases: whitespace at both ends does not count and is in no piece; null,
 blank and short texts give no pieces; an item without any boundary is cut at
 the limit; repeated rows give the result of one; an empty table an empty one.
@@ -24,13 +30,14 @@ import bisect
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import code_points, map_rows
 
 MARKS = ".!?;:,。！？；：，、｡．…"
 SENTENCE = ".!?。！？｡．…"
-RANGE_CHARS = 65_536
+RANGE_CHARS = 2048
 CELLS = 10
 
 _RANK = np.zeros(0x110000, dtype=np.uint8)
@@ -166,55 +173,84 @@ def pieces(df: DataFrame, keys: list[str], text: str, limit: str, overlap: int,
     )
 
 
-def _decode(path: str, start: int, length: int, halo: int = 4) -> tuple[str, int]:
-    """The characters of a UTF-8 file whose first byte lies in [start, start + length), and the first one's byte."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        raw = f.read(length + halo)
+def _read(path: str, start: int, length: int) -> bytes:
+    """Bytes of a file on any file system pyarrow knows; a path without a scheme is local."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
+    with system.open_input_file(inner) as f:
+        return f.read_at(length, start)
+
+
+def _decode(path: str, start: int, length: int, halo: int = 4) -> str:
+    """The characters of a UTF-8 file whose first byte lies in [start, start + length); bytes that are no UTF-8 give U+FFFD."""
+    raw = _read(path, start, length + halo)
     a = 0
     while a < min(len(raw), 4) and start and raw[a] & 0xC0 == 0x80:
         a += 1
     b = min(length, len(raw))
     while b < len(raw) and raw[b] & 0xC0 == 0x80:
         b += 1
-    return raw[a:b].decode("utf-8", "replace"), start + a
+    return raw[a:b].decode("utf-8", "replace")
 
 
-def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: int, overlap: int, range_bytes: int = 4 << 20) -> DataFrame:
-    """(path, piece, start, end, forced, text) of UTF-8 files, given as (path, bytes), on storage all workers see.
+def last_boundary(points: np.ndarray) -> int:
+    """How many characters follow the last boundary of the best rank there is; -1 without any."""
+    rank = _RANK[points]
+    for r in range(RANKS, 0, -1):
+        at = np.flatnonzero(rank == r)
+        if len(at):
+            return len(points) - 1 - int(at[-1])
+    return -1
 
-    No worker reads more than a range and a few bytes of halo, or the ranges one piece lies in.
+
+def split_files(spark: SparkSession, files: list[tuple[str, int]] | DataFrame, limit: int, overlap: int, range_bytes: int = 4 << 20) -> DataFrame:
+    """(path, piece, start, end, forced, text) of UTF-8 files, given as rows (path, bytes), on storage all workers see.
+
+    No worker reads more than its range and a halo of the half limit and the overlap
+    before it.  ``piece`` rises along a file: the range's number times 2^32 plus the
+    place in it.  A range's last piece ends at the last natural boundary of its last
+    half limit, or is forced at its end.
     """
-    ranges = spark.createDataFrame([(p, n) for p, n in files], "path string, size bigint").select(
-        "path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"cast(greatest(size - 1, 0) div {range_bytes} as bigint)"))).alias("no")
-    )
-    ranges = ranges.repartition("path", "no")
-    schema = f"path string, most int, range int, skip int, byte bigint, {TABLE}"
+    if range_bytes < 4 * (limit + overlap) // 2:
+        raise ValueError("a range must hold more than half a piece and its overlap")
+    listed = (files if isinstance(files, DataFrame) else spark.createDataFrame([(p, n) for p, n in files], "path string, size bigint")).toDF("path", "size")
+    last = F.expr(f"cast(greatest(size - 1, 0) div {range_bytes} as bigint)")
+    ranges = listed.where("size > 0").select("path", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("no")).repartition("path", "no")
 
     def scan(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {n: [] for n in ("path", "most", "range", "skip", "byte", "n", "lead", "trail", "longest", "first", "last")}
-        for p, no in zip(c["path"], c["no"]):
-            body, byte = _decode(p, no * range_bytes, range_bytes)
-            for n, v in zip(out, (p, limit, no, 0, byte, *range_table(code_points(body), max(1, limit // CELLS)))):
-                out[n].append(v)
+        out: dict[str, list] = {n: [] for n in ("path", "no", "n", "tail", "forced")}
+        for p, no, end in zip(c["path"], c["no"], c["_last"]):
+            points = code_points(_decode(p, no * range_bytes, range_bytes))
+            tail = 0 if no == end else last_boundary(points[-(limit // 2) :])
+            for k, v in zip(out, (p, no, len(points), max(tail, 0), tail < 0)):
+                out[k].append(v)
         return out
 
-    tables = map_rows(ranges, schema, scan)
-    plan = stitched(tables, ["path"], "most", overlap)
-    spans = tables.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("range", "n", "byte"))).alias("spans"))
-    each = plan.join(spans, "path").select("path", "spans", F.posexplode(F.arrays_zip("starts", "ends", "forced")).alias("piece", "p"))
-    low, high = F.col("p.starts"), F.col("p.ends")
-    before = F.expr("transform(spans, (s, i) -> aggregate(slice(spans, 1, i), 0L, (a, x) -> a + x.n))")
-    placed = each.withColumn("offs", before).select(
-        "path", "piece", low.alias("start"), high.alias("end"), F.col("p.forced").alias("forced"),
-        F.expr("filter(transform(spans, (s, i) -> named_struct('range', s.range, 'off', offs[i], 'n', s.n)), s -> s.off < p.ends and s.off + s.n > p.starts)").alias("need"),
+    tables = map_rows(ranges, "path string, no bigint, n bigint, tail int, forced boolean", scan)
+    along = W.partitionBy("path").orderBy("no")
+    placed = tables.select(
+        *tables.columns,
+        F.coalesce(F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.coalesce(F.lag("tail").over(along), F.lit(0)).alias("left"),
     )
 
     def emit(c: dict[str, list]) -> dict[str, list]:
-        texts = []
-        for p, a, b, need in zip(c["path"], c["start"], c["end"], c["need"]):
-            parts = [_decode(p, s["range"] * range_bytes, range_bytes)[0][max(0, a - s["off"]) : b - s["off"]] for s in need]
-            texts.append("".join(parts))
-        return {k: c[k] for k in ("path", "piece", "start", "end", "forced")} | {"text": texts}
+        out: dict[str, list] = {k: [] for k in ("path", "piece", "start", "end", "forced", "text")}
+        for p, no, n, tail, edge, base, left in zip(*[c[k] for k in ("path", "no", "n", "tail", "forced", "base", "left")]):
+            begin, halo = no * range_bytes, 4 * (left + overlap) + 4
+            before = _decode(p, max(0, begin - halo), min(halo, begin))[-(left + overlap) :] if begin and left + overlap else ""
+            body = before + _decode(p, begin, range_bytes)[: n - tail]
+            if len(body) <= (len(before) - left if begin else 0):
+                continue  # nothing but what the piece before it has already
+            table = dict(zip(("n", "lead", "trail", "longest", "first", "last"), range_table(code_points(body), max(1, limit // CELLS))))
+            _, starts, ends, forced = stitch([table], limit, overlap)
+            forced[-1] = edge
+            for i, (a, b, f) in enumerate(zip(starts, ends, forced)):
+                off = base - len(before)
+                for k, v in zip(out, (p, (no << 32) + i, off + a, off + b, f, body[a:b])):
+                    out[k].append(v)
+        return out
 
-    return map_rows(placed, "path string, piece int, start int, end int, forced boolean, text string", emit)
+    # The table's rows are few and small; they are spread again, so that no task emits a whole file.
+    return map_rows(placed.repartition("path", "no"), "path string, piece bigint, start bigint, end bigint, forced boolean, text string", emit)
