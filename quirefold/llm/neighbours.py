@@ -326,26 +326,29 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
 
 
 def collapsed(units: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Groups of exact copies: (key, unit, print) of the first key of each, and (print, members, n): its first k + 1 keys."""
+    """Exact copies as one: (key, unit, print) of the first key of every group, and (print, rep, n, members) of those of several, with their first k + 1 keys."""
     first = units.groupBy("print").agg(F.min(F.struct(key, "unit")).alias("m"), F.count(F.lit(1)).alias("n"))
-    reps = first.select(F.col(f"m.{key}").alias(key), F.col("m.unit").alias("unit"), "print", "n")
+    reps = cut(first.select(F.col(f"m.{key}").alias(key), F.col("m.unit").alias("unit"), "print", "n"))
+    several = reps.where("n > 1").select("print", F.col(key).alias("rep"), "n")
     nth = F.row_number().over(W.partitionBy("print").orderBy(key))
-    listed = units.select("print", key).withColumn("_nth", nth).where(F.col("_nth") <= k + 1).groupBy("print").agg(F.array_sort(F.collect_list(key)).alias("members"))
-    return reps, listed
+    listed = units.select("print", key).join(several, "print").withColumn("_nth", nth).where(F.col("_nth") <= k + 1)
+    return reps.drop("n"), cut(listed.groupBy("print", "rep", "n").agg(F.array_sort(F.collect_list(key)).alias("members")))
 
 
-def expanded(links: DataFrame, units: DataFrame, reps: DataFrame, listed: DataFrame, key: str, k: int) -> DataFrame:
+def expanded(links: DataFrame, units: DataFrame, groups: DataFrame, key: str, k: int) -> DataFrame:
     """(key, other, cosine, place): lists of ``units``' keys from links (a, b, cosine) between groups' first keys.
 
     A key whose group has more than k members has k copies at the cosine 1, ordered by
     key, and needs nothing else; other keys have the members of their own group and
     those of the groups linked to it.
     """
-    groups = reps.select("print", F.col(key).alias("rep"), "n").join(listed, "print")
-    own = units.select("print", key).join(groups, "print")
-    copies = own.where("n > 1").select(F.col(key).alias("a"), F.explode("members").alias("b"), F.lit(1.0).alias("cosine")).where("a <> b")
-    few = own.where(F.col("n") <= k).select(F.col("rep").alias("a"), F.col(key).alias("_k"))
-    across = links.join(few, "a").drop("a").withColumnRenamed("_k", "a").join(groups.select(F.col("rep").alias("b"), "members"), "b").select("a", F.explode("members").alias("b"), "cosine")
+    own = units.select("print", F.col(key).alias("a")).join(groups, "print")
+    copies = own.select("a", F.explode("members").alias("b"), F.lit(1.0).alias("cosine")).where("a <> b")
+    whose = groups.select(F.col("rep").alias("a"), "n", F.col("members").alias("_a"))
+    other = groups.select(F.col("rep").alias("b"), F.col("members").alias("_b"))
+    met = links.join(whose, "a", "left").where(F.coalesce(F.col("n"), F.lit(1)) <= k).join(other, "b", "left")
+    met = met.select(F.explode(F.coalesce("_a", F.array("a"))).alias("a"), "b", "_b", "cosine")
+    across = met.select("a", F.explode(F.coalesce("_b", F.array("b"))).alias("b"), "cosine")
     place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b"))
     every = copies.unionByName(across).withColumn("place", place)
     return every.where(F.col("place") <= k).select(F.col("a").alias(key), F.col("b").alias("other"), "cosine", "place")
@@ -359,10 +362,10 @@ def nearest(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int =
     each leaf a query keeps its 2 k best by code, of all leaves its 5 k best, which
     are then ranked by exact cosine.
     """
-    reps, listed = collapsed(units, key, k)
-    reps = cut(reps)
+    reps, groups = collapsed(units, key, k)
     wanted = reps.join(asked.select("print").distinct(), "print", "left_semi")
-    return expanded(_nearest_reps(reps, wanted, key, k, probes, trees), asked, reps, listed, key, k)
+    lists = expanded(_nearest_reps(reps, wanted, key, k, probes, trees), asked, groups, key, k)
+    return lists.join(asked.select(key), key, "left_semi")
 
 
 def _nearest_reps(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int, trees: int) -> DataFrame:
@@ -423,9 +426,8 @@ def neighbours(df: DataFrame, key: str, vector: str, order: str | None, k: int,
     Equal cosines are ordered by key, and every key has its list, copies too.
     """
     units = cut(sound(df, key, vector, order))
-    reps, listed = collapsed(units, key, k)
-    reps = cut(reps)
-    return expanded(similar_pairs(reps, key, floor, k, probes, trees), units, reps, listed, key, k)
+    reps, groups = collapsed(units, key, k)
+    return expanded(similar_pairs(reps, key, floor, k, probes, trees), units, groups, key, k)
 
 
 def mutual(lists: DataFrame, key: str) -> DataFrame:
