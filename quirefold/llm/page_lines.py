@@ -11,7 +11,7 @@ from functools import lru_cache
 EDGE = 2
 _ROMAN = re.compile(r"m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
 _ORNAMENT = re.compile(r"[\s\-–—―‐·•.,*~|/\\()（）\[\]［］【】<>〈〉《》「」]+")
-_NUMBER_WORDS = re.compile(r"^(?:page|pag|pp|p|第|頁|页)+|(?:頁|页|ページ|of)+$|(?<=\d)(?:of|頁|页)(?=\d)")
+_NUMBER_WORDS = re.compile(r"^(?:page|pag|pp|p|第|頁|页|葉|叶)+|(?:頁|页|葉|叶|丁|ページ|of)+$|(?<=\d)(?:of|頁|页)(?=\d)")
 _HAN_DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")}
 _LOOKS = str.maketrans({"0": "o", "1": "l", "5": "s", "9": "g", "!": "i", "|": "l"})
 
@@ -117,7 +117,8 @@ class Furniture:
                 continue
             nums = numbers(line)
             if nums:
-                if printed in nums or (printed is None and i in first + last):
+                # of a long roman number the hundreds may be left out
+                if printed in nums or printed and printed > 100 and printed % 100 in nums and line.strip(" -–—·.[]()").isalpha() or (printed is None and i in first + last):
                     self.number.add(i)
                 continue
             if title:

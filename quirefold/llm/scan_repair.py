@@ -1,19 +1,23 @@
 """Repairing text from scanned pages.
 
-Three passes.  The first counts the words and the pairs of neighbouring
-ideographs and kana of the whole corpus: the frequency lexicon.  The second
-finds repairs of words: each word of the lexicon is indexed under itself and
-every form with one character left out (a symmetric-delete index, after folding
-the confusions that change the length); words that meet there are compared by an
-edit distance in which known confusions are cheap, and a far more frequent word
-at small distance is the repair.  The third goes over the pages: it sets aside
-running headers and page numbers, rejoins words cut at line ends, replaces
-characters whose look-alike fits the neighbouring pairs far better, and puts
-repaired words into continuous paragraphs.
-
-Only bounded tables are broadcast: the ``HEAD_WORDS`` most frequent sound words
-and the ``HEAD_PAIRS`` most frequent pairs.  Words outside them, and look-alikes
-whose verdict hangs on a pair outside them, travel to the full tables by a join.
+Three passes.  The first counts the words, the pairs of neighbouring words and
+the pairs of neighbouring ideographs and kana of the whole corpus: the frequency
+lexicon.  The second goes over the pages: it sets aside running headers and page
+numbers, rejoins words cut at line ends, replaces characters whose look-alike fits
+the neighbouring pairs far better, and notes, with the words beside them, the words
+that are not known to be sound.  The third finds their repairs: each word of the
+lexicon is indexed under itself and every form with one character left out (a
+symmetric-delete index, after folding the confusions that change the length); words
+that meet there are compared by an edit distance in which known confusions are
+cheap.  Of several candidates the counts of the pairs with the words beside them
+pick the repair.  A word of the lexicon that one confusion turns into another word
+of it is never taken as sound: it is a misreading where the other one's pairs are
+far more frequent.
+
+Only bounded tables are broadcast: the ``HEAD_WORDS`` most frequent sound words and
+compounds and the ``HEAD_PAIRS`` most frequent pairs of ideographs.  What is not
+decided by them (words, look-alikes, words broken at what may be their own hyphen)
+travels to the full tables by a join, so the bounds change no result.
 
 Defined cases: null and blank texts have no defects and stay as they are; a book
 without a title has no headers; a bare number counts as the page's number only
@@ -41,6 +45,8 @@ FIELDS = ["textFused", "paddleOcrText", "deepseekOcrText", "qwenVlOcrText"]
 HEAD_WORDS, HEAD_PAIRS = 120_000, 300_000
 RATIO, LEAST = 6, 4
 FIT = 3.2
+#: What a unit of distance weighs against a natural logarithm of pairs; texts tallied at once.
+COST_WEIGHT, SLICE = 8.0, 512
 
 #: Pairs that character recognition confuses.
 LATIN_PAIRS = [("m", "rn"), ("d", "cl"), ("h", "b"), ("t", "f"), ("e", "c"), ("i", "!"), ("l", "1"), ("s", "5"), ("o", "0"), ("g", "9"), ("i", "l"), ("w", "vv"), ("b", "6"), ("z", "2"), ("B", "8")]
@@ -80,8 +86,11 @@ def breaks(lines: list[str]) -> Iterator[tuple[int, str, str]]:
                 yield i, m.group(1), n.group(1)
 
 
-def rejoin(lines: list[str], compounds: set[str]) -> tuple[list[str], bool]:
-    """Paragraphs of continuous text, and whether a word was cut by a mark that isn't its own."""
+def rejoin(lines: list[str], compounds: set[str], cuts_made: list[dict] | None = None) -> tuple[list[str], bool]:
+    """Paragraphs of continuous text, and whether a word was cut by a mark that isn't its own.
+
+    ``cuts_made`` takes (paragraph, place, left-right) of every mark taken out.
+    """
     found = False
     paragraphs: list[str] = []
     open_ = ""
@@ -105,6 +114,8 @@ def rejoin(lines: list[str], compounds: set[str]) -> tuple[list[str], bool]:
             if not is_compound(left, right, compounds):
                 found = True
                 body = body[:-1]
+                if cuts_made is not None:
+                    cuts_made.append({"p": len(paragraphs), "i": len(body) - (len(open_) - len(open_.lstrip())), "token": f"{left.rsplit('-', 1)[-1]}-{right}".lower()})
             open_, joined = body, True
     if open_:
         paragraphs.append(open_)
@@ -124,8 +135,9 @@ def pairs_of(text: str) -> list[str]:
     return [r[i : i + 2] for r in _RUN.findall(bare) for i in range(len(r) - 1)]
 
 
-def tally(texts: list[tuple[str, str | None, int | None, str]]) -> tuple[Counter, Counter, Counter]:
-    """Counts of the words, compounds and pairs of texts given with title, index and mode."""
+def tally(texts: list[tuple[str, str | None, int | None, str]]) -> tuple[Counter, Counter, Counter, Counter]:
+    """Counts of the words, compounds, pairs of ideographs and pairs of words of texts given with title, index and mode."""
+    beside: Counter = Counter()
     words: Counter = Counter()
     compounds: Counter = Counter()
     pairs: Counter = Counter()
@@ -137,10 +149,12 @@ def tally(texts: list[tuple[str, str | None, int | None, str]]) -> tuple[Counter
         body = "\n".join(rejoin(lines, set())[0])
         if not body:
             continue
-        words.update(w for w in words_of(body.lower()) if w.isalpha())
+        row = words_of(body.lower())
+        words.update(w for w in row if w.isalpha())
+        beside.update(f"{v} {w}" for v, w in zip(row, row[1:]) if v.isalpha() and w.isalpha())
         if max(body) > "\u2fff":
             pairs.update(pairs_of(body))
-    return words, compounds, pairs
+    return words, compounds, pairs, beside
 
 
 def deletes(word: str) -> set[str]:
@@ -179,18 +193,20 @@ def lexicon(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            found = tally([(x, t, i, m) for x, t, i, m in zip(c["text"], c["title"], c["docPageIndex"], c["mode"]) if x])
-            for kind, counts in zip("wcp", found):
-                keys = list(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "token", "n"])
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                c = {n: part.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+                found = tally([(x, t, i, m) for x, t, i, m in zip(c["text"], c["title"], c["docPageIndex"], c["mode"]) if x])
+                for kind, counts in zip("wcpb", found):
+                    keys = list(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "token", "n"])
 
     text = F.coalesce(*[F.when(F.length(F.trim(f)) > 0, F.col(f)) for f in FIELDS]).alias("text")
     return pages.select("title", "docPageIndex", "mode", text).mapInArrow(run, "kind string, token string, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n"))
 
 
-def repairs(words: DataFrame, known: DataFrame) -> DataFrame:
-    """(word, repair): words (token, n) for which a much more frequent one of ``known`` stands at a confusion's distance."""
+def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, repair, m, cost): for words (token, n) the much more frequent ones of ``known`` at a confusion's distance."""
 
     def index(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"key": [], "token": [], "n": []}
@@ -213,16 +229,58 @@ def repairs(words: DataFrame, known: DataFrame) -> DataFrame:
         return {k: c[k] for k in ("token", "repair", "m")} | {"cost": [distance(a, b) for a, b in zip(c["token"], c["repair"])]}
 
     scored = map_rows(met, "token string, repair string, m bigint, cost double", score).where("cost <= 0.6")
-    best = scored.groupBy("token").agg(F.max(F.struct(-F.col("cost"), "m", "repair")).alias("b"))
-    return best.select(F.col("token").alias("word"), F.col("b.repair").alias("repair"))
+    return scored.withColumnRenamed("token", "word")
+
+
+def repairs(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, repair): the candidate of the least distance, of equals the most frequent."""
+    best = candidates(words, known).groupBy("word").agg(F.max(F.struct(-F.col("cost"), "m", "repair")).alias("b"))
+    return best.select("word", F.col("b.repair").alias("repair"))
+
+
+def confusable(sound: DataFrame) -> DataFrame:
+    """(word, repair, m): the words of the lexicon that one confusion turns into another one."""
+    both = {(x.lower(), y.lower()) for a, b in LATIN_PAIRS for x, y in ((a, b), (b, a)) if a.isalpha() and b.isalpha()}
+
+    def turned(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"word": [], "token": []}
+        for t in c["token"]:
+            made = {t[:i] + y + t[i + len(x) :] for x, y in both for i in range(len(t)) if t.startswith(x, i)}
+            out["word"] += [t] * len(made)
+            out["token"] += made
+        return out
+
+    fit = sound.where((F.length("token") >= 3) & F.col("token").rlike("^[a-z]+$"))
+    return map_rows(fit.select("token"), "word string, token string", turned).join(sound, "token").select("word", F.col("token").alias("repair"), F.col("n").alias("m"))
+
+
+def picked(asked: DataFrame, found: DataFrame, beside: DataFrame) -> DataFrame:
+    """(word, before, after, repair) of asked (word, before, after), from candidates (word, repair, m, cost, own).
+
+    ``own``: whether the word itself stands in the lexicon; it is replaced only where
+    the pairs with its neighbours speak for the candidate far more than for itself.  A
+    word with one candidate that isn't in the lexicon needs no pairs.
+    """
+    several = found.groupBy("word").agg(F.count(F.lit(1)).alias("_of"))
+    rows = asked.join(found.join(several, "word"), "word")
+    plain = rows.where("_of = 1 and not own").select("word", "before", "after", "repair")
+    open_ = rows.where("_of > 1 or own").drop("_of")
+    pair = lambda a, b: F.concat_ws(" ", a, b)
+    tokens = F.array(*[F.struct(F.lit(t).alias("t"), pair(a, b).alias("token")) for t, a, b in (("rb", "before", "repair"), ("ra", "repair", "after"), ("wb", "before", "word"), ("wa", "word", "after"))])
+    keys = ["word", "before", "after", "repair", "m", "cost", "own"]
+    counted = open_.select(*keys, F.inline(tokens)).join(beside, "token", "left").groupBy(*keys).agg(*[F.log(F.coalesce(F.max(F.when(F.col("t") == t, F.col("n"))), F.lit(0)) + 0.5).alias(t) for t in ("rb", "ra", "wb", "wa")])
+    fit = F.col("rb") + F.col("ra")
+    worth = counted.where(~F.col("own") | (fit - F.col("wb") - F.col("wa") > FIT))
+    best = worth.groupBy("word", "before", "after").agg(F.max(F.struct(fit - COST_WEIGHT * F.col("cost"), "m", "repair")).alias("b"))
+    return plain.unionByName(best.select("word", "before", "after", F.col("b.repair").alias("repair")))
 
 
 class Lookup:
     """The bounded tables a page is read with."""
 
-    def __init__(self, words: set[str], compounds: set[str], pairs: dict[str, int], most: int = 0, whole: bool = True):
-        """``most``: what a pair that isn't in ``pairs`` can count; ``whole``: whether ``words`` are all there are."""
-        self.words, self.compounds, self.pairs, self.most, self.whole = words, compounds, pairs, most, whole
+    def __init__(self, words: set[str], compounds: set[str], pairs: dict[str, int], most: int = 0, whole: bool = True, all_compounds: bool = True):
+        """``most``: what a pair that isn't in ``pairs`` can count; ``whole``, ``all_compounds``: whether ``words`` and ``compounds`` are all there are."""
+        self.words, self.compounds, self.pairs, self.most, self.whole, self.all_compounds = words, compounds, pairs, most, whole, all_compounds
 
     def fit(self, before: str, c: str, after: str, unseen: int = 0) -> float:
         return math.log(self.pairs.get(before + c, unseen) + 0.5) * bool(before) + math.log(self.pairs.get(c + after, unseen) + 0.5) * bool(after)
@@ -285,8 +343,15 @@ class Lookup:
         return "sound" if bare.isalpha() else "unknown"
 
 
-def read_page(look: Lookup, text: str, title: str | None, index: int | None) -> tuple[list[str], list[str], list[str], list[dict]]:
-    """(defects that are sure, words to be looked up, paragraphs, look-alikes to be looked up) of one scanned text."""
+def neighbours_of(words: list[str]) -> list[tuple[str, str, str]]:
+    """(word, the one before, the one after) in lower case; empty where there is none of letters only."""
+    low = [w.lower() for w in words]
+    side = [w if w.isalpha() else "" for w in low]
+    return list(zip(low, ["", *side], [*side[1:], ""]))
+
+
+def read_page(look: Lookup, text: str, title: str | None, index: int | None) -> tuple[list[str], list[dict], list[str], list[dict], list[dict]]:
+    """(defects that are sure, words to be looked up with their neighbours, paragraphs, look-alikes and broken words to be looked up) of one scanned text."""
     page = Furniture(text, title, index)
     found = []
     if page.header:
@@ -294,19 +359,22 @@ def read_page(look: Lookup, text: str, title: str | None, index: int | None) ->
     if page.number:
         found.append("page_number")
     lines = page.body()
-    paragraphs, cutting = rejoin(lines, look.compounds)
-    if cutting or _cut_at_foot(lines):
+    cuts: list[dict] = []
+    paragraphs, cutting = rejoin(lines, look.compounds, None if look.all_compounds else cuts)
+    if cutting and not cuts or _cut_at_foot(lines):
         found.append("hyphen")
-    unknown: set[str] = set()
+        cuts = [c | {"sure": True} for c in cuts]
+    unknown: set[tuple[str, str, str]] = set()
     misread = False
     out = []
     contexts: list[dict] = []
     for p in paragraphs:
-        for w in words_of(p):
+        words = words_of(p)
+        for w, around in zip(words, neighbours_of(words)):
             kind = look.word_kind(w)
             misread = misread or kind == "misread"
             if kind == "unknown":
-                unknown.add(w.lower())
+                unknown.add(around)
         if not misread and any(c in p for c in LOST):
             misread = True
         unsure: list[tuple[int, str]] = []
@@ -321,7 +389,7 @@ def read_page(look: Lookup, text: str, title: str | None, index: int | None) ->
         out.append(p)
     if misread:
         found.append("misread")
-    return found, sorted(unknown), out, contexts
+    return found, [dict(zip(("word", "before", "after"), u)) for u in sorted(unknown)], out, contexts, cuts
 
 
 def _cut_at_foot(lines: list[str]) -> bool:
@@ -331,19 +399,21 @@ def _cut_at_foot(lines: list[str]) -> bool:
     return bool(m and len(m.group(1)) > 1)
 
 
-def tables(pages: DataFrame) -> tuple[Broadcast, DataFrame, DataFrame, DataFrame]:
-    """The lookup tables, broadcast, and in full (token, n) the words of the lexicon, the sound ones and the pairs."""
+def tables(pages: DataFrame) -> tuple[Broadcast, dict[str, DataFrame]]:
+    """The lookup tables, broadcast, and in full (token, n) the words, the sound ones, the pairs of ideographs and of words, the compounds; the confusable words."""
     spark: SparkSession = pages.sparkSession
     counted = cut(lexicon(pages))
-    words = counted.where("kind = 'w'").select("token", "n")
+    kind = lambda k: counted.where(F.col("kind") == k).select("token", "n")
+    words, pairs, compounds = kind("w"), kind("p"), kind("c").where("n >= 2")
     wrong = repairs(words, words).select(F.col("word").alias("token"))
     sound = cut(words.where((F.length("token") <= 24) & (F.col("n") >= 2)).join(wrong, "token", "left_anti"))
-    pairs = counted.where("kind = 'p'").select("token", "n")
-    top = set(head(sound, "n", "token", HEAD_WORDS).select("token").toPandas()["token"])
+    alike = cut(confusable(sound))
+    clear = sound.join(alike.select(F.col("word").alias("token")).distinct(), "token", "left_anti")
+    top = set(head(clear, "n", "token", HEAD_WORDS).select("token").toPandas()["token"])
     known = dict(head(pairs, "n", "token", HEAD_PAIRS).toPandas().itertuples(index=False, name=None))
-    hyphened = head(counted.where("kind = 'c' and n >= 2"), "n", "token", HEAD_WORDS)
-    look = (top, set(hyphened.select("token").toPandas()["token"]), known, beyond(pairs, "n", list(known.values())), sound.count() <= len(top))
-    return spark.sparkContext.broadcast(look), words, sound, pairs
+    hyphened = set(head(compounds, "n", "token", HEAD_WORDS).select("token").toPandas()["token"])
+    look = (top, hyphened, known, beyond(pairs, "n", list(known.values())), sound.count() <= len(top), compounds.count() <= len(hyphened))
+    return spark.sparkContext.broadcast(look), {"words": words, "sound": sound, "pairs": pairs, "beside": kind("b"), "compounds": compounds, "alike": alike}
 
 
 def choices(contexts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -366,75 +436,98 @@ def choices(contexts: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_rows(counted, "context string, than string", choose).where("than is not null")
 
 
+READ = "id string, fusionAt timestamp, field string, defects array<string>, unknown array<struct<word:string,before:string,after:string>>, paragraphs array<string>, contexts array<struct<p:int,i:int,context:string>>, cuts array<struct<p:int,i:int,token:string,sure:boolean>>"
+
+
 def read_pages(pages: DataFrame, look: Broadcast) -> DataFrame:
-    """(id, fusionAt, field, defects, unknown, paragraphs, contexts) of the fields of scanned pages."""
+    """(id, fusionAt, field, defects, unknown, paragraphs, contexts, cuts) of the fields of scanned pages."""
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("id", "fusionAt", "field", "defects", "unknown", "paragraphs", "contexts")}
+        out: dict[str, list] = {k: [] for k in ("id", "fusionAt", "field", "defects", "unknown", "paragraphs", "contexts", "cuts")}
+        lookup = Lookup(*look.value)
         for i, key in enumerate(c["id"]):
             known: dict[str, tuple] = {}
             for f in FIELDS:
                 text = c[f][i]
+                read = ([], [], None, [], [])
                 if text and text.strip():
                     if text not in known:
-                        known[text] = read_page(Lookup(*look.value), text, c["title"][i], c["docPageIndex"][i])
-                    found, unknown, paragraphs, contexts = known[text]
-                else:
-                    found, unknown, paragraphs, contexts = [], [], None, []
-                for k, v in zip(out, (key, c["fusionAt"][i], f, found, unknown, paragraphs, contexts)):
+                        known[text] = read_page(lookup, text, c["title"][i], c["docPageIndex"][i])
+                    read = known[text]
+                for k, v in zip(out, (key, c["fusionAt"][i], f, *read)):
                     out[k].append(v)
         return out
 
     source = pages.where("mode = 'scan' and id is not null").select("id", "fusionAt", "title", "docPageIndex", *FIELDS)
-    return map_rows(source, "id string, fusionAt timestamp, field string, defects array<string>, unknown array<string>, paragraphs array<string>, contexts array<struct<p:int,i:int,context:string>>", rows)
+    return map_rows(source, READ, rows)
 
 
-def scanned(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The read fields of scanned pages, of the states that hold, the repairs (word, repair) of their words and (context, than) of their look-alikes."""
-    look, words, sound, pairs = tables(pages)
+def scanned(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The read fields of scanned pages, of the states that hold; the repairs (word, before, after, repair) of their words, (context, than) of their look-alikes, and the compounds (token) among their broken words."""
+    look, t = tables(pages)
     read = cut(read_pages(pages, look))
-    asked = read.select(F.explode("unknown").alias("token")).distinct()
-    digits = asked.where(F.col("token").rlike("[0-9]"))
-    strange = asked.join(words, "token", "left").select("token", F.coalesce("n", F.lit(1)).alias("n")).join(digits, "token", "left_anti")
-    plain = F.translate(F.regexp_replace("token", "['’]", ""), "0159!68", "olsgibb")
-    read_as = digits.select(F.col("token").alias("word"), plain.alias("token")).join(sound.select("token"), "token").select("word", F.col("token").alias("repair"))
-    fixes = cut(repairs(strange, words).unionByName(read_as))
-    better = cut(choices(read.select(F.explode("contexts.context").alias("context")), pairs))
-    return latest(read, ["id", "field"], "fusionAt"), fixes, better
+    asked = cut(read.select(F.inline("unknown")).distinct())
+    single = asked.select(F.col("word").alias("token")).distinct()
+    digits = single.where(F.col("token").rlike("[0-9]"))
+    strange = single.join(t["words"], "token", "left").select("token", F.coalesce("n", F.lit(1)).alias("n")).join(digits, "token", "left_anti")
+    bare = F.translate(F.regexp_replace("token", "['’]", ""), "0159!68", "olsgibb")
+    read_as = digits.select(F.col("token").alias("word"), bare.alias("token")).join(t["sound"], "token").select("word", F.col("token").alias("repair"), F.col("n").alias("m"), F.lit(0.0).alias("cost"), F.lit(False).alias("own"))
+    found = candidates(strange, t["words"]).withColumn("own", F.lit(False)).unionByName(read_as)
+    both = found.unionByName(t["alike"].select("word", "repair", "m", F.lit(0.3).alias("cost"), F.lit(True).alias("own")))
+    fixes = cut(picked(asked, both, t["beside"]))
+    better = cut(choices(read.select(F.explode("contexts.context").alias("context")), t["pairs"]))
+    hyphened = read.select(F.explode("cuts.token").alias("token")).distinct().join(t["compounds"].select("token"), "token", "left_semi")
+    return latest(read, ["id", "field"], "fusionAt"), fixes, better, cut(hyphened)
+
+
+WORD_KEY = ["word", "before", "after"]
 
 
-def defects(held: DataFrame, fixes: DataFrame, better: DataFrame) -> DataFrame:
+def defects(held: DataFrame, fixes: DataFrame, better: DataFrame, hyphened: DataFrame) -> DataFrame:
     """(page_id, field, defect), each once."""
-    sure = held.select(F.col("id").alias("page_id"), "field", F.explode("defects").alias("defect"))
-    words = held.select(F.col("id").alias("page_id"), "field", F.explode("unknown").alias("word")).join(fixes, "word", "left_semi")
-    wide = held.select(F.col("id").alias("page_id"), "field", F.explode("contexts.context").alias("context")).join(better, "context", "left_semi")
+    own = held.select(F.col("id").alias("page_id"), "field", "defects", "unknown", "contexts", "cuts")
+    sure = own.select("page_id", "field", F.explode("defects").alias("defect"))
+    words = own.select("page_id", "field", F.inline("unknown")).join(fixes, WORD_KEY, "left_semi")
+    wide = own.select("page_id", "field", F.explode("contexts.context").alias("context")).join(better, "context", "left_semi")
     misread = words.select("page_id", "field").unionByName(wide.select("page_id", "field")).withColumn("defect", F.lit("misread"))
-    return sure.unionByName(misread).distinct()
+    broken = own.select("page_id", "field", F.explode("cuts.token").alias("token")).join(hyphened, "token", "left_anti")
+    return sure.unionByName(misread).unionByName(broken.select("page_id", "field", F.lit("hyphen").alias("defect"))).distinct()
 
 
-def repaired(held: DataFrame, fixes: DataFrame, better: DataFrame) -> DataFrame:
+def repaired(held: DataFrame, fixes: DataFrame, better: DataFrame, hyphened: DataFrame) -> DataFrame:
     """(page_id, field, text): every field as continuous paragraphs with its words repaired."""
-    own = held.select("id", "field", F.explode("unknown").alias("word")).join(fixes, "word").groupBy("id", "field").agg(F.map_from_entries(F.collect_set(F.struct("word", "repair"))).alias("fixes"))
-    wide = held.select("id", "field", F.inline("contexts")).join(better, "context").groupBy("id", "field").agg(F.collect_list(F.struct("p", "i", "than")).alias("wide"))
+    keys = ["id", "field"]
+    own = held.select(*keys, F.inline("unknown")).join(fixes, WORD_KEY).groupBy(*keys).agg(F.collect_set(F.struct(*WORD_KEY, "repair")).alias("fixes"))
+    wide = held.select(*keys, F.inline("contexts")).join(better, "context").groupBy(*keys).agg(F.collect_list(F.struct("p", "i", "than")).alias("wide"))
+    marks = held.select(*keys, F.inline("cuts")).join(hyphened, "token", "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("p", "i")).alias("marks"))
 
     def rows(c: dict[str, list]) -> dict[str, list]:
         texts = []
-        for paragraphs, fix, places in zip(c["paragraphs"], c["fixes"], c["wide"]):
-            known = dict(fix or ())
+        for paragraphs, fix, places, own_marks in zip(c["paragraphs"], c["fixes"], c["wide"], c["marks"]):
+            known = {(x["word"], x["before"], x["after"]): x["repair"] for x in fix or ()}
             for x in places or ():
-                own = paragraphs[x["p"]]
-                paragraphs[x["p"]] = own[: x["i"]] + x["than"] + own[x["i"] + 1 :]
-
-            def better(m: re.Match) -> str:
-                w = m.group()
-                r = known.get(w.lower())
-                if r is None and not w.isalpha() and re.search(r"[A-Za-z][0159!][A-Za-z]", w):
-                    r = w.translate(_DIGITS)
-                    return r if r.isalpha() else w
-                return w if r is None else r.capitalize() if w[:1].isupper() else r
-
-            texts.append(None if paragraphs is None else "\n\n".join(_WORD.sub(better, p) for p in paragraphs))
+                line = paragraphs[x["p"]]
+                paragraphs[x["p"]] = line[: x["i"]] + x["than"] + line[x["i"] + 1 :]
+            done = []
+            for no, p in enumerate(paragraphs or ()):
+                words = words_of(p)
+                around = iter(neighbours_of(words))
+
+                def mended(m: re.Match) -> str:
+                    w = m.group()
+                    r = known.get(next(around))
+                    if r is None and not w.isalpha() and re.search(r"[A-Za-z][0159!][A-Za-z]", w):
+                        r = w.translate(_DIGITS)
+                        return r if r.isalpha() else w
+                    return w if r is None else r.capitalize() if w[:1].isupper() else r
+
+                for i in sorted((x["i"] for x in own_marks or () if x["p"] == no), reverse=True):
+                    p, around = p[:i] + "-" + p[i:], iter(())
+                if own_marks and any(x["p"] == no for x in own_marks):
+                    around = iter(neighbours_of(words_of(p)))
+                done.append(_WORD.sub(mended, p))
+            texts.append(None if paragraphs is None else "\n\n".join(done))
         return {"page_id": c["id"], "field": c["field"], "text": texts}
 
-    joined = held.select("id", "field", "paragraphs").join(own, ["id", "field"], "left").join(wide, ["id", "field"], "left")
+    joined = held.select(*keys, "paragraphs").join(own, keys, "left").join(wide, keys, "left").join(marks, keys, "left")
     return map_rows(joined, "page_id string, field string, text string", rows)

@@ -226,6 +226,8 @@ def test_furniture():
     page = page_lines.Furniture("A SURVEY OF THE BELL   12\nA bare number\n396\nstays.\n— 12 —", "A Survey of the Bell", 11)
     assert page.header == {0} and page.number == {0, 4} and page.body() == ["A bare number", "396", "stays."]
     assert page_lines.Furniture("xii\ntext\n13", None, 11).number == {0}
+    assert page_lines.Furniture("第一八葉\n本文", None, 17).number == {0} and page_lines.Furniture("xvii\ntext", None, 316).number == {0}
+    assert page_lines.Furniture("17\ntext", None, 316).number == set()
     assert page_lines.Furniture("5   陌 陌 鐘 鼓 考\n本文", "陌陌鐘鼓考", 4).header == {0}
     assert page_lines.Furniture("A Survey of\nbody line", "A Survey of the Bell", 1).header == {0}
     assert page_lines.Furniture("The bell of the survey was heavy.\nbody", "A Survey of the Bell", 1).header == set()
@@ -245,6 +247,37 @@ def test_word_repairs(spark):
     assert {r.word: r.repair for r in scan_repair.repairs(strange, known).collect()} == {"tbe": "the", "rnagistrate": "magistrate", "leamed": "learned"}
 
 
+def test_word_pairs_pick_among_repairs_and_find_misread_words(spark):
+    """The words beside decide between equally near candidates, and tell a misreading that gives another word."""
+    asked = spark.createDataFrame([("bead", "the", "of"), ("bead", "a", "string"), ("rnat", "", ""), ("modem", "of", "days"), ("modem", "a", "line")], "word string, before string, after string")
+    found = [("bead", "head", 90, 0.3, False), ("bead", "beard", 95, 0.3, False), ("rnat", "mat", 9, 0.3, False), ("modem", "modern", 80, 0.3, True)]
+    pairs = [("the head", 60), ("head of", 50), ("beard string", 9), ("a beard", 30), ("of modern", 40), ("modern days", 40), ("a modem", 30), ("modem line", 30)]
+    got = scan_repair.picked(asked, spark.createDataFrame(found, "word string, repair string, m bigint, cost double, own boolean"), spark.createDataFrame(pairs, "token string, n bigint"))
+    assert {tuple(r) for r in got.select("word", "before", "after", "repair").collect()} == {("bead", "the", "of", "head"), ("bead", "a", "string", "beard"), ("rnat", "", "", "mat"), ("modem", "of", "days", "modern")}
+    alike = scan_repair.confusable(spark.createDataFrame([("modem", 9), ("modern", 8), ("zebra", 7)], "token string, n bigint"))
+    assert {(r.word, r.repair) for r in alike.collect()} == {("modem", "modern"), ("modern", "modem")}
+
+
+def test_compounds_beyond_the_broadcast_keep_their_hyphen(spark, monkeypatch):
+    texts = ["the type-founder and the salt-pan came"] * 5 + ["a well-kept salt-pan stood"] * 9 + ["he saw the type-\nfounder there", "a con-\nfiscated salt-\npan stood"]
+    pages = spark.createDataFrame([(f"p{i:02d}", "scan", t, None, i, i) for i, t in enumerate(texts)], "id string, mode string, textFused string, title string, docPageIndex int, at int").withColumn("fusionAt", F.timestamp_seconds("at"))
+    for f in scan_repair.FIELDS[1:]:
+        pages = pages.withColumn(f, F.lit(None).cast("string"))
+    for bound in (120_000, 1):
+        monkeypatch.setattr(scan_repair, "HEAD_WORDS", bound)
+        parts = scan_repair.scanned(pages)
+        assert [r.page_id for r in scan_repair.defects(*parts).where("defect = 'hyphen'").collect()] == ["p15"]
+        assert [r.text for r in scan_repair.repaired(*parts).where("page_id >= 'p14' and field = 'textFused'").orderBy("page_id").collect()] == ["he saw the type-founder there", "a confiscated salt-pan stood"]
+
+
+def test_the_short_list_is_full_where_most_rows_are_ties(spark):
+    from quirefold.llm.common import head
+
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("t"), F.when(F.col("id") < 50, 9).otherwise(1).alias("n"))
+    kept = head(df, "n", "t", 1000).collect()
+    assert 900 <= len(kept) <= 1000 and sum(r.n == 9 for r in kept) == 50
+
+
 def test_lookalikes():
     look = scan_repair.Lookup({"coin"}, set(), {"官吏": 900, "吏與": 400, "歷史": 80, "史稿": 90})
     assert look.wide_repairs("官史與") == [(1, "吏")] and look.wide_repairs("歷史稿") == []
