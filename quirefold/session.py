@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -30,24 +31,61 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one is made only where it is unset.
 
     On a cluster the setting names storage that every executor reaches, so what
-    is written there outlives a lost executor.  A session without the setting is
-    a test on one machine, where a temporary folder will do.
+    is written there outlives a lost executor.  A session on one machine without the
+    setting is a test, where a temporary folder will do; on a cluster it is an error.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf:
-        known = spark.sparkContext.getCheckpointDir()
-        conf = known or f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf)
     return conf
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder; it is removed when the driver ends, or by ``clean``."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _MADE.append((spark, path))
+    return path
+
+
+def clean() -> None:
+    """Removes what ``scratch`` and ``cut`` have written; results that were not read yet go with it."""
+    while _MADE:
+        try:
+            remove(*_MADE.pop())
+        except Exception:  # the JVM has ended already
+            return
+
+
+atexit.register(clean)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"cut-{uuid.uuid4().hex}")
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
