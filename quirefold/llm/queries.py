@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import leakage, neighbours, page_language, rank_fusion, residue, scan_repair, sentences, shared_spans, splitting, tokenize
 from quirefold.llm.common import held_state
-from quirefold.session import cut, shared_dir, spread
+from quirefold.session import cut, scratch, spread
 from quirefold.tables import latest, load
 
 LIMITS = {"page": ("textFused", "fusionAt", 1500), "chunk": ("text", "chunkingAt", 500)}
@@ -67,7 +65,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p2_files(spark: SparkSession, d: str) -> DataFrame:
     """The pages of all books as plain-text files in the shared folder, cut by byte ranges into pieces of at most 1,500 characters."""
     pages = latest(load(spark, d, "page"), "id", "fusionAt", ["documentId", "docPageIndex", "textFused", "fusionAt"]).where(F.length("textFused") > 0)
-    folder = os.path.join(shared_dir(spark), f"files-{uuid.uuid4().hex}")
+    folder = scratch(spark, "files")
     pages.repartition(FILES, "documentId", "docPageIndex").sortWithinPartitions("documentId", "docPageIndex", "id").select("textFused").write.text(folder)
     listed = spark.read.format("binaryFile").load(folder).select("path", "length")
     cut_ = splitting.split_files(spark, listed, LIMITS["page"][2], OVERLAP, FILE_RANGE)
@@ -124,7 +122,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
     batches = _records(spark, d)
     links, members = shared_spans.shared(batches)
-    return shared_spans.coverage(links, members, batches[0].unionByName(batches[1]).distinct())
+    return shared_spans.coverage(links, members, batches[0].unionByName(batches[1]))
+
+
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The common stretches of distinct texts, each named by its first record."""
+    return shared_spans.class_spans(*shared_spans.shared(_records(spark, d)))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each record of 64 characters or more and the first record of its text."""
+    return shared_spans.memberships(shared_spans.classes(_records(spark, d)).select("rid", "rec").distinct())
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +174,7 @@ def p10_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p2_files, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p7_found, p7_sentences, p8_ids, p9_found, p10_found, p10_templates)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p2_files, p3_found, p3_segments, p4_found, p4_text, p5_found, p5_ranking, p6_found, p6_coverage, p6_spans, p6_classes, p7_found, p7_sentences, p8_ids, p9_found, p10_found, p10_templates)}
 
 
 _PLACES = """
@@ -202,6 +210,23 @@ WITH rec AS (
   UNION SELECT DISTINCT pair_id, gold_span FROM linking_gold WHERE pair_id IS NOT NULL),
 grams AS (SELECT DISTINCT rec, substring(body, i, 64) AS g FROM (SELECT rec, body, unnest(range(1, length(body) - 62)) AS i FROM rec WHERE length(body) >= 64))
 SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM grams a JOIN grams b ON a.g = b.g AND a.rec < b.rec""",
+        "p6_coverage": """
+WITH rec AS (
+  SELECT id AS rec, arg_max(coalesce(text, ''), chunkingAt) AS body FROM chunk WHERE id IS NOT NULL GROUP BY id
+  UNION SELECT DISTINCT pair_id, coalesce(gold_span, '') FROM linking_gold WHERE pair_id IS NOT NULL),
+grams AS (SELECT rec, i, substring(body, i, 64) AS g FROM (SELECT rec, body, unnest(range(1, length(body) - 62)) AS i FROM rec WHERE length(body) >= 64)),
+often AS (SELECT g FROM grams GROUP BY g HAVING count(DISTINCT rec) > 1),
+hit AS (SELECT rec, i FROM grams SEMI JOIN often USING (g)),
+places AS (SELECT rec, count(DISTINCT p) AS covered FROM (SELECT rec, unnest(range(i, i + 64)) AS p FROM hit) GROUP BY rec),
+pairs AS (SELECT a.rec, count(DISTINCT b.rec) AS others FROM grams a JOIN grams b ON a.g = b.g AND a.rec <> b.rec GROUP BY a.rec)
+SELECT rec.rec, coalesce(others, 0) AS others, coalesce(covered, 0) AS covered,
+  CASE WHEN length(body) > 0 THEN coalesce(covered, 0) / length(body) ELSE 0 END AS share
+FROM rec LEFT JOIN places USING (rec) LEFT JOIN pairs USING (rec)""",
+        "p6_classes": """
+WITH rec AS (
+  SELECT id AS rec, arg_max(coalesce(text, ''), chunkingAt) AS body FROM chunk WHERE id IS NOT NULL GROUP BY id
+  UNION SELECT DISTINCT pair_id, coalesce(gold_span, '') FROM linking_gold WHERE pair_id IS NOT NULL)
+SELECT rec, min(rec) OVER (PARTITION BY body) AS class FROM rec WHERE length(body) >= 64""",
         "p2_found": f"""
 WITH held AS ({state.format(t='page', x='textFused', at='fusionAt', n=1500)} UNION ALL {state.format(t='chunk', x='text', at='chunkingAt', n=500)}),
 long AS (SELECT kind, id, most, regexp_replace(body, {strip}, '', 'g') AS body FROM held)

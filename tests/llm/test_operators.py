@@ -353,6 +353,72 @@ def test_shared_spans(spark):
     assert share["b"] == 1.0 and share["c"] == 0.0 and share["a"] == pytest.approx(64 / 204)
 
 
+def _tied(pairs):
+    """The classes that links join."""
+    of: dict = {}
+
+    def root(x):
+        while of.setdefault(x, x) != x:
+            x = of[x]
+        return x
+
+    for a, b in pairs:
+        of[root(a)] = root(b)
+    out: dict = {}
+    for x in list(of):
+        out.setdefault(root(x), set()).add(x)
+    return {frozenset(v) for v in out.values()}
+
+
+def test_hot_windows_link_by_class(spark, monkeypatch):
+    """A paragraph in many texts gives a link a text, not one a pair; other links of these texts stay."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    notice, own = word(150), word(80)
+    rows = [(f"r{i:03d}", word(60 + i % 7) + notice + word(40)) for i in range(40)]
+    rows += [("x", word(30) + own + word(9)), ("y", own), ("z", word(90)), ("r100", word(30) + notice[:100] + own), ("r101", notice[40:110])]
+    df = spark.createDataFrame(rows, "rec string, text string")
+    want = {(a, b) for a, t in rows for b, u in rows if a < b and any(t[i : i + 64] in u for i in range(len(t) - 63))}
+    links, members = shared_spans.shared([df])
+    assert {tuple(r) for r in shared_spans.record_pairs(links, members).collect()} == want
+    plain = {r.rec: (r.covered, r.others) for r in shared_spans.coverage(links, members, df).collect()}
+    monkeypatch.setattr(shared_spans, "HOT", 10)
+    links, members = shared_spans.shared([df])
+    got = {tuple(r) for r in shared_spans.record_pairs(links, members).collect()}
+    assert got <= want and len(got) < 5 * len(rows) and _tied(got) == _tied(want)
+    hot = {r.rec: (r.covered, r.others) for r in shared_spans.coverage(links, members, df).collect()}
+    assert {k: v[0] for k, v in hot.items()} == {k: v[0] for k, v in plain.items()}
+
+
+def test_index_goes_on_with_what_stands_in_its_folder(spark, tmp_path):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, tail, folder = word(70), word(30), str(tmp_path / "index")
+    days = [[("a", word(20) + common), ("b", word(90))], [("c", common + tail), ("a2", "")], [("d", word(9) + common), ("c", common + tail)]]
+    found = []
+    for rows in days:
+        index = shared_spans.FingerprintIndex(spark, folder)
+        links, _ = shared_spans.shared([spark.createDataFrame(rows, "rec string, text string")], index)
+        found.append(links.count())
+        for run in index.runs:
+            spark.sql(f"DROP TABLE {run}")  # as a new session would not know them
+    assert found == [0, 1, 2] and len(shared_spans.FingerprintIndex(spark, folder).runs) == 3
+
+
+def test_copies_beyond_the_bound_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "COPIES", 3)
+    text, rows = "A long enough paragraph of the harbour rolls, as it was read at the audit of spring.", []
+    rows = [(f"k{i}", text) for i in range(6)] + [("m", text + " More of it."), ("s", "short"), ("n", None)]
+    df = spark.createDataFrame(rows, "rec string, text string")
+    links, members = shared_spans.shared([df])
+    got = {tuple(r) for r in shared_spans.record_pairs(links, members).collect()}
+    assert all((f"k{i}", "m") in got for i in range(6)) and all(("k0", f"k{i}") in got for i in range(1, 6)) and ("k3", "k4") not in got
+    share = {r.rec: (r.others, r.covered) for r in shared_spans.coverage(links, members, df).collect()}
+    assert share["k5"] == (6, len(text)) and share["m"] == (6, len(text)) and share["s"] == share["n"] == (0, 0)
+    assert {tuple(r) for r in shared_spans.memberships(members).collect()} == {*((f"k{i}", "k0") for i in range(6)), ("m", "m")}
+    assert [tuple(r) for r in shared_spans.class_spans(links, members).collect()] == [("k0", "m", 0, 0, len(text))]
+
+
 def test_index_compacts(spark):
     index = shared_spans.FingerprintIndex(spark, buckets=2)
     text = "".join(random.Random(0).choice("abcdef") for _ in range(100))
