@@ -508,15 +508,18 @@ def test_texts_of_any_length_have_sentences(spark):
 # 8 -------------------------------------------------------------------------------------------------------------
 
 
-def test_encode_and_decode(spark):
+def test_encode_and_decode(spark, monkeypatch):
     path = f"{tokenize.FOLDER}/byte_bpe_50k.tiktoken"
-    texts = ["", None, " ", "Hello  world's\n\n end ", "漢字、かな。", "<|endoftext|>", "a" * 5000, "📜🖋️👩‍🏫", "الدفتر 12", "'s 're\t\tx", "　全角　"]
+    texts = ["", None, " ", "Hello  world's\n\n end ", "漢字、かな。", "<|endoftext|>", "a" * 5000, "📜🖋️👩‍🏫", "الدفتر 12", "'s 're\t\tx", "　全角　", "a\x1c\x1db \x85 c", "-" * 60 + " " + "=" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     encoded = tokenize.encode(df.unionByName(df), "doc_id", "text", path).cache()
     ids = {r.doc_id: r.ids for r in encoded.collect()}
     assert len(ids) == len(texts) and ids[0] == [] and ids[1] == []
     for i, t in enumerate(texts):
         assert ids[i] == tokenize._encoder(path).encode_ordinary(t or "")
+    monkeypatch.setattr(tokenize, "HEAD", 2)
+    monkeypatch.setattr(tokenize, "HEAD_LONG", 0)
+    assert {r.doc_id: r.ids for r in tokenize.encode(df.unionByName(df), "doc_id", "text", path).collect()} == ids
     back = {r.doc_id: r.text for r in tokenize.decode(encoded, "doc_id", "ids", tokenize.piece_table(spark, path)).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
 
