@@ -554,9 +554,26 @@ def test_leaks_against_brute_force(spark):
     assert got[1, 1].start == 2
 
 
-def test_blocks_bound_the_automaton(monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
-    assert [len(b) for b in leakage.blocks([(i, "x" * 60) for i in range(3)])] == [1, 1, 1]
+def test_blocks_bound_the_automaton(spark, monkeypatch):
+    """Items beyond a block's size are dealt into further blocks; what is found stays the same."""
+    rng = random.Random(3)
+    items = [(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(90))) for i in range(12)]
+    docs = [(i, f"before {t[i : i + 70]} after") for i, t in items] + [(99, "nothing of it")]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {tuple(r) for r in leakage.leaks(df, "doc_id", "text", it, "item_id", "text").collect()}
+    assert {r[:2] for r in whole} == {(i, i) for i in range(12)} and len(leakage.blocks(it, "item_id", "text")) == 1
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    assert len(leakage.blocks(it, "item_id", "text")) >= 3
+    assert {tuple(r) for r in leakage.leaks(df, "doc_id", "text", it, "item_id", "text").collect()} == whole
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="天地玄黃宇宙", min_size=12, max_size=40), st.lists(st.tuples(st.integers(0, 30), st.integers(3, 30)), max_size=4), st.text(alphabet="天地玄黃", max_size=9))
+def test_anchors_mark_what_all_windows_mark(item, spans, between):
+    doc = between.join(item[a : a + n] for a, n in spans)
+    scanner = leakage.Scanner("", 0.5)
+    scanner.build([(1, item)])
+    assert bool(scanner.scan(doc)) == bool(doc and brute_leak(doc, item))
 
 
 # 10 ------------------------------------------------------------------------------------------------------------
