@@ -86,7 +86,8 @@ def encode_words(distinct: DataFrame, path: str) -> DataFrame:
     """(word, n, ids): each row's word encoded."""
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        return {"word": c["word"], "n": c["n"], "ids": _encoder(path).encode_ordinary_batch(c["word"], num_threads=1)}
+        encode_one = _encoder(path).encode_ordinary  # a pool of threads for each batch of words would cost more than the words
+        return {"word": c["word"], "n": c["n"], "ids": [encode_one(w) for w in c["word"]]}
 
     return map_rows(distinct.select("word", "n"), "word string, n bigint, ids array<int>", rows)
 
