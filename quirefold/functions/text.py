@@ -159,24 +159,6 @@ def latin_words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
-def script_counts(x: Column) -> dict[str, Column]:
-    """Disjoint classes of a text's characters."""
-    classes = {"kunten": KUNTEN, "kana": KANA, "han": HAN, "latin": "A-Za-z", "digit": "0-9", "space": SPACE}
-    named = {k: count_of(x, v) for k, v in classes.items()}
-    return named | {"other": F.length(x) - reduce(lambda a, b: a + b, named.values())}
-
-
-def noise_index(x: Column) -> Column:
-    """0 for clean text to 1: share of foreign script, mark-up, table bars and enumerations."""
-    n = F.length(x)
-    cjk = share(count_of(x, HAN + KANA), n)
-    html = F.size(F.regexp_extract_all(x, F.lit("(<[^>]+>)"), F.lit(1)))
-    bars = count_of(x, r"\|")
-    steps = F.size(F.regexp_extract_all(x, F.lit(r"([0-9]+[.、)])"), F.lit(1)))
-    cap = lambda c, most: F.least(F.lit(1.0), c.cast("double") / most)
-    return F.when(n > 0, 0.4 * (1 - cjk) + 0.2 * cap(html, 5) + 0.2 * cap(bars, 10) + 0.2 * cap(steps, 3)).otherwise(F.lit(1.0))
-
-
 def error_rate(text: Column, truth: Column) -> Column:
     """Edit distance by the length of the truth, both trimmed; 0 for an empty truth."""
     a, b = F.trim(text), F.trim(truth)
@@ -199,50 +181,3 @@ def heading_sections(x: Column, size: int = CHUNK, least: int = 10) -> Column:
 
     merged = F.aggregate(parts, start, step, lambda a: F.when(F.length(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
     return F.filter(F.transform(merged, strip), lambda s: F.length(s) >= least)
-
-
-def ocr_fault(x: Column) -> Column:
-    """The first fault of a recognised text, null for a sound one."""
-    n = F.length(x)
-    bare = F.regexp_replace(x, f"[{SPACE}]+", "")
-    common = F.aggregate(
-        F.transform(F.array_distinct(F.split(bare, "")), lambda c: F.when(F.length(c) > 0, F.length(bare) - F.length(F.replace(bare, c, F.lit("")))).otherwise(0)),
-        F.lit(0),
-        lambda a, b: F.greatest(a, b.cast("int")),
-    )
-    meaning = count_of(x, HAN + KANA + "A-Za-z0-9")
-    return (
-        F.when(x.isNull() | (F.length(F.trim(x)) == 0), "empty")
-        .when(F.length(bare) < 5, "too_short")
-        .when(n > 20000, "too_long")
-        .when(x.rlike(r"(?i)<(html|table|div|td)\b"), "markup")
-        .when(share(meaning, F.length(bare)) < 0.3, "no_text")
-        .when((F.length(bare) >= 50) & (share(common, F.length(bare)) > 0.4), "repeated_character")
-    )
-
-
-def with_language(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``language``, ``rule`` and ``confidence`` by the scripts of a text; the first rule that holds decides.
-
-    The counts are columns of their own first, so that each is taken once.
-    """
-    x = F.col(text)
-    simple = count_of(x, "这们为来对说时个国会经书数据员运")
-    counted = df.withColumns({f"_{k}": v for k, v in script_counts(x).items()} | {"_simple": simple})
-    letters = F.col("_kunten") + F.col("_kana") + F.col("_han") + F.col("_latin")
-    part = {k: share(F.col(f"_{k}"), letters) for k in ("kunten", "kana", "han", "latin")}
-    modern = share(F.col("_simple"), F.col("_han"))
-    answer = lambda lang, rule, conf: F.struct(F.lit(lang).alias("language"), F.lit(rule).alias("rule"), F.round(conf, 6).alias("confidence"))
-    found = (
-        F.when(x.isNull() | (F.length(F.trim(x)) == 0), answer("unknown", "empty", F.lit(0.0)))
-        .when(letters < 8, answer("unknown", "too_short", F.lit(0.0)))
-        .when(F.col("_kunten") > 0, answer("kanbun", "reading_marks", F.least(F.lit(1.0), 0.8 + part["kunten"])))
-        .when(part["kana"] >= 0.05, answer("ja", "kana", F.least(F.lit(1.0), 0.6 + part["kana"])))
-        .when((part["latin"] >= 0.3) & (part["han"] >= 0.05), answer("mixed", "two_scripts", F.lit(0.6)))
-        .when(part["latin"] >= 0.3, answer("en", "latin", part["latin"]))
-        .when(modern >= 0.05, answer("zh-modern", "simplified", F.least(F.lit(1.0), 0.6 + modern)))
-        .when(part["han"] >= 0.3, answer("zh-classical", "han", 0.5 + part["han"] / 2))
-        .otherwise(answer("unknown", "none", F.lit(0.0)))
-    )
-    named = counted.withColumn("_found", found)
-    return named.select(*df.columns, F.col("_found.language").alias("language"), F.col("_found.rule").alias("rule"), F.col("_found.confidence").alias("confidence"))

@@ -221,7 +221,8 @@ def fixed_pages(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", F.col("no").cast("bigint").alias("no"), F.length("text").cast("bigint").alias("chars"))
 
 
-@query(f"""WITH {BOOKS} SELECT id, CASE WHEN publicationYear IS NULL THEN 'unknown' WHEN publicationYear < 1368 THEN 'early' WHEN publicationYear < 1644 THEN 'middle' WHEN publicationYear < 1912 THEN 'late' ELSE 'modern' END AS period FROM book""")
+@query(f"""WITH {BOOKS} SELECT id, CASE WHEN coalesce(publicationYear, 0) = 0 THEN '' WHEN publicationYear >= 2000 THEN 'modern-zh-reprint-2000s' WHEN publicationYear >= 1980 THEN 'modern-zh-reprint-1980s-1990s'
+  WHEN publicationYear >= 1949 THEN 'modern-zh-reprint-PRC' ELSE 'pre-1949-' || CAST(publicationYear // 10 * 10 AS VARCHAR) || 's' END AS period FROM book""")
 def publication_period(spark: SparkSession, d: str) -> DataFrame:
     return books(spark, d).select("id", D.period(F.col("publicationYear")).alias("period"))
 

@@ -72,27 +72,6 @@ def tokenize_latin(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(w).cast("bigint").alias("words"), F.size(F.array_distinct(w)).cast("bigint").alias("different"))
 
 
-@query(f"""WITH {PAGES} SELECT id, {_count('textFused', _KUNTEN)} AS kunten, {_count('textFused', _KANA)} AS kana, {_count('textFused', _HAN)} AS han, {_count('textFused', 'A-Za-z')} AS latin, {_count('textFused', '0-9')} AS digit, {_count('textFused', _SPACE)} AS space FROM page_now WHERE textFused IS NOT NULL""")
-def script_mix(spark: SparkSession, d: str) -> DataFrame:
-    c = T.script_counts(F.col("textFused"))
-    return pages_now(spark, d, ["textFused"]).where("textFused IS NOT NULL").select("id", *[c[k].cast("bigint").alias(k) for k in ("kunten", "kana", "han", "latin", "digit", "space")])
-
-
-@query(f"""WITH {PAGES}, c AS (SELECT id, textFused AS t, {_count('textFused', _KUNTEN)} AS ku, {_count('textFused', _KANA)} AS ka, {_count('textFused', _HAN)} AS ha, {_count('textFused', 'A-Za-z')} AS la, {_count('textFused', '这们为来对说时个国会经书数据员运')} AS si FROM page_now),
-n AS (SELECT *, ku + ka + ha + la AS n FROM c)
-SELECT id, CASE WHEN t IS NULL OR length(trim(t, ' ')) = 0 THEN 'empty' WHEN n < 8 THEN 'too_short' WHEN ku > 0 THEN 'reading_marks' WHEN ka / n >= 0.05 THEN 'kana' WHEN la / n >= 0.3 AND ha / n >= 0.05 THEN 'two_scripts'
-  WHEN la / n >= 0.3 THEN 'latin' WHEN ha > 0 AND si / ha >= 0.05 THEN 'simplified' WHEN ha / n >= 0.3 THEN 'han' ELSE 'none' END AS rule FROM n""")
-def language_rules(spark: SparkSession, d: str) -> DataFrame:
-    return T.with_language(pages_now(spark, d, ["textFused"]), "textFused").select("id", "rule")
-
-
-@query(f"""WITH {PAGES}, n AS (SELECT id, textFused AS t, CAST(length(textFused) AS DOUBLE) AS n FROM page_now WHERE textFused IS NOT NULL)
-SELECT id, round(CASE WHEN n > 0 THEN 0.4 * (1 - {_count('t', _HAN + _KANA)} / n) + 0.2 * least(1.0, len(regexp_extract_all(t, '(<[^>]+>)', 1)) / 5.0) + 0.2 * least(1.0, {_count('t', chr(92) + '|')} / 10.0)
-  + 0.2 * least(1.0, len(regexp_extract_all(t, '([0-9]+[.、)])', 1)) / 3.0) ELSE 1.0 END, 6) AS noise FROM n""")
-def noise_index(spark: SparkSession, d: str) -> DataFrame:
-    return pages_now(spark, d, ["textFused"]).where("textFused IS NOT NULL").select("id", F.round(T.noise_index(F.col("textFused")), 6).alias("noise"))
-
-
 @query(f"""WITH {PAGES} SELECT id, levenshtein(trim(paddleOcrText, ' '), trim(textFused, ' ')) AS edits, round(levenshtein(trim(paddleOcrText, ' '), trim(textFused, ' ')) / length(trim(textFused, ' ')), 6) AS cer,
   CASE WHEN levenshtein(trim(paddleOcrText, ' '), trim(textFused, ' ')) / length(trim(textFused, ' ')) > 0.3 THEN 'failed' WHEN levenshtein(trim(paddleOcrText, ' '), trim(textFused, ' ')) / length(trim(textFused, ' ')) > 0.02 THEN 'needs_review' ELSE 'pass' END AS route
 FROM page_now WHERE length(trim(textFused, ' ')) BETWEEN 1 AND 1500 AND length(trim(paddleOcrText, ' ')) BETWEEN 1 AND 1500 AND regexp_full_match(textFused, '[\\x{{0}}-\\x{{7f}}]*') AND regexp_full_match(paddleOcrText, '[\\x{{0}}-\\x{{7f}}]*')""")
@@ -104,67 +83,12 @@ def cer_routing(spark: SparkSession, d: str) -> DataFrame:
     return pages_now(spark, d, ["paddleOcrText", "textFused"]).where(fit).select("id", F.levenshtein(F.trim(a), F.trim(b)).cast("bigint").alias("edits"), F.round(rate, 6).alias("cer"), route.alias("route"))
 
 
-@query(f"""WITH {PAGES}, b AS (SELECT id, paddleOcrText AS t, regexp_replace(paddleOcrText, '[{_SPACE}]+', '', 'g') AS b FROM page_now WHERE mode = 'scan'),
-m AS (SELECT *, {_count('t', _HAN + _KANA + 'A-Za-z0-9')} AS m, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(b, '')) AS c) GROUP BY c)) AS top FROM b)
-SELECT id, CASE WHEN t IS NULL OR length(trim(t, ' ')) = 0 THEN 'empty' WHEN length(b) < 5 THEN 'too_short' WHEN length(t) > 20000 THEN 'too_long' WHEN regexp_matches(t, '(?i)<(html|table|div|td)\\b') THEN 'markup'
-  WHEN m / length(b) < 0.3 THEN 'no_text' WHEN length(b) >= 50 AND top / length(b) > 0.4 THEN 'repeated_character' END AS fault FROM m""")
-def ocr_validate(spark: SparkSession, d: str) -> DataFrame:
-    return pages_now(spark, d, ["mode", "paddleOcrText"]).where("mode = 'scan'").select("id", T.ocr_fault(F.col("paddleOcrText")).alias("fault"))
-
-
-@query()
-def fuse_readings(spark: SparkSession, d: str) -> DataFrame:
-    p = pages_now(spark, d, ["mode", "paddleOcrText", "deepseekOcrText", "qwenVlOcrText"]).where("mode = 'scan'")
-    first, second = F.col("deepseekOcrText"), F.col("qwenVlOcrText")
-    chosen = p.withColumn("policy", fusion.source_of(F.col("paddleOcrText"), first, second))
-    other = F.when(F.col("policy").isin("anchor+second", "second"), second).when(F.col("policy").isin("anchor+first", "first"), first)
-    chosen = chosen.repartition(spark.sparkContext.defaultParallelism)  # the alignment costs far more than the move
-    fused = chosen.withColumn("f", fusion.fuse_two(F.coalesce(F.col("paddleOcrText"), other), F.coalesce(other, F.col("paddleOcrText"))))
-    return fused.select("id", "policy", F.col("f.text").alias("text"), F.col("f.agreement").alias("agreement"), F.col("f.edits").alias("edits"))
-
-
-_VARIANTS = [("説", "說"), ("說", "説"), ("説", "說"), ("囯", "國"), ("国", "國"), ("氷", "冰")]
-
-
-@query("""SELECT * FROM (VALUES (1, '說國冰', '說國冰'), (2, '説囯氷', '說國冰'), (3, '国説', '國說'), (4, '', '')) t(id, raw, canonical)""")
-def variant_translate(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, [(1, "說國冰"), (2, "説囯氷"), (3, "国説"), (4, "")], "id int, raw string")
-    return rows.select("id", "raw", T.translate_map(F.col("raw"), T.canonical_variants(_VARIANTS)).alias("canonical"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'ja', 'ガパア', true), (2, 'zh', 'ｶﾞﾊﾟｱ', false), (3, 'ja', '「本」、', true), (4, 'en', 'abc', true)) t(id, lang, wide, applied)""")
-def kana_width(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, [(1, "ja", "ｶﾞﾊﾟｱ"), (2, "zh", "ｶﾞﾊﾟｱ"), (3, "ja", "｢本｣､"), (4, "en", "abc")], "id int, lang string, raw string")
-    applied = ~F.col("lang").startswith("zh")
-    return rows.select("id", "lang", F.when(applied, T.wide_kana(F.col("raw"))).otherwise(F.col("raw")).alias("wide"), applied.alias("applied"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'tidy', true, '說  國', '說 國'), (1, 'variants', false, '說 國', '說 國'), (2, 'tidy', false, '説', '説'), (2, 'variants', true, '説', '說')) t(id, step, changed, "before", "after")""")
-def normalize_trace(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, [(1, "說  國"), (2, "説")], "id int, raw string").withColumn("a", T.tidy_space(F.col("raw")))
-    rows = rows.withColumn("b", T.translate_map(F.col("a"), T.canonical_variants(_VARIANTS)))
-    step = lambda n, x, y: F.struct(F.lit(n).alias("step"), (F.col(x) != F.col(y)).alias("changed"), F.col(x).alias("before"), F.col(y).alias("after"))
-    return rows.select("id", F.inline(F.array(step("tidy", "raw", "a"), step("variants", "a", "b"))))
-
-
-@query("""SELECT * FROM (VALUES (1, '貞觀', 635, true), (2, '乾隆', 1736, true), (3, '永徽', 662, false)) t(id, era, ce, fits)""")
-def era_to_ce(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, [(1, "貞觀九年春"), (2, "乾隆元年"), (3, "永徽十三年"), (4, "是歲大旱")], "id int, t string")
-    e = D.era_year(F.col("t"))
-    return rows.select("id", e["era"].alias("era"), e["ce"].alias("ce"), e["fits"].alias("fits")).where("era IS NOT NULL")
-
-
 @query("""SELECT year, substring('甲乙丙丁戊己庚辛壬癸', CAST((year - 4) % 10 AS INTEGER) + 1, 1) || substring('子丑寅卯辰巳午未申酉戌亥', CAST((year - 4) % 12 AS INTEGER) + 1, 1) AS name
 FROM (SELECT DISTINCT publicationYear AS year FROM document_meta WHERE publicationYear IS NOT NULL)""")
 def cycle_years(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "document_meta").where("publicationYear IS NOT NULL").select(F.col("publicationYear").alias("year")).distinct().select("year", D.cycle_year(F.col("year")).alias("name"))
 
 
-@query("""SELECT * FROM (VALUES (1, 7), (2, 10), (3, 23), (4, 90), (5, 1), (6, 205)) t(id, n)""")
-def han_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, [(1, "七"), (2, "十"), (3, "二十三"), (4, "九十"), (5, "元"), (6, "二〇五")], "id int, t string").select("id", D.han_number(F.col("t")).alias("n"))
-
-
 @query("""SELECT * FROM (VALUES (1, '李白', 'PERSON', 1.0), (1, '長安', 'OTHER', 0.7), (2, '律', 'LAW', 0.0)) t(id, name, type, weight)""")
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
     rows = [(1, '```json\n[{"name":"李白","type":"person","weight":3}, {"name":" 長安 ","type":"city"},]\n```'), (2, 'Sure: [{"name":"律","type":"LAW","weight":-1}]'), (3, "no answer"), (4, "[{broken")]

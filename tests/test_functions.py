@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quirefold.functions import canon, rules
 from quirefold.functions import dates as D
 from quirefold.functions import text as T
 from quirefold.functions import vectors as V
@@ -136,3 +137,63 @@ def test_ranges(spark):
     r = spine.section_ranges(p)
     assert sorted((x.sectionId, x.first, x.last) for x in r.collect()) == [("s1", 1, 2), ("s2", 3, 4)]
     assert {x.id: x.section for x in spine.pages_in(p, r).collect()} == {"p0": None, "p1": "s1", "p2": "s1", "p3": "s2", "p4": "s2"}
+
+
+def test_era_years(spark):
+    text = "貞觀十九年乙巳春，上元二年，開元二十年壬申，乾隆元年，永徽十三年。乙丑上元元年"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "是歲大旱"), (4, "天冊萬歲元年")], "id int, t string")
+    got = [tuple(r) for r in D.era_years(df, ["id"], "t").orderBy("id", "nth").select("id", "era", "offset", "ce", "candidates", "named", "confidence").collect()]
+    assert got == [
+        (1, "貞觀", 19, 645, 1, "乙巳", 1.0), (1, "上元", 2, 675, 2, "乙巳", 0.6), (1, "開元", 20, 732, 1, "壬申", 1.0), (1, "永徽", 13, 662, 1, "乙丑", 0.5), (1, "上元", 1, 674, 2, "乙丑", 0.6),
+        (4, "天冊萬歲", 1, 695, 1, None, 1.0),
+    ]
+    assert [tuple(r) for r in D.first_era(df, ["id"], "t").orderBy("id").collect()] == [(1, 645, "唐"), (4, 695, "唐")]
+
+
+def test_canonical_steps(spark):
+    df = spark.createDataFrame([(1, "这是 说國の ｶﾞ  泉", "ja", "Tang"), (2, "早 無泉", None, None), (3, None, "zh", "")], "id int, t string, lang string, era string")
+    rows = {(r.id, r.step): r for r in df.select("id", F.inline(canon.trace(F.col("t"), F.col("lang"), F.col("era")))).collect()}
+    assert rows[1, "kana"].after == "这是 說國の ガ 淵" and rows[1, "taboo"].applied and rows[1, "tsc"].after == "这是 說國の ｶﾞ 泉"
+    assert rows[2, "kana"].after == "早 無泉" and not rows[2, "taboo"].applied and not rows[2, "loan"].applied
+    assert rows[3, "kana"].after == "" and rows[3, "taboo"].applied and len(rows) == 21
+    assert canon.loan_map()["說"] == "悅" and "早" not in canon.loan_map() and canon.loan_map(either=True)["早"] == "蚤"
+    assert "代" not in canon.taboo_map("tang") and canon.taboo_map("tang", True)["代"] == "世" and canon.taboo_map("tang")["泉"] == "淵"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (None, ("unknown", "empty", 0.0)), ("   ", ("unknown", "too-short", 0.0)), ("漢字短文", ("unknown", "too-short", 0.0)), ("有㆑朋自遠方來不亦樂乎", ("kanbun", "kunten-marks", 0.95)),
+        ("これは日本語の文章です。", ("ja", "kana-density", 0.95)), ("貞觀十九年春正月，帝幸東都。", ("zh-classical", "classical-default", 0.95)), ("这个国家的学生们说话", ("zh-modern", "simplified-sniff", 0.8)),
+        ("see Tang 律疏 page twelve", ("mixed", "latin-mix", 0.85)), ("only some plain words", ("unknown", "no-rule-matched", 0.0)), ("1998年出版的国书目录123", ("zh-modern", "modern-digit", 0.85)),
+    ],
+)
+def test_language_rules(spark, text, want):
+    r = rules.with_language(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert (r.language, r.rule, r.confidence) == want
+
+
+@pytest.mark.parametrize(
+    "text, fault",
+    [
+        (None, None), ("（空页）", None), ("This image shows a page", "english_image_description"), ("<|ref|>字<|/ref|>", "internal_token_leakage"), ("<table><td>字</td>", "html_table_markup"), ("| 1 | 2 | 3 |", "sequential_number_table"),
+        ("short", None), ("plain words only " * 10, "low_cjk_ratio:0.000"), ("一" * 80 + "天地" * 20, "repeated_char:'一'"), ("12345678天" * 15, "digit_dominated"), ("天地玄黃宇宙洪荒" * 20, None),
+    ],
+)
+def test_recognition_faults(spark, text, fault):
+    assert one(spark, text, rules.recognition_fault) == fault
+
+
+def test_validation_rescues_tables_and_refuses_turned_texts(spark):
+    rows = [("<table><td>天地玄黃宇宙洪荒</td>&nbsp;</table>", True), ("<table><td>x</td></table>", True), ("国会说时学", True), ("国会说时学", False), ("（空页）", True), ("天地", True)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, t string, old boolean")
+    got = [(r.valid_text, r.error) for r in rules.with_validation(df, "t", F.col("old")).orderBy("id").collect()]
+    assert got == [("天地玄黃宇宙洪荒", None), ("", "validation_failed:html_table_markup"), ("", "validation_failed:simplified_conversion:5/5"), ("国会说时学", None), ("", None), ("天地", None)]
+
+
+def test_quality_gate_and_fusion(spark):
+    han, noise = "天地玄黃宇宙洪荒" * 20, "plain words " * 20
+    rows = [(han, han[:-1], None), (han, noise, None), (han, None, noise), (None, None, han), (None, noise, None), ("天地", "天" * 7, None), (han, han, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a string, b string, c string")
+    got = [(r.policy, r.text, r.agreement) for r in fusion.fused(df, "a", "b", "c").orderBy("id").collect()]
+    assert got == [("anchor+first", han, round(159 / 160, 4)), ("anchor", han, None), ("anchor", han, None), ("second", han, None), ("none", "", None), ("anchor", "天地", None), ("anchor+first", han, 1.0)]
