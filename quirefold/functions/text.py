@@ -23,7 +23,8 @@ ZERO_WIDTH = "​‌‍⁠﻿"
 
 GRAM_SIZES = (3, 4)
 CHUNK, OVERLAP = 500, 50
-QUOTES = (("「", "」"), ("『", "』"), ("“", "”"), ("‘", "’"), ("《", "》"), ('"', '"'))
+QUOTES = (("「", "」"), ("『", "』"), ("“", "”"), ("‘", "’"), ("《", "》"), ("〈", "〉"))
+ELLIPSIS, AROUND = "[…⋯]{1,3}(?:省略|省)?", 100
 
 
 def count_of(x: Column, chars: str) -> Column:
@@ -120,10 +121,19 @@ def longest_run(x: Column, chars: str = HAN, least: int = 4) -> Column:
 
 
 def quoted_spans(x: Column, low: int = 5, high: int = 300, most: int = 10) -> Column:
-    """The texts between quotation marks, pair by pair, of ``low`` to ``high`` characters, each once."""
+    """Candidate quotations, each once, the first ``most``: the texts between quotation marks, pair by pair, then 100 characters on both sides of each ellipsis."""
     found = [F.regexp_extract_all(x, F.lit(f"(?s){a}(.+?){b}"), F.lit(1)) for a, b in QUOTES]
-    kept = F.filter(F.concat(*found), lambda s: (F.length(F.trim(s)) >= low) & (F.length(F.trim(s)) <= high))
-    return F.slice(F.array_distinct(F.transform(kept, F.trim)), 1, most)
+    parts, marks = F.split(x, ELLIPSIS), F.regexp_extract_all(x, F.lit(f"({ELLIPSIS})"), F.lit(1))
+
+    def around(i: Column) -> Column:
+        # the text before a mark ends with the parts and marks before it; only as much as the window needs is put together
+        before = F.aggregate(F.sequence(F.lit(0), i), F.lit(""), lambda t, j: F.right(F.concat(t, F.when(j > 0, F.get(marks, j - 1)).otherwise(""), F.get(parts, j)), F.lit(AROUND)))
+        after = F.aggregate(F.sequence(i + 1, F.size(marks)), F.lit(""), lambda t, j: F.left(F.concat(t, F.get(parts, j), F.coalesce(F.get(marks, j), F.lit(""))), F.lit(AROUND)))
+        return F.concat(before, F.get(marks, i), after)
+
+    windows_ = F.when(F.size(marks) > 0, F.transform(F.sequence(F.lit(0), F.size(marks) - 1), around)).otherwise(F.array().cast("array<string>"))
+    spans = F.transform(F.concat(*found, windows_), strip)
+    return F.slice(F.array_distinct(F.filter(spans, lambda s: (F.length(s) >= low) & (F.length(s) <= high))), 1, most)
 
 
 def windows(x: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
@@ -159,25 +169,59 @@ def latin_words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
+def tokens(x: Column, language: Column) -> Column:
+    """The tokens of a text by its language: English words, Arabic words without marks, single characters for all others (no segmenter is at hand for them)."""
+    lang = F.lower(F.coalesce(language, F.lit("zh-classical")))
+    english = F.regexp_extract_all(x, F.lit(r"([A-Za-z](?:[A-Za-z'\-]*[A-Za-z])?)"), F.lit(1))
+    arabic = F.filter(F.transform(F.split(x, f"[{SPACE}،؛؟؍]+"), lambda w: F.regexp_replace(w, r"^[\x{200e}\x{200f}.,;:!?()\"']+|[\x{200e}\x{200f}.,;:!?()\"']+$", "")), lambda w: F.length(w) > 0)
+    single = F.filter(F.split(F.regexp_replace(x, f"[{SPACE}]+", ""), ""), lambda c: F.length(c) > 0)
+    blank = x.isNull() | (F.length(strip(x)) == 0)
+    return F.when(blank, F.array().cast("array<string>")).when(lang == "en", english).when(lang == "ar", arabic).otherwise(single)
+
+
 def error_rate(text: Column, truth: Column) -> Column:
     """Edit distance by the length of the truth, both trimmed; 0 for an empty truth."""
     a, b = F.trim(text), F.trim(truth)
     return share(F.levenshtein(a, b), F.length(b))
 
 
-def heading_sections(x: Column, size: int = CHUNK, least: int = 10) -> Column:
+def heading_sections(x: Column, size: int = CHUNK, least: int = 10, overlap: int = OVERLAP) -> Column:
     """Markdown cut at its headings, neighbours put together while they stay within ``size``.
 
-    Sections under ``least`` characters are dropped; larger ones than ``size`` are left whole for ``windows``.
+    A section longer than ``size`` is cut into sliding windows; a text without
+    headings is, as a whole.  What is left shorter than ``least`` is dropped.  Sections
+    put together are joined by a line break, which their lengths leave out of account.
     """
-    parts = F.filter(F.split(x, r"(?m)(?=^#{1,6}[ \t])"), lambda s: F.length(F.trim(s)) > 0)
+    parts = F.filter(F.split(x, r"(?m)(?=^#{1,6}\s)"), lambda s: F.length(s) > 0)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    left = lambda s: F.regexp_replace(s, f"^[{SPACE}]+", "")
+    pieces = lambda s: F.transform(windows(s, size, overlap), lambda w: w["text"])
 
     def step(a: Column, s: Column) -> Column:
-        fits = (F.length(a["open"]) == 0) | (F.length(a["open"]) + F.length(s) <= size)
-        return F.when(fits, F.struct(a["done"].alias("done"), F.concat(a["open"], s).alias("open"))).otherwise(
-            F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), s.alias("open"))
+        closed = F.when(F.length(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
+        return (
+            F.when(F.length(a["open"]) + F.length(s) <= size, F.struct(a["done"].alias("done"), left(F.concat(a["open"], F.lit("\n"), s)).alias("open")))
+            .when(F.length(s) > size, F.struct(F.concat(closed, pieces(s)).alias("done"), F.lit("").alias("open")))
+            .otherwise(F.struct(closed.alias("done"), s.alias("open")))
         )
 
     merged = F.aggregate(parts, start, step, lambda a: F.when(F.length(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-    return F.filter(F.transform(merged, strip), lambda s: F.length(s) >= least)
+    whole = F.when(x.rlike(r"(?m)^#{1,6}\s"), F.filter(merged, lambda s: F.length(s) >= least)).otherwise(pieces(x))
+    return whole
+
+
+def han_validity(x: Column) -> Column:
+    """Ideographs by the characters that are not blank."""
+    return share(count_of(x, HAN), F.length(F.regexp_replace(x, f"[{SPACE}]", "")))
+
+
+#: Kinds of pages by what is to be done with them.
+REVIEWED = ["LAYOUT_AMBIGUITY", "READING_ORDER", "ANNOTATION", "EDITORIAL_VS_SOURCE", "KANBUN_KUNTEN", "OKURIGANA", "HENTAIGANA", "MIXED_SCRIPT"]
+REFUSED = ["RARE_GLYPH", "DEGRADATION"]
+PASSING = ["OK", "POLYSEMY", "CULTURAL_REFERENCE"]
+SURE_BELOW, PASS_BELOW, REVIEW_BELOW = 0.02, 0.05, 0.15
+
+
+def page_route(rate: Column, kind: Column) -> Column:
+    """pass, needs_review or failed by error rate and kind of page; what fails by either fails."""
+    return F.when(kind.isin(REFUSED) | (rate >= REVIEW_BELOW), "failed").when(kind.isin(REVIEWED) | (rate >= PASS_BELOW), "needs_review").otherwise("pass")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.session import cut
+
 
 def ir_metrics(ranked: DataFrame, relevant: DataFrame, query: str, item: str, place: str, k: int) -> DataFrame:
     """(query, ndcg, recall, precision, mrr) at k; a query without relevant items has none."""
@@ -30,24 +33,49 @@ def bootstrap(values: DataFrame, order: str, value: str, rounds: int) -> DataFra
     """(n, mean, low, high): the mean and its 2.5 and 97.5 % percentiles over resamples.
 
     Draw j of round r takes the value at a hash of (r, j), so the result does not
-    hang on a generator's state; only the numbered values (as many as there are
-    queries) are broadcast, after a check of their number.
+    hang on a generator's state.  The values are numbered and laid out in a table; each
+    round draws by a join on the number, so nothing is gathered in one row.
     """
     rows = values.where(F.col(value).isNotNull()).select(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
     n = rows.count()
-    if n > 100_000:
-        raise ValueError("bootstrap over more than 100,000 values")
-    ordered = rows.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda s: s["v"]).alias("vs"))
     spark = values.sparkSession
-    draw = lambda r, j: (F.conv(F.substring(F.sha1(F.concat_ws(":", r.cast("string"), j.cast("string"))), 1, 8), 16, 10).cast("bigint") % n + 1).cast("int")
     if not n:
         return spark.createDataFrame([(0, None, None, None)], "n bigint, mean double, low double, high double")
-    tries = spark.range(rounds).join(F.broadcast(ordered)).select(
-        (F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda a, j: a + F.element_at("vs", draw(F.col("id"), j))) / n).alias("m")
-    )
+    laid = cut(rows.repartitionByRange("o", "v").withColumn("_p", F.spark_partition_id()))
+    sizes = laid.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    numbered = laid.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy("o", "v")) - 1).join(F.broadcast(before), "_p").select((F.col("_b") + F.col("_k")).alias("i"), "v")
+    drawn = F.conv(F.substring(F.sha1(F.concat_ws(":", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("bigint") % n
+    draws = spark.range(rounds).withColumnRenamed("id", "r").select("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).select("r", drawn.alias("i")).groupBy("r", "i").agg(F.count(F.lit(1)).alias("times"))
+    tries = draws.join(numbered, "i").groupBy("r").agg((F.sum(F.col("v") * F.col("times")) / n).alias("m"))
     bounds = tries.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    mean = rows.agg(F.avg("v").alias("mean"))
-    return bounds.join(mean).select(F.lit(n).cast("bigint").alias("n"), *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return bounds.crossJoin(rows.agg(F.avg("v").alias("mean"))).select(F.lit(n).cast("bigint").alias("n"), *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+def interval(mean: Column, low: Column, high: Column, digits: int = 4) -> Column:
+    """A mean with its interval as text, n/a without a value."""
+    short = lambda c: F.regexp_replace(F.round(c, digits).cast("string"), r"\.0$", ".0")
+    return F.when(mean.isNull(), "n/a").otherwise(F.concat(short(mean), F.lit(" ["), short(low), F.lit(", "), short(high), F.lit("]")))
+
+
+def faithfulness(rows: DataFrame, gold: DataFrame, query: str, item: str, ok: str) -> DataFrame:
+    """(rows, verified, insufficient, false_negative, n) before and behind the gate.
+
+    A false negative is a query one of whose own items (``gold``) was found and refused;
+    behind the gate none can be, as the refused ones are gone.
+    """
+    flag = F.coalesce(F.col(ok), F.lit(False))
+    share = lambda df, name: df.agg(F.lit(name).alias("rows"), F.round(F.avg(flag.cast("double")), 6).alias("verified"), F.round(F.avg((~flag).cast("double")), 6).alias("insufficient"), F.count(F.lit(1)).alias("n"))
+    refused = rows.join(gold.select(query, item).distinct(), [query, item]).groupBy(query).agg(F.max((~flag).cast("int")).alias("_m"))
+    missed = gold.select(query).distinct().join(refused, query, "left").agg(F.round(F.avg(F.coalesce("_m", F.lit(0)).cast("double")), 6).alias("false_negative"))
+    both = share(rows, "ungated").crossJoin(missed).unionByName(share(rows.where(flag), "gated").withColumn("false_negative", F.lit(0.0)))
+    return both.select("rows", "verified", "insufficient", "false_negative", "n")
+
+
+def progress(done: Column, total: Column, seconds: Column) -> dict[str, Column]:
+    """pct and eta (whole seconds) of a stage; no eta before anything is done or once all is."""
+    rate = done / seconds
+    return {"pct": F.when(total > 0, F.round(100.0 * done / total, 2)).otherwise(0.0), "eta": F.when((done > 0) & (seconds > 0) & (done < total), F.floor((total - done) / rate).cast("bigint"))}
 
 
 def f1(hits: Column, found: Column, wanted: Column) -> Column:

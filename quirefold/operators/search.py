@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import math
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from quirefold.functions import text as T
-from quirefold.functions.vectors import dot, norm
 from quirefold.operators.ranking import places
-from quirefold.session import cut, spread
+from quirefold.session import cut, read_folder, scratch, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BLOCK = 200_000, 10_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,7 +34,9 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
 
     Only postings of grams that some query has are kept; the corpus-wide numbers
     (texts, mean length, document frequencies) are aggregates.  A negative
-    inverse frequency is raised to EPSILON times the mean over the grams asked for.
+    inverse frequency is raised to EPSILON times the mean over the whole vocabulary
+    of the corpus, which is counted only where some gram asked for needs it; so a
+    score doesn't hang on what else is asked.
     """
     docs = spread(docs.select(key, text))
     sized = docs.where(F.length(text) >= 3).select(key, F.explode(T.char_grams(F.col(text))).alias("gram"))
@@ -38,8 +48,11 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     postings = cut(sized.join(small(wanted), "gram").groupBy("gram", key).agg(F.count(F.lit(1)).alias("tf")))
     df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     raw = df.select("gram", (F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    negative, average = raw.agg(F.count_if(F.col("idf") < 0), F.avg("idf")).first()
-    idf = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(EPSILON * average)).otherwise(F.col("idf"))) if negative else raw
+    idf = raw
+    if not raw.where("idf < 0").isEmpty():
+        every = docs.where(F.length(text) >= 3).select(F.explode(F.array_distinct(T.char_grams(F.col(text)))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        average = every.agg(F.avg(F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+        idf = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(EPSILON * average)).otherwise(F.col("idf")))
     scored = postings.join(idf, "gram").join(lengths, key)
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
     hits = scored.select("gram", key, weight.alias("w")).join(asked, "gram").groupBy(query_key, key).agg(F.round(F.sum(F.col("w") * F.col("times")), digits).alias("score"))
@@ -52,19 +65,66 @@ def top(df: DataFrame, group: list[str], score: str, tie: str, k: int) -> DataFr
     return df.withColumn("place", place).where(F.col("place") <= k)
 
 
-def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, k: int, least: float | None = None) -> DataFrame:
-    """(query_key, key, score, place): for each of a stated set of queries the k most similar rows, by exact cosine.
+def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, k: int, least: float | None = None, query_vector: str | None = None, itself: bool = False) -> DataFrame:
+    """(query, hit, score, place): for each of a stated set of queries the k most similar rows, by exact cosine.
 
-    Every row meets the block of queries, whose size is checked before it is
-    broadcast; a larger set goes through the index of approximate neighbours.
+    The queries are dealt into blocks of about BLOCK, which lie in the shared folder;
+    every row meets each block in one matrix product, and only a query's k best of a
+    task leave it.  Vectors with nulls, of all zeros or of another length than the
+    queries' are left out, and so are pairs of equal keys unless ``itself``.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / norm(v))
-    asked = queries.where(norm(F.col(vector)) > 0).select(F.col(query_key).alias("_q"), unit(F.col(vector)).alias("_qv"))
-    held = rows.where(norm(F.col(vector)) > 0).select(F.col(key).alias("_k"), unit(F.col(vector)).alias("_kv"))
-    if asked.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 queries: use the approximate index")
-    pairs = held.join(F.broadcast(asked), F.col("_q") != F.col("_k")).select(F.col("_q").alias("query"), F.col("_k").alias("hit"), F.round(dot(F.col("_qv"), F.col("_kv")), 9).alias("score"))
-    return top(pairs if least is None else pairs.where(F.col("score") >= least), ["query"], "score", "hit", k)
+    kind, query_kind = dict(rows.dtypes)[key], dict(queries.dtypes)[query_key]
+    clean = lambda df, i, v: df.select(F.col(i).alias("i"), F.col(v).cast("array<double>").alias("v")).where(F.col("i").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    asked = clean(queries, query_key, query_vector or vector)
+    blocks = max(1, math.ceil(asked.count() / BLOCK))
+    folder = scratch(rows.sparkSession, "queries")
+    asked.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks))).write.partitionBy("block").parquet(folder)
+    schema = f"query {query_kind}, hit {kind}, score double"
+
+    def of(block: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = read_folder(os.path.join(folder, f"block={block}"), ["i", "v"])
+            names = [] if table is None else table.column("i").to_pylist()
+            if not names:
+                return
+            lengths = [len(v) for v in table.column("v").to_pylist()]
+            dims = max(lengths)
+            fit = [j for j, n in enumerate(lengths) if n == dims]
+            q = np.array([table.column("v")[j].as_py() for j in fit])
+            norms = np.linalg.norm(q, axis=1)
+            q, names = q[norms > 0] / norms[norms > 0, None], [names[j] for j, n in zip(fit, norms) if n > 0]
+            best: list[list[tuple]] = [[] for _ in names]
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    vs, ids = part.column(1).to_pylist(), part.column(0).to_pylist()
+                    keep = [j for j, v in enumerate(vs) if len(v) == dims]
+                    if not keep:
+                        continue
+                    x = np.array([vs[j] for j in keep])
+                    n = np.linalg.norm(x, axis=1)
+                    x, ids = x[n > 0] / n[n > 0, None], [ids[j] for j, m in zip(keep, n) if m > 0]
+                    score = np.round(q @ x.T, 9)
+                    for j, row in enumerate(score):
+                        cut_ = -2.0 if least is None else least
+                        if len(best[j]) >= k:
+                            cut_ = max(cut_, best[j][-1][0])
+                        near = np.flatnonzero(row >= cut_)
+                        if len(near) > 4 * k:
+                            near = near[row[near] >= np.partition(row[near], -k - 1)[-k - 1]]  # one more, as the query itself may be among them
+                        found = [(float(row[c]), ids[c]) for c in near if itself or ids[c] != names[j]]
+                        if found:
+                            best[j] = sorted(best[j] + found, key=lambda f: (-f[0], f[1]))[:k]
+            flat = [(names[j], i, s) for j, fs in enumerate(best) for s, i in fs]
+            for at in range(0, len(flat), 10_000):
+                one = list(zip(*flat[at : at + 10_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(one[0], type=types[0]), pa.array(one[1], type=types[1]), pa.array(one[2], type=pa.float64())], names=["query", "hit", "score"])
+
+        types = [to_arrow_type(_parse_datatype_string(t)) for t in (query_kind, kind)]
+        return clean(rows, key, vector).mapInArrow(run, schema)
+
+    pairs = reduce(DataFrame.unionByName, [of(b) for b in range(blocks)])
+    return top(pairs, ["query"], "score", "hit", k)
 
 
 def rrf(hits: DataFrame, query: str, leg: str, item: str, score: str, k: int = RRF, most: int = 100) -> DataFrame:
@@ -129,6 +189,73 @@ def expanded(hits: DataFrame, extra: DataFrame, query: str, item: str) -> DataFr
     return hits.select(query, item, "score").unionByName(new.withColumn("score", F.lit(0.0)))
 
 
+def parts_of(x: Column) -> Column:
+    """All different parts of a short text."""
+    n = F.length(x)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(x, i, k)))))
+
+
+def lookup(words: DataFrame, word: str, entries: DataFrame, term: str, most: int = 5, least: int = 2) -> DataFrame:
+    """(word, term, how): words among the terms of a dictionary: 'exact', else 'part' (up to ``most`` terms that hold the word, the shortest first), else 'none'.
+
+    Terms meet the words they hold by a join on their parts, not by comparing each with each.
+    """
+    exact = words.join(entries, F.col(word) == F.col(term)).select(word, term)
+    rest = words.join(exact.select(word), word, "left_anti")
+    parts = entries.where(F.length(term) > 0).select(term, F.explode(parts_of(F.col(term))).alias(word)).where(F.length(word) >= least)
+    nth = F.row_number().over(W.partitionBy(word).orderBy(F.length(term), term))
+    part = rest.join(parts, word).withColumn("_n", nth).where(F.col("_n") <= most).select(word, term)
+    none = rest.join(part.select(word).distinct(), word, "left_anti").select(word, F.lit(None).cast("string").alias(term))
+    out = exact.withColumn("how", F.lit("exact")).unionByName(part.withColumn("how", F.lit("part")))
+    return out.unionByName(none.withColumn("how", F.lit("none")))
+
+
+def by_keyword(terms: DataFrame, mentions: DataFrame, query: str, item: str, keyword: str, most: int, items: int) -> DataFrame:
+    """(query, item): items that mention one of the ``most`` most frequent keywords which hold a term of the query.
+
+    ``terms`` is (query, term), ``mentions`` (item, keyword), once for each mention;
+    at most ``items`` items a query, in order of their keys.  Keywords hold a term
+    where one of their own parts is it, so the two meet by a join on parts.
+    """
+    frequency = mentions.groupBy(keyword).agg(F.count(F.lit(1)).alias("_n"))
+    parts = frequency.where(F.length(keyword) > 0).select(keyword, "_n", F.explode(parts_of(F.col(keyword))).alias("term"))
+    met = terms.select(query, "term").distinct().join(parts, "term").select(query, keyword, "_n").distinct()
+    chosen = top(met, [query], "_n", keyword, most).select(query, keyword)
+    found = chosen.join(mentions.select(item, keyword).distinct(), keyword).select(query, item).distinct()
+    return found.withColumn("_r", F.row_number().over(W.partitionBy(query).orderBy(item))).where(F.col("_r") <= items).drop("_r")
+
+
+def intent(text: Column) -> Column:
+    """What a question asks for, by its words: facts, readings by others, a survey, or unknown (a model can stand in for this rule)."""
+    return (
+        F.when(text.rlike("(?i)何時|何年|幾年|誰|卒|生於|\\b(when|who|where|date|year)\\b"), "factual")
+        .when(text.rlike("(?i)考證|評|注釋|解|研究|\\b(why|how|meaning|interpret|commentary)"), "interpretive")
+        .when(text.rlike("(?i)制度|總論|概論|\\b(overview|system|history of)\\b"), "synthesis")
+        .otherwise("unknown")
+    )
+
+
+def boosted_by_intent(df: DataFrame, query: str, score: str, item: str, tier: str, intent_: str, by: float = 0.15) -> DataFrame:
+    """Scores raised for primary sources where facts are asked, for others where readings are, and places anew."""
+    favoured = F.when(F.col(intent_) == "factual", "primary").when(F.col(intent_) == "interpretive", "secondary")
+    up = F.col(score) + F.when(F.col(tier) == favoured, by).otherwise(0.0)
+    return places(df.withColumn("boosted", up), [query], "boosted", item).drop("of")
+
+
+def header(title: Column, chapter: Column, ordinal: Column, text: Column) -> Column:
+    """A text with the place it stands at, as it is reranked; a chapter is named by its ordinal where it has one."""
+    named = lambda c: F.when(F.length(c) > 0, c)
+    at = F.when(named(chapter).isNotNull() & (ordinal > 0), F.concat(F.lit("卷"), ordinal.cast("string"))).otherwise(named(chapter))
+    parts = F.concat_ws("·", named(title), at)
+    return F.concat(F.when(F.length(parts) > 0, F.concat(F.lit("《"), parts, F.lit("》\n"))).otherwise(""), F.coalesce(text, F.lit("")))
+
+
+def badge(tier: Column, layer: Column) -> Column:
+    """How strong the evidence of a source is."""
+    commentary = layer.isin("校點", "校訂", "箋解")
+    return F.when(tier == "primary", F.when(layer == "疏議", "primary_疏議").when(commentary, "editorial_commentary").otherwise("primary_source")).otherwise("scholarly_interpretation")
+
+
 def members_of(scored: DataFrame, members: DataFrame, group: str, item: str, most: int) -> DataFrame:
     """(item, group, score): the members of scored groups, each in its best group, at most ``most`` of a group."""
     joined = members.join(scored, group)

@@ -134,10 +134,12 @@ def keyword_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CHUNKS}, w AS (SELECT DISTINCT documentId, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word FROM chunk_now)
-SELECT documentId, string_agg(word, ' ' ORDER BY word) AS words FROM w WHERE length(word) >= 12 GROUP BY 1""")
+SELECT documentId, count(*) AS words, md5(string_agg(word, ' ' ORDER BY word)) AS print FROM w GROUP BY 1""")
 def keywords_of_book(spark: SparkSession, d: str) -> DataFrame:
-    w = chunks_now(spark, d, ["documentId", "text"]).select("documentId", F.explode(T.latin_words(F.col("text"))).alias("word")).where(F.length("word") >= 12)
-    return w.groupBy("documentId").agg(F.concat_ws(" ", F.array_sort(F.collect_set("word"))).alias("words"))
+    """The different words of every book, in order."""
+    w = chunks_now(spark, d, ["documentId", "text"]).select("documentId", F.explode(T.latin_words(F.col("text"))).alias("word"))
+    words = F.array_sort(F.collect_set("word"))
+    return w.groupBy("documentId").agg(F.size(words).cast("bigint").alias("words"), F.md5(F.concat_ws(" ", words)).alias("print"))
 
 
 @query(f"""WITH {CHUNKS}, {PAGES}, {BOOKS}

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.functions.vectors import cosine
-from quirefold.operators import graphs, metrics, search
+from quirefold.operators import graphs, metrics, providers, search
 from quirefold.operators.ranking import places
 from quirefold.plans.q_corpus import books, chunks_now, pages_now
-from quirefold.plans.registry import CHUNKS, PAGES, query
+from quirefold.plans.registry import BOOKS, CHUNKS, PAGES, query
 from quirefold.tables import load
 
 _BEST = """best AS (SELECT query_id, leg, chunk_id, max(score) AS s FROM search_hit WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', '-nan') GROUP BY ALL)"""
@@ -133,11 +134,16 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.knn(e.where("label = 0"), "vec_id", "embedding", e.where("vec_id % 100 = 0"), "vec_id", 5)
 
 
-@query("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-SELECT q.vec_id AS a, a.vec_id AS b, round(list_cosine_similarity(q.v, a.v), 6) AS score FROM q JOIN a ON q.vec_id <> a.vec_id WHERE round(list_cosine_similarity(q.v, a.v), 9) >= 0.3""")
+_SOUND = "len(v) = 64 AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND CAST(x AS VARCHAR) NOT IN ('nan', '-nan'))) AND list_bool_or(list_transform(v, lambda x: x <> 0))"
+
+
+@query(f"""WITH v AS (SELECT * FROM (SELECT community_id AS id, CAST(max(embedding) AS DOUBLE[]) AS v FROM community_result WHERE community_id IS NOT NULL GROUP BY 1) WHERE {_SOUND}),
+p AS (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 9) AS s FROM v x JOIN v y ON x.id <> y.id)
+SELECT a, b, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM p WHERE s >= 0.85) WHERE n <= 50""")
 def related_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings")
-    near = search.knn(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), "vec_id", 1_000_000, 0.3)
+    """The up to 50 others of a cosine of 0.85 or more of every community."""
+    v = load(spark, d, "community_result").where("community_id IS NOT NULL").groupBy(F.col("community_id").alias("id")).agg(F.max("embedding").alias("v"))
+    near = search.knn(v, "id", "v", v, "id", 50, 0.85)
     return near.select(F.col("query").alias("a"), F.col("hit").alias("b"), F.round("score", 6).alias("score"))
 
 
@@ -153,7 +159,8 @@ def label_centroids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH doc AS (SELECT doc_id, regexp_replace(text, {_BLANKS}, '', 'g') AS b FROM documents WHERE length(text) >= 3), lens AS (SELECT doc_id, greatest(length(b) - 2, 0) + greatest(length(b) - 3, 0) AS len FROM doc),
 q AS (SELECT item_id, regexp_replace(text, {_BLANKS}, '', 'g') AS b FROM eval_item), asked AS (SELECT item_id, g, count(*) AS times FROM (SELECT item_id, unnest({_GRAMS}) AS g FROM q) GROUP BY ALL),
 post AS (SELECT doc_id, g, count(*) AS tf FROM (SELECT doc_id, unnest({_GRAMS}) AS g FROM doc) WHERE g IN (SELECT g FROM asked) GROUP BY ALL),
-raw AS (SELECT g, ln((SELECT count(*) FROM lens) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post GROUP BY g), idf AS (SELECT g, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+voc AS (SELECT g, ln((SELECT count(*) FROM lens) - count(DISTINCT doc_id) + 0.5) - ln(count(DISTINCT doc_id) + 0.5) AS idf FROM (SELECT doc_id, unnest({_GRAMS}) AS g FROM doc) GROUP BY g),
+idf AS (SELECT g, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM voc) ELSE idf END AS idf FROM voc WHERE g IN (SELECT g FROM asked)),
 s AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lens)))), 6) AS score FROM post JOIN idf USING (g) JOIN lens USING (doc_id) JOIN asked USING (g) GROUP BY ALL)
 SELECT item_id, doc_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0) WHERE place <= 5""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -161,18 +168,95 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("item_id", "doc_id", "score", "place")
 
 
-@query(f"""WITH {_RRF}, {CHUNKS}, b AS (SELECT t.query_id, t.chunk_id, c.tier, c.text, rrf + CASE WHEN c.tier = 'primary' THEN 0.15 ELSE 0 END AS boosted FROM topped t JOIN chunk_now c ON c.id = t.chunk_id WHERE place <= 100),
-h AS (SELECT chunk_id, max(text) AS span FROM search_hit GROUP BY 1),
-v AS (SELECT b.query_id, b.chunk_id, CASE WHEN tier IN ('primary', 'secondary') THEN tier ELSE 'secondary' END AS ribbon, boosted FROM b JOIN h USING (chunk_id) WHERE length(regexp_replace(span, {_BLANKS}, '', 'g')) >= 4 AND contains(regexp_replace(b.text, {_BLANKS}, '', 'g'), regexp_replace(span, {_BLANKS}, '', 'g')))
-SELECT query_id, chunk_id, ribbon, round(boosted, 9) AS score, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ribbon ORDER BY boosted DESC, chunk_id) AS nth FROM v) WHERE nth <= CASE ribbon WHEN 'primary' THEN 5 ELSE 3 END""")
+_TRI = "list_distinct(list_transform(range(1, length({b}) - 1), lambda i: substring({b}, i, 3)))"
+_INTENT = """CASE WHEN regexp_matches(t, '(?i)何時|何年|幾年|誰|卒|生於|\\b(when|who|where|date|year)\\b') THEN 'primary' WHEN regexp_matches(t, '(?i)考證|評|注釋|解|研究|\\b(why|how|meaning|interpret|commentary)') THEN 'secondary' END"""
+_HYBRID = f"""{CHUNKS}, q AS (SELECT pair_id AS query_id, max(gold_span) AS t, max(secondary_chunk_id) AS s FROM linking_gold WHERE pair_id IS NOT NULL AND length(trim(gold_span, ' ')) >= 4 GROUP BY 1),
+doc AS (SELECT id, regexp_replace(text, {_BLANKS}, '', 'g') AS b FROM chunk_now WHERE length(text) >= 3), lens AS (SELECT id, greatest(length(b) - 2, 0) + greatest(length(b) - 3, 0) AS len FROM doc),
+qb AS (SELECT query_id, regexp_replace(t, {_BLANKS}, '', 'g') AS b FROM q), asked AS (SELECT query_id, g, count(*) AS times FROM (SELECT query_id, unnest({_GRAMS}) AS g FROM qb) GROUP BY ALL),
+every AS (SELECT id, g, count(*) AS tf FROM (SELECT id, unnest({_GRAMS}) AS g FROM doc) GROUP BY ALL), voc AS (SELECT g, ln((SELECT count(*) FROM lens) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM every GROUP BY g),
+idf AS (SELECT g, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM voc) ELSE idf END AS idf FROM voc WHERE g IN (SELECT g FROM asked)),
+lex AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lens)))), 6) AS s FROM every JOIN idf USING (g) JOIN lens USING (id) JOIN asked USING (g) GROUP BY ALL),
+vec AS (SELECT * FROM (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_now) WHERE {_SOUND}),
+den AS (SELECT q.query_id, y.id, round(list_cosine_similarity(x.v, y.v), 9) AS s FROM q JOIN vec x ON x.id = q.s JOIN vec y ON true),
+legs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM lex WHERE s > 0 UNION ALL SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM den),
+fused AS (SELECT query_id, id AS chunk_id, round(sum(1.0 / (60 + r)), 12) AS rrf FROM legs WHERE r <= 100 GROUP BY ALL),
+topped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS place FROM fused) WHERE place <= 100),
+b AS (SELECT t.query_id, t.chunk_id, c.tier, q.t AS span, c.text, rrf + CASE WHEN c.tier = {_INTENT} THEN 0.15 ELSE 0 END AS boosted FROM topped t JOIN chunk_now c ON c.id = t.chunk_id JOIN q USING (query_id)),
+n AS (SELECT *, regexp_replace(span, {_BLANKS}, '', 'g') AS sb, regexp_replace(coalesce(text, ''), {_BLANKS}, '', 'g') AS tb FROM b),
+k AS (SELECT *, CASE WHEN length(sb) < 3 THEN 0 ELSE len(list_intersect({_TRI.format(b='sb')}, {_TRI.format(b='tb')})) / len({_TRI.format(b='sb')}) END AS rel, length(sb) >= 4 AND text IS NOT NULL AND contains(tb, sb) AS ok FROM n),
+held AS (SELECT *, round(rel, 9) AS relevance, round(0.7 * rel + 0.3 * least(boosted, 1.0), 6) AS score, CASE WHEN tier IN ('primary', 'secondary') THEN tier ELSE 'secondary' END AS ribbon FROM k)"""
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, chunk_id, tier, relevance, score, verdict): the hundred best chunks of every link's span, reranked and verified.
+
+    The lexical leg searches the span, the dense one the vector of the chunk it stands in.
+    """
+    g = load(spark, d, "linking_gold").where("pair_id IS NOT NULL AND length(trim(gold_span)) >= 4")
+    q = g.groupBy(F.col("pair_id").alias("query_id")).agg(F.max("gold_span").alias("span"), F.max("secondary_chunk_id").alias("source"))
+    c = chunks_now(spark, d, ["tier", "text", "embedding"])
+    lexical = search.bm25(c, "id", "text", q, "query_id", "span", 100, 6).select("query_id", F.col("id").alias("chunk_id"), "place")
+    asked = q.join(c.select(F.col("id").alias("source"), "embedding"), "source").select("query_id", "embedding")
+    dense = search.knn(c, "id", "embedding", asked, "query_id", 100, itself=True).select(F.col("query").alias("query_id"), F.col("hit").alias("chunk_id"), "place")
+    fused = lexical.unionByName(dense).groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (search.RRF + F.col("place"))), 12).alias("rrf"))
+    best = search.top(fused, ["query_id"], "rrf", "chunk_id", 100).drop("place")
+    rows = best.join(q.select("query_id", "span", search.intent(F.col("span")).alias("intent")), "query_id").join(c.select(F.col("id").alias("chunk_id"), "tier", "text"), "chunk_id")
+    up = search.boosted_by_intent(rows, "query_id", "rrf", "chunk_id", "tier", "intent")
+    ranked = providers.rerank(up, ["query_id", "chunk_id"], "span", "text").join(up, ["query_id", "chunk_id"])
+    combined = 0.7 * F.col("relevance") + 0.3 * F.least("boosted", F.lit(1.0))
+    return ranked.select("query_id", "chunk_id", "tier", F.round("relevance", 9).alias("relevance"), F.round(combined, 6).alias("score"), search.verdict(F.col("span"), F.col("text")).alias("verdict"))
+
+
+@query(f"""WITH {_HYBRID} SELECT query_id, chunk_id, ribbon, score, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ribbon ORDER BY relevance DESC, score DESC, chunk_id) AS nth FROM held WHERE ok) WHERE nth <= CASE ribbon WHEN 'primary' THEN 5 ELSE 3 END""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    held = chunks_now(spark, d, ["tier", "text"]).select(F.col("id").alias("chunk_id"), "tier", "text")
-    spans = _hits(spark, d).groupBy("chunk_id").agg(F.max("text").alias("span"))
-    rows = _fused(spark, d).drop("place").join(held, "chunk_id").join(spans, "chunk_id")
-    up = search.boosted(rows, "query_id", "rrf", "chunk_id", "tier", "primary")
-    passed = up.where(search.verdict(F.col("span"), F.col("text")) == "verified")
-    laid = search.ribbons(passed, "query_id", "tier", "place", {"primary": 5, "secondary": 3}, "secondary")
-    return laid.select("query_id", "chunk_id", "ribbon", F.round("boosted", 9).alias("score"), "nth")
+    """Lexical and dense legs, fused by rank, raised by intent, reranked, verified, laid out by ribbon."""
+    passed = _hybrid(spark, d).where("verdict = 'verified'")
+    ribbon = F.when(F.col("tier").isin("primary", "secondary"), F.col("tier")).otherwise("secondary")
+    nth = F.row_number().over(W.partitionBy("query_id", "ribbon").orderBy(F.desc("relevance"), F.desc("score"), "chunk_id"))
+    laid = passed.withColumn("ribbon", ribbon).withColumn("nth", nth)
+    return laid.where(F.col("nth") <= F.when(F.col("ribbon") == "primary", 5).otherwise(3)).select("query_id", "chunk_id", "ribbon", "score", "nth")
+
+
+@query(f"""WITH {_HYBRID}, g AS (SELECT DISTINCT pair_id AS query_id, unnest(primary_chunk_ids) AS chunk_id FROM linking_gold), m AS (SELECT query_id, max(CASE WHEN ok THEN 0 ELSE 1 END) AS missed FROM held JOIN g USING (query_id, chunk_id) GROUP BY 1),
+f AS (SELECT 0.0 + coalesce(missed, 0) AS v FROM (SELECT DISTINCT query_id FROM g) JOIN q USING (query_id) LEFT JOIN m USING (query_id))
+SELECT 'ungated' AS rows, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6) AS verified, round(avg(CASE WHEN ok THEN 0 ELSE 1 END), 6) AS insufficient, (SELECT round(avg(v), 6) FROM f) AS false_negative, count(*) AS n FROM held
+UNION ALL SELECT 'gated', round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6), round(avg(CASE WHEN ok THEN 0 ELSE 1 END), 6), 0.0, count(*) FROM held WHERE ok""")
+def faithfulness(spark: SparkSession, d: str) -> DataFrame:
+    """How many found chunks are verified, how many not, and how often a link's own chunk is found and refused: before and behind the gate."""
+    rows = _hybrid(spark, d).select("query_id", "chunk_id", (F.col("verdict") == "verified").alias("ok"))
+    gold = load(spark, d, "linking_gold").select(F.col("pair_id").alias("query_id"), F.explode("primary_chunk_ids").alias("chunk_id")).distinct()
+    asked = load(spark, d, "linking_gold").where("pair_id IS NOT NULL AND length(trim(gold_span)) >= 4").select(F.col("pair_id").alias("query_id")).distinct()
+    return metrics.faithfulness(rows, gold.join(asked, "query_id", "left_semi"), "query_id", "chunk_id", "ok")
+
+
+@query(f"""WITH {CHUNKS}, q AS (SELECT pair_id AS query_id, max(gold_span) AS t FROM linking_gold WHERE pair_id IS NOT NULL GROUP BY 1), terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(t), '([a-z0-9]+)', 1)) AS term FROM q),
+w AS (SELECT id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word FROM chunk_now), f AS (SELECT word, count(*) AS n FROM w GROUP BY 1),
+met AS (SELECT DISTINCT query_id, word, n FROM terms JOIN f ON contains(word, term)), kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, word) AS r FROM met) WHERE r <= 20),
+hit AS (SELECT DISTINCT query_id, w.id AS chunk_id FROM kw JOIN w USING (word))
+SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS r FROM hit) WHERE r <= 50""")
+def keyword_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Up to 50 chunks that mention one of the 20 most frequent keywords holding a word of a link's span."""
+    q = load(spark, d, "linking_gold").where("pair_id IS NOT NULL").groupBy(F.col("pair_id").alias("query_id")).agg(F.max("gold_span").alias("span"))
+    terms = q.select("query_id", F.explode(T.latin_words(F.col("span"))).alias("term"))
+    mentions = chunks_now(spark, d, ["text"]).select(F.col("id").alias("chunk_id"), F.explode(T.latin_words(F.col("text"))).alias("word"))
+    return search.by_keyword(terms, mentions, "query_id", "chunk_id", "word", 20, 50)
+
+
+@query("""SELECT b.id, CASE tier WHEN 'primary' THEN CASE WHEN edition = '疏議' THEN 'primary_疏議' WHEN edition IN ('校點', '校訂', '箋解') THEN 'editorial_commentary' ELSE 'primary_source' END ELSE 'scholarly_interpretation' END AS badge
+FROM (SELECT id, max(tier) AS tier, max(edition) AS edition FROM document_meta WHERE id IS NOT NULL GROUP BY 1) b""")
+def evidence_badges(spark: SparkSession, d: str) -> DataFrame:
+    b = load(spark, d, "document_meta").where("id IS NOT NULL").groupBy("id").agg(F.max("tier").alias("tier"), F.max("edition").alias("edition"))
+    return b.select("id", search.badge(F.col("tier"), F.col("edition")).alias("badge"))
+
+
+@query(f"""WITH {CHUNKS}, {PAGES}, {BOOKS} SELECT c.id, md5(CASE WHEN length(concat_ws('·', nullif(b.title, ''), nullif(p.chapterId, ''))) > 0 THEN '《' || concat_ws('·', nullif(b.title, ''), nullif(p.chapterId, '')) || '》' || chr(10) ELSE '' END || coalesce(c.text, '')) AS print
+FROM chunk_now c LEFT JOIN page_now p ON c.pageId = p.id LEFT JOIN book b ON p.documentId = b.id""")
+def rerank_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk under the header by which a reranker sees where it stands."""
+    p = pages_now(spark, d, ["documentId", "chapterId"]).select(F.col("id").alias("pageId"), "documentId", "chapterId")
+    b = books(spark, d).select(F.col("id").alias("documentId"), "title")
+    rows = chunks_now(spark, d, ["pageId", "text"]).join(p, "pageId", "left").join(b, "documentId", "left")
+    return rows.select("id", F.md5(search.header(F.col("title"), F.col("chapterId"), F.lit(None).cast("int"), F.col("text"))).alias("print"))
 
 
 @query(f"""WITH {CHUNKS}, w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word FROM chunk_now), f AS (SELECT word FROM w GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8)
@@ -194,7 +278,7 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.communities(chunk_projection(spark, d))
+    return graphs.communities(chunk_projection(spark, d), resolution=3.0, least=5)
 
 
 @query("""WITH RECURSIVE e AS (SELECT secondary_chunk_id AS a, unnest(primary_chunk_ids) AS b FROM linking_gold WHERE secondary_chunk_id <> ''), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
@@ -254,8 +338,8 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     impact = chunks_now(spark, d, ["pageId"]).groupBy(F.col("pageId").alias("id")).agg(F.count(F.lit(1)).alias("impact"))
     agreed = load(spark, d, "fuse_outcome").groupBy(F.col("page_id").alias("id")).agg(F.max("agreement_rate").alias("agreement"))
     rows = pages_now(spark, d, ["tier", "mode"]).where("mode = 'scan'").join(impact, "id", "left").join(agreed, "id", "left").withColumn("impact", F.coalesce("impact", F.lit(0)))
-    most = rows.agg(F.max("impact")).first()[0] or 0
-    score = metrics.priority(F.col("agreement"), F.lit(None).cast("double"), F.col("impact"), F.lit(most), F.col("tier"))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("impact").alias("most"))))  # one row
+    score = metrics.priority(F.col("agreement"), F.lit(None).cast("double"), F.col("impact"), F.col("most"), F.col("tier"))
     return rows.select("id", "impact", score.alias("priority")).orderBy(F.desc("priority"), "id").limit(100)
 
 

@@ -69,6 +69,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def read_folder(path: str, columns: list[str]):
+    """A folder of parquet files as an Arrow table, read by a worker from any file system; None if there is none."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
+    if system.get_file_info(inner).type == fs.FileType.NotFound:
+        return None
+    return ds.dataset(inner, filesystem=system, format="parquet", exclude_invalid_files=True).to_table(columns=columns)
+
+
 def clean() -> None:
     """Removes what ``scratch`` and ``cut`` have written; results that were not read yet go with it."""
     while _MADE:

@@ -197,3 +197,115 @@ def test_quality_gate_and_fusion(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a string, b string, c string")
     got = [(r.policy, r.text, r.agreement) for r in fusion.fused(df, "a", "b", "c").orderBy("id").collect()]
     assert got == [("anchor+first", han, round(159 / 160, 4)), ("anchor", han, None), ("anchor", han, None), ("second", han, None), ("none", "", None), ("anchor", "天地", None), ("anchor+first", han, 1.0)]
+
+
+def test_quotations_round_an_ellipsis(spark):
+    text = "天" * 130 + "……" + "地" * 50 + "…省略" + "人" * 120 + "〈卷軸田畝閘門〉"
+    got = one(spark, text, T.quoted_spans)
+    assert got == ["卷軸田畝閘門", "天" * 100 + "……" + "地" * 50 + "…省略" + "人" * 47, text[82:182] + "…省略" + "人" * 100]
+    assert one(spark, "no mark", T.quoted_spans) == [] and one(spark, "…", T.quoted_spans) == []
+
+
+def sections_by_hand(text, size, overlap):
+    import re
+
+    def slide(t):
+        out, at = [], 0
+        while t:
+            out.append(t[at : at + size])
+            if at + size >= len(t):
+                break
+            at += size - overlap
+        return out
+
+    marks = [m.start() for m in re.finditer(r"(?m)^#{1,6}\s", text)]
+    if not marks:
+        return slide(text)
+    parts = [text[: marks[0]]] * (marks[0] > 0) + [text[a:b] for a, b in zip(marks, [*marks[1:], len(text)])]
+    out, held = [], ""
+    for p in parts:
+        if len(held) + len(p) <= size:
+            held = (held + "\n" + p).lstrip()
+            continue
+        out += [held] * bool(held)
+        held = "" if len(p) > size else p
+        out += slide(p) if len(p) > size else []
+    return [c for c in out + [held] * bool(held) if len(c) >= 10]
+
+
+@pytest.mark.parametrize("text", ["plain " * 30, "# A\nshort\n## B\n" + "x" * 95 + "\n# C\n" + "y" * 20, "before it all\n# One\n" + "word " * 40 + "\n### Two\nz", "#no heading", "# t", ""])
+def test_heading_sections(spark, text):
+    assert one(spark, text, lambda x: T.heading_sections(x, 60, 10, 15)) == sections_by_hand(text, 60, 15)
+
+
+def test_error_rate_and_route(spark):
+    def plain(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev = [i] + [0] * len(b) if False else prev
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (x != y)))
+            prev = row
+        return prev[-1]
+
+    pairs = [("官吏與民", "官史與民"), ("für dich", "fur dich!"), ("", "abc"), (" 天地 ", "天地")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r.c for r in df.select(T.error_rate(F.col("a"), F.col("b")).alias("c")).collect()]
+    assert got == pytest.approx([plain(a.strip(), b.strip()) / len(b.strip()) for a, b in pairs])
+    routes = spark.createDataFrame([(0.01, "OK"), (0.01, "DEGRADATION"), (0.01, "HENTAIGANA"), (0.05, "OK"), (0.15, "OK"), (0.2, None), (0.04, None)], "r double, k string")
+    assert [r.x for r in routes.select(T.page_route(F.col("r"), F.col("k")).alias("x")).collect()] == ["pass", "failed", "needs_review", "needs_review", "failed", "failed", "pass"]
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([("The well-kept clerk's  mill!", "en"), ("天地 玄", None), ("مرحبا، بالعالم.", "ar"), ("  ", "en"), (None, "ja")], "t string, l string")
+    got = [r.w for r in df.select(T.tokens(F.col("t"), F.col("l")).alias("w")).collect()]
+    assert got == [["The", "well-kept", "clerk's", "mill"], ["天", "地", "玄"], ["مرحبا", "بالعالم"], [], []]
+
+
+def test_intent_header_badge(spark):
+    df = spark.createDataFrame([("when did he die", "primary"), ("why was it so", "primary"), ("唐代制度", "secondary"), ("mill", None)], "t string, tier string")
+    assert [r.i for r in df.select(search.intent(F.col("t")).alias("i")).collect()] == ["factual", "interpretive", "synthesis", "unknown"]
+    rows = spark.createDataFrame([("唐律", "名例", 2, "文"), ("唐律", "名例", 0, "文"), (None, None, 1, None), ("", "名例", None, "文")], "t string, c string, o int, x string")
+    assert [r.h for r in rows.select(search.header(F.col("t"), F.col("c"), F.col("o"), F.col("x")).alias("h")).collect()] == ["《唐律·卷2》\n文", "《唐律·名例》\n文", "", "《名例》\n文"]
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [1.0])]
+    df = spark.createDataFrame(rows, "i int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 300, 7):
+        s = np.round(u[q] @ u.T, 9)
+        want |= {(q, int(j)) for j in sorted((j for j in range(300) if j != q), key=lambda j: (-s[j], j))[:3]}
+    for size in (10_000, 10):
+        monkeypatch.setattr(search, "BLOCK", size)
+        assert {(r.query, r.hit) for r in search.knn(df, "i", "v", df.where("i % 7 = 0 and i < 300"), "i", 3).collect()} == want
+
+
+def test_bm25_scores_do_not_hang_on_other_queries(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abcd xyz", "abcd", "abcd qrst", "zzzz yyyy"])], "i int, t string")
+    asked = spark.createDataFrame([("a", "abcd"), ("b", "zzzz yyyy qrst")], "q string, x string")
+    both = {(r.q, r.i): r.score for r in search.bm25(docs, "i", "t", asked, "q", "x", 5).collect()}
+    alone = {(r.q, r.i): r.score for r in search.bm25(docs, "i", "t", asked.where("q = 'a'"), "q", "x", 5).collect()}
+    assert alone and alone == {k: v for k, v in both.items() if k[0] == "a"}
+
+
+def test_merges_take_the_last_change(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    c = spark.createDataFrame([(1, "x", 5), (1, "y", 9), (3, "z", 1), (1, "w", 9)], "k int, v string, at int")
+    assert {tuple(r) for r in merge.upsert(t, c, ["k"], order="at").select("k", "v").collect()} == {(1, "y"), (2, "b"), (3, "z")}
+    assert {tuple(r) for r in merge.patch(t, c, ["k"], order="at").select("k", "v").collect()} == {(1, "y"), (2, "b")}
+
+
+def test_communities_and_dense_ids(spark):
+    edges = [(a, b, 5) for g in ("pqr", "xyz") for a in g for b in g if a < b] + [("r", "x", 1), ("s", "t", 1)]
+    df = spark.createDataFrame(edges, "a string, b string, weight int")
+    got = {r.node: r.label for r in graphs.communities(df, least=3).collect()}
+    assert set(got) == set("pqrxyz") and len({got[n] for n in "pqr"}) == 1 and len({got[n] for n in "xyz"}) == 1 and got["p"] != got["x"]
+    ids = sorted((r.a, r.id) for r in graphs.dense_ids(df, "a").collect())
+    assert [i for _, i in ids] == list(range(len(ids)))
