@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.plans import q_corpus, q_rules, q_search, q_texts  # noqa: F401
+from quirefold.plans import q_corpus, q_more, q_rules, q_search, q_texts  # noqa: F401
 from quirefold.plans.registry import QUERIES, SQL
 
 
