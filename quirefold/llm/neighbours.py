@@ -326,13 +326,17 @@ def similar_pairs(units: DataFrame, key: str, floor: float, k: int, probes: int
 
 
 def collapsed(units: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Exact copies as one: (key, unit, print) of the first key of every group, and (print, rep, n, members) of those of several, with their first k + 1 keys."""
-    first = units.groupBy("print").agg(F.min(F.struct(key, "unit")).alias("m"), F.count(F.lit(1)).alias("n"))
-    reps = cut(first.select(F.col(f"m.{key}").alias(key), F.col("m.unit").alias("unit"), "print", "n"))
-    several = reps.where("n > 1").select("print", F.col(key).alias("rep"), "n")
+    """Exact copies as one: (key, unit, print) of the first key of every group, and (print, rep, n, members) of those of several, with their first k + 1 keys.
+
+    Only prints and keys are grouped; the vectors stay where they are.
+    """
+    lean = units.select("print", key)
+    several = lean.groupBy("print").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = cut(lean.join(several, "print"))
     nth = F.row_number().over(W.partitionBy("print").orderBy(key))
-    listed = units.select("print", key).join(several, "print").withColumn("_nth", nth).where(F.col("_nth") <= k + 1)
-    return reps.drop("n"), cut(listed.groupBy("print", "rep", "n").agg(F.array_sort(F.collect_list(key)).alias("members")))
+    listed = held.withColumn("_nth", nth).where(F.col("_nth") <= k + 1)
+    further = held.where(F.col(key) != F.col("rep")).select(key)
+    return units.join(further, key, "left_anti"), cut(listed.groupBy("print", "rep", "n").agg(F.array_sort(F.collect_list(key)).alias("members")))
 
 
 def expanded(links: DataFrame, units: DataFrame, groups: DataFrame, key: str, k: int) -> DataFrame:
