@@ -8,6 +8,8 @@ comes from a table of one row a slice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,3 +63,14 @@ def carried(df: DataFrame, group: str, order: list[str], value: str, at: str, bl
     earlier = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     fill = blocks.select(group, "_b", F.last("_last", True).over(earlier).alias("_earlier"))
     return inner.join(fill, [group, "_b"]).withColumn(value, F.coalesce("_own", "_earlier")).drop("_b", "_own", "_earlier")
+
+
+def numbered(df: DataFrame, group: list[str], at: str, key: str, block: int = BLOCK) -> DataFrame:
+    """Adds ``number``: the rows of a group counted from 1 by the whole number ``at``, then ``key``; a group is counted block by block."""
+    cut = df.withColumn("_b", F.floor(F.col(at) / block))
+    within = F.row_number().over(W.partitionBy(*group, "_b").orderBy(at, key))
+    counts = cut.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_b"]]
+    met = cut.withColumn("_w", within).alias("l").join(before.alias("r"), reduce(lambda a, b: a & b, same))
+    return met.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._w")).alias("number"))

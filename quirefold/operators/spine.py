@@ -53,3 +53,17 @@ def ordinals(sections: DataFrame) -> DataFrame:
         F.dense_rank().over(W.partitionBy("documentId").orderBy("chapter_at", "chapterId")).alias("chapter_no"),
         F.row_number().over(W.partitionBy("documentId", "chapterId").orderBy("at", "sectionId")).alias("section_no"),
     )
+
+
+def text_choice(structured: Column, layout_status: Column, fused: Column, fusion_status: Column, native: Column) -> Column:
+    """struct<text, strategy>: the laid-out text where the layout is sound, else the fused one, else the page's own; an empty text counts as none."""
+    has = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    pick = lambda s, c: F.struct(c.alias("text"), F.lit(s).alias("strategy"))
+    laid = has(structured) & F.coalesce(layout_status == "ok", F.lit(False))
+    good = has(fused) & F.coalesce(fusion_status.isin("ok", "single"), F.lit(False))
+    return F.when(laid, pick("markdown", structured)).when(good, pick("fused", fused)).when(has(native), pick("native", native)).otherwise(pick("none", F.lit(None).cast("string")))
+
+
+def canonical_text(canonical: Column, text: Column) -> Column:
+    """The canonical form of a text where there is one, else the text."""
+    return F.coalesce(canonical, text)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import dates as D
@@ -246,11 +245,9 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PAGES} SELECT id, CASE WHEN fusionStatus IN ('ok', 'single') AND length(textFused) > 0 THEN textFused WHEN length(text) > 0 THEN text END AS body,
   CASE WHEN fusionStatus IN ('ok', 'single') AND length(textFused) > 0 THEN 'fused' WHEN length(text) > 0 THEN 'native' ELSE 'none' END AS strategy FROM page_now""")
 def text_source_choice(spark: SparkSession, d: str) -> DataFrame:
-    fused = F.col("fusionStatus").isin("ok", "single") & (F.length("textFused") > 0)
-    native = F.length("text") > 0
-    return pages_now(spark, d, ["text", "textFused", "fusionStatus"]).select(
-        "id", F.when(fused, F.col("textFused")).when(native, F.col("text")).alias("body"), F.when(fused, "fused").when(native, "native").otherwise("none").alias("strategy")
-    )
+    p = pages_now(spark, d, ["text", "textFused", "fusionStatus"])
+    chosen = spine.text_choice(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("textFused"), F.col("fusionStatus"), F.col("text"))
+    return p.select("id", chosen.alias("c")).select("id", F.col("c.text").alias("body"), "c.strategy")
 
 
 @query("""WITH u AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, 'changed' AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey + 1000000, 5.0, 'added' FROM customer WHERE c_custkey % 7 = 0)
@@ -336,5 +333,5 @@ def lineitem_summary(spark: SparkSession, d: str) -> DataFrame:
 SELECT documentId, mode, min(docPageIndex) AS first, max(docPageIndex) AS last, count(*) AS n FROM g GROUP BY documentId, mode, k""")
 def mode_islands(spark: SparkSession, d: str) -> DataFrame:
     p = pages_now(spark, d, ["documentId", "mode", "docPageIndex"]).where("docPageIndex IS NOT NULL")
-    k = F.col("docPageIndex") - F.row_number().over(W.partitionBy("documentId", "mode").orderBy("docPageIndex", "id"))
-    return p.withColumn("k", k).groupBy("documentId", "mode", "k").agg(F.min("docPageIndex").alias("first"), F.max("docPageIndex").alias("last"), F.count(F.lit(1)).alias("n")).drop("k")
+    counted = ranking.numbered(p, ["documentId", "mode"], "docPageIndex", "id").withColumn("k", F.col("docPageIndex") - F.col("number"))
+    return counted.groupBy("documentId", "mode", "k").agg(F.min("docPageIndex").alias("first"), F.max("docPageIndex").alias("last"), F.count(F.lit(1)).alias("n")).drop("k")

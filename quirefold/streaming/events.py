@@ -55,3 +55,8 @@ def keep_frequencies(docs: DataFrame, key: str, text: str, path: str, checkpoint
 
 def frequencies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("word").agg(F.sum("df").alias("df"))
+
+
+def first_seen(stream: DataFrame, key: str, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """A stream with only the first event of a key within the delay; the state of older keys is dropped."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

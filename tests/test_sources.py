@@ -126,3 +126,20 @@ def test_filters_and_structure(spark):
     assert {(r.href, r.at, r.how) for r in structure.resolved(links, files, "g", "href", "at").collect()} == {("x/a.html", 4, "exact"), ("a.html#s", 7, "bare"), ("../x/a.html", 4, "end")}
     parts = structure.ingested(spark.createDataFrame([("d", 0, "p0"), ("d", 1, "p1")], "d string, at int, id string"), "d", "at", "id")
     assert [tuple(r) for r in parts["next"].collect()] == [("p0", "p1")] and parts["documents"].first().pages == 2
+
+
+def test_first_seen_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:02:00")], "k int, ts string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = E.first_seen(spark.readStream.schema("k int, ts string").parquet(str(tmp_path / "in")), "k")
+    q = stream.writeStream.format("memory").queryName("seen_once").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(60)
+    assert sorted(r.k for r in spark.table("seen_once").collect()) == [1, 2]
+
+
+def test_numbers_by_blocks(spark):
+    from quirefold.operators import ranking
+
+    df = spark.createDataFrame([("a", "m", i * 3, f"k{i:02d}") for i in range(20)] + [(None, "m", 1, "x"), (None, "m", 1, "y")], "g string, m string, at int, k string")
+    got = {r.k: r.number for r in ranking.numbered(df, ["g", "m"], "at", "k", block=10).collect()}
+    assert got == {f"k{i:02d}": i + 1 for i in range(20)} | {"x": 1, "y": 2}
