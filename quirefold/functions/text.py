@@ -179,10 +179,19 @@ def tokens(x: Column, language: Column) -> Column:
     return F.when(blank, F.array().cast("array<string>")).when(lang == "en", english).when(lang == "ar", arabic).otherwise(single)
 
 
+NEAR = 64
+
+
+def edits(a: Column, b: Column) -> Column:
+    """The edit distance: first within a band of NEAR edits, which suffices for most readings of one page, and in full only beyond."""
+    near = F.levenshtein(a, b, NEAR)
+    return F.when(a == b, 0).when(near >= 0, near).otherwise(F.levenshtein(a, b))
+
+
 def error_rate(text: Column, truth: Column) -> Column:
     """Edit distance by the length of the truth, both trimmed; 0 for an empty truth."""
-    a, b = F.trim(text), F.trim(truth)
-    return share(F.levenshtein(a, b), F.length(b))
+    a, b = strip(text), strip(truth)
+    return share(edits(a, b), F.length(b))
 
 
 def heading_sections(x: Column, size: int = CHUNK, least: int = 10, overlap: int = OVERLAP) -> Column:

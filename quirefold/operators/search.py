@@ -21,12 +21,14 @@ from quirefold.session import cut, read_folder, scratch, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
-BROADCAST_ROWS, BLOCK = 200_000, 10_000
+BROADCAST_ROWS, BROADCAST_CHARS, BLOCK = 200_000, 4_000_000, 10_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is shown to have at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_CHARS) -> DataFrame:
+    """``df`` marked for broadcast if it is shown to have at most ``rows`` rows and ``size`` characters, else as it is."""
+    wide = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    n, chars = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and chars <= size else df
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, digits: int = 9) -> DataFrame:
