@@ -100,16 +100,37 @@ def header_number(line: str, title: str) -> tuple[bool, list[int]]:
     return False, nums
 
 
+def edge_numbers(text: str) -> set[int]:
+    """The numbers that stand alone in a line at the head or foot of a page, or before or after such a line's words."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    out: set[int] = set()
+    for line in {*lines[:EDGE], *lines[-EDGE:]}:
+        if len(line) <= 120:
+            out.update(numbers(line) or ())
+            beside = _BESIDE.search(unicodedata.normalize("NFKC", line))
+            if beside:
+                out.add(int(beside.group(1) or beside.group(2)))
+    return out
+
+
+_BESIDE = re.compile(r"^\W*(\d{1,6})\W*\s+\S|\S\s+\W*(\d{1,6})[\W\s]*$")
+
+
 class Furniture:
-    """The head and foot lines of a page that are not its text."""
+    """The head and foot lines of a page that are not its text.
+
+    The page's number is its place in the book, from 1, or that shifted by one of
+    ``offsets``: what the numbers of the pages around it say of how the book is
+    numbered (a further volume that begins anew, say).
+    """
 
-    def __init__(self, text: str, title: str | None, index: int | None):
+    def __init__(self, text: str, title: str | None, index: int | None, offsets: list[int] | tuple = ()):
         self.lines = text.split("\n")
         at = [i for i, x in enumerate(self.lines) if x.strip()]
         edge = dict.fromkeys([*at[:EDGE], *at[-EDGE:]])
         self.header: set[int] = set()
         self.number: set[int] = set()
-        printed = None if index is None else index + 1
+        printed = () if index is None else (index + 1, *(index + 1 + o for o in offsets or ()))
         first, last = at[:1], at[-1:]
         for i in edge:
             line = self.lines[i]
@@ -118,14 +139,15 @@ class Furniture:
             nums = numbers(line)
             if nums:
                 # of a long roman number the hundreds may be left out
-                if printed in nums or printed and printed > 100 and printed % 100 in nums and line.strip(" -–—·.[]()").isalpha() or (printed is None and i in first + last):
+                short = any(p > 100 and p % 100 in nums for p in printed) and line.strip(" -–—·.[]()").isalpha()
+                if any(p in nums for p in printed) or short or (index is None and i in first + last):
                     self.number.add(i)
                 continue
             if title:
                 is_header, beside = header_number(line, title)
                 if is_header:
                     self.header.add(i)
-                    if printed in beside:
+                    if any(p in beside for p in printed):
                         self.number.add(i)
         # furniture is a run from the edge inwards
         good: set[int] = set()

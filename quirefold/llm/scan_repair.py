@@ -19,6 +19,9 @@ compounds and the ``HEAD_PAIRS`` most frequent pairs of ideographs.  What is not
 decided by them (words, look-alikes, words broken at what may be their own hyphen)
 travels to the full tables by a join, so the bounds change no result.
 
+How a book is numbered is learned from the numbers at the edges of its pages: a
+volume that begins anew shifts them all alike.
+
 Defined cases: null and blank texts have no defects and stay as they are; a book
 without a title has no headers; a bare number counts as the page's number only
 at the head or foot and if it is the printed one; repeated rows count once.
@@ -33,11 +36,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import beyond, head, map_rows
-from quirefold.llm.page_lines import Furniture
+from quirefold.llm.page_lines import Furniture, edge_numbers
 from quirefold.session import cut
 from quirefold.tables import latest
 
@@ -47,6 +50,8 @@ RATIO, LEAST = 6, 4
 FIT = 3.2
 #: What a unit of distance weighs against a natural logarithm of pairs; texts tallied at once.
 COST_WEIGHT, SLICE = 8.0, 512
+#: Places of a book that are numbered alike, and the pages that must say how.
+STRETCH, SUPPORT = 50, 3
 
 #: Pairs that character recognition confuses.
 LATIN_PAIRS = [("m", "rn"), ("d", "cl"), ("h", "b"), ("t", "f"), ("e", "c"), ("i", "!"), ("l", "1"), ("s", "5"), ("o", "0"), ("g", "9"), ("i", "l"), ("w", "vv"), ("b", "6"), ("z", "2"), ("B", "8")]
@@ -135,14 +140,14 @@ def pairs_of(text: str) -> list[str]:
     return [r[i : i + 2] for r in _RUN.findall(bare) for i in range(len(r) - 1)]
 
 
-def tally(texts: list[tuple[str, str | None, int | None, str]]) -> tuple[Counter, Counter, Counter, Counter]:
-    """Counts of the words, compounds, pairs of ideographs and pairs of words of texts given with title, index and mode."""
+def tally(texts: list[tuple[str, str | None, int | None, str, list[int] | None]]) -> tuple[Counter, Counter, Counter, Counter]:
+    """Counts of the words, compounds, pairs of ideographs and pairs of words of texts given with title, index, mode and offsets of page numbers."""
     beside: Counter = Counter()
     words: Counter = Counter()
     compounds: Counter = Counter()
     pairs: Counter = Counter()
-    for text, title, index, mode in texts:
-        lines = Furniture(text, title, index).body() if mode == "scan" else text.split("\n")
+    for text, title, index, mode, offsets in texts:
+        lines = Furniture(text, title, index, offsets).body() if mode == "scan" else text.split("\n")
         for line in lines:
             if "-" in line or "‐" in line or "‑" in line:
                 compounds.update(re.sub("[‐‑]", "-", x).lower() for x in _COMPOUND.findall(line))
@@ -188,6 +193,39 @@ def distance(wrong: str, right: str) -> float:
     return rows[-1][-1]
 
 
+def first_text() -> Column:
+    """One text of a page: the fused one, or the first of FIELDS there is."""
+    return F.coalesce(*[F.when(F.length(F.trim(f)) > 0, F.col(f)) for f in FIELDS]).alias("text")
+
+
+def with_numbering(pages: DataFrame) -> DataFrame:
+    """Adds ``offsets``: how far the printed numbers of the pages around a page lie from their places in the book.
+
+    An offset counts where at least ``SUPPORT`` pages of a stretch of ``STRETCH`` places of
+    the book show a number at that distance; it holds for that stretch and the ones beside
+    it.  Only numbers travel, and a stretch is a row of its own, so that a book of any length is.
+    """
+    if "documentId" not in pages.columns:
+        return pages.withColumn("offsets", F.array().cast("array<int>"))
+
+    def rows(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"documentId": [], "docPageIndex": [], "offset": []}
+        for book, index, text in zip(c["documentId"], c["docPageIndex"], c["text"]):
+            for n in edge_numbers(text) if text else ():
+                if n != index + 1:
+                    for k, v in zip(out, (book, index, n - 1 - index)):
+                        out[k].append(v)
+        return out
+
+    known = pages.where("mode = 'scan' and documentId is not null and docPageIndex is not null")
+    seen = map_rows(known.select("documentId", F.col("docPageIndex").cast("int").alias("docPageIndex"), first_text()), "documentId string, docPageIndex int, offset int", rows).distinct()
+    stretch = F.floor(F.col("docPageIndex") / STRETCH)
+    runs = seen.groupBy("documentId", stretch.alias("_s"), "offset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    wide = runs.select("documentId", "offset", F.explode(F.array(F.col("_s") - 1, F.col("_s"), F.col("_s") + 1)).alias("_s"))
+    offsets = cut(wide.groupBy("documentId", "_s").agg(F.array_sort(F.collect_set("offset")).alias("offsets")))
+    return pages.withColumn("_s", stretch).join(offsets, ["documentId", "_s"], "left").drop("_s")
+
+
 def lexicon(pages: DataFrame) -> DataFrame:
     """(kind, token, n) over one text of every page: the fused one, or the first of FIELDS there is."""
 
@@ -196,13 +234,12 @@ def lexicon(pages: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
                 c = {n: part.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-                found = tally([(x, t, i, m) for x, t, i, m in zip(c["text"], c["title"], c["docPageIndex"], c["mode"]) if x])
+                found = tally([r for r in zip(c["text"], c["title"], c["docPageIndex"], c["mode"], c["offsets"]) if r[0]])
                 for kind, counts in zip("wcpb", found):
                     keys = list(counts)
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "token", "n"])
 
-    text = F.coalesce(*[F.when(F.length(F.trim(f)) > 0, F.col(f)) for f in FIELDS]).alias("text")
-    return pages.select("title", "docPageIndex", "mode", text).mapInArrow(run, "kind string, token string, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    return pages.select("title", "docPageIndex", "mode", "offsets", first_text()).mapInArrow(run, "kind string, token string, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n"))
 
 
 def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
@@ -350,9 +387,9 @@ def neighbours_of(words: list[str]) -> list[tuple[str, str, str]]:
     return list(zip(low, ["", *side], [*side[1:], ""]))
 
 
-def read_page(look: Lookup, text: str, title: str | None, index: int | None) -> tuple[list[str], list[dict], list[str], list[dict], list[dict]]:
+def read_page(look: Lookup, text: str, title: str | None, index: int | None, offsets: list[int] | None = None) -> tuple[list[str], list[dict], list[str], list[dict], list[dict]]:
     """(defects that are sure, words to be looked up with their neighbours, paragraphs, look-alikes and broken words to be looked up) of one scanned text."""
-    page = Furniture(text, title, index)
+    page = Furniture(text, title, index, offsets)
     found = []
     if page.header:
         found.append("header")
@@ -452,18 +489,19 @@ def read_pages(pages: DataFrame, look: Broadcast) -> DataFrame:
                 read = ([], [], None, [], [])
                 if text and text.strip():
                     if text not in known:
-                        known[text] = read_page(lookup, text, c["title"][i], c["docPageIndex"][i])
+                        known[text] = read_page(lookup, text, c["title"][i], c["docPageIndex"][i], c["offsets"][i])
                     read = known[text]
                 for k, v in zip(out, (key, c["fusionAt"][i], f, *read)):
                     out[k].append(v)
         return out
 
-    source = pages.where("mode = 'scan' and id is not null").select("id", "fusionAt", "title", "docPageIndex", *FIELDS)
+    source = pages.where("mode = 'scan' and id is not null").select("id", "fusionAt", "title", "docPageIndex", "offsets", *FIELDS)
     return map_rows(source, READ, rows)
 
 
 def scanned(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The read fields of scanned pages, of the states that hold; the repairs (word, before, after, repair) of their words, (context, than) of their look-alikes, and the compounds (token) among their broken words."""
+    pages = with_numbering(pages)
     look, t = tables(pages)
     read = cut(read_pages(pages, look))
     asked = cut(read.select(F.inline("unknown")).distinct())

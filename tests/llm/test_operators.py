@@ -233,6 +233,16 @@ def test_furniture():
     assert page_lines.Furniture("The bell of the survey was heavy.\nbody", "A Survey of the Bell", 1).header == set()
 
 
+def test_numbers_of_a_further_volume(spark):
+    """Printed numbers that restart are known by the pages around; a number no neighbour bears out is content."""
+    rows = [(f"p{i:03d}", "b", i, "scan", f"{i % 60 + 1}\nbody of the page" if i % 2 else f"body of the page\n{1000 + 7 * i}") for i in range(180)]
+    pages = spark.createDataFrame(rows, "id string, documentId string, docPageIndex int, mode string, textFused string").withColumn("fusionAt", F.timestamp_seconds("docPageIndex")).withColumn("title", F.lit(None).cast("string"))
+    for f in scan_repair.FIELDS[1:]:
+        pages = pages.withColumn(f, F.lit(None).cast("string"))
+    numbered = {r.page_id for r in scan_repair.defects(*scan_repair.scanned(pages)).where("defect = 'page_number'").collect()}
+    assert numbered == {f"p{i:03d}" for i in range(1, 180, 2)}
+
+
 def test_rejoin():
     compounds = {"type-founder"}
     assert scan_repair.rejoin(["the con-", "fiscated title", "", "new"], compounds) == (["the confiscated title", "new"], True)
