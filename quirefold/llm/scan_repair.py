@@ -72,6 +72,7 @@ _HYPHENS = "-‐‑¬\xad⁃"
 _BROKEN = re.compile(rf"([A-Za-zÀ-ɏ0-9!{LOST}][A-Za-zÀ-ɏ0-9!{LOST}’'-]*)([{_HYPHENS}])[ \t]*$")
 _GOES_ON = re.compile(rf"\s*([A-Za-zÀ-ɏ0-9!{LOST}]+)")
 _COMPOUND = re.compile(r"[A-Za-zÀ-ɏ]+(?:[-‐‑][A-Za-zÀ-ɏ]+)+")
+_LOST = re.compile(f"[{LOST}]")
 _NUMBERISH = re.compile(r"\d+(?:st|nd|rd|th|r|v|a|b|s|f|ff)?$", re.I)
 _DIGITS = str.maketrans("0159!68", "olsgibb")
 
@@ -84,7 +85,8 @@ def is_compound(left: str, right: str, compounds: set[str]) -> bool:
 def breaks(lines: list[str]) -> Iterator[tuple[int, str, str]]:
     """(line, word's first part, second part) of the line ends that cut a word."""
     for i, line in enumerate(lines[:-1]):
-        m = _BROKEN.search(line)
+        tail = line.rstrip(" \t")
+        m = _BROKEN.search(line) if tail and tail[-1] in _HYPHENS else None
         if m:
             n = _GOES_ON.match(lines[i + 1])
             if n:
@@ -318,14 +320,20 @@ class Lookup:
     def __init__(self, words: set[str], compounds: set[str], pairs: dict[str, int], most: int = 0, whole: bool = True, all_compounds: bool = True):
         """``most``: what a pair that isn't in ``pairs`` can count; ``whole``, ``all_compounds``: whether ``words`` and ``compounds`` are all there are."""
         self.words, self.compounds, self.pairs, self.most, self.whole, self.all_compounds = words, compounds, pairs, most, whole, all_compounds
+        self.seen: dict[tuple[str, str, str], str | None] = {}  # verdicts on look-alikes in their contexts
 
     def fit(self, before: str, c: str, after: str, unseen: int = 0) -> float:
         return math.log(self.pairs.get(before + c, unseen) + 0.5) * bool(before) + math.log(self.pairs.get(c + after, unseen) + 0.5) * bool(after)
 
     def better(self, before: str, c: str, after: str) -> str | None:
         """The look-alike that fits far better than ``c``."""
-        best, than = max((self.fit(before, x, after), x) for x in LOOKALIKES[c])
-        return than if best - self.fit(before, c, after) > FIT else None
+        key = (before, c, after)
+        if key not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            best, than = max((self.fit(before, x, after), x) for x in LOOKALIKES[c])
+            self.seen[key] = than if best - self.fit(before, c, after) > FIT else None
+        return self.seen[key]
 
     def open_to(self, before: str, c: str, after: str) -> bool:
         """Whether a look-alike could fit far better, and pairs that aren't known here decide."""
@@ -363,10 +371,12 @@ class Lookup:
 
     def word_kind(self, word: str) -> str:
         """'sound', 'misread' or 'unknown', which the full tables decide."""
-        if any(c in LOST for c in word):
-            return "misread"
         low = word.lower()
-        if low in self.words or len(word) < 3 and word.isalpha() or word.isdigit() or _NUMBERISH.fullmatch(word):
+        if low in self.words:
+            return "sound"
+        if _LOST.search(word):
+            return "misread"
+        if len(word) < 3 and word.isalpha() or word.isdigit() or _NUMBERISH.fullmatch(word):
             return "sound"
         if word.isalpha():
             return "unknown"
@@ -407,12 +417,17 @@ def read_page(look: Lookup, text: str, title: str | None, index: int | None, off
     contexts: list[dict] = []
     for p in paragraphs:
         words = words_of(p)
-        for w, around in zip(words, neighbours_of(words)):
-            kind = look.word_kind(w)
-            misread = misread or kind == "misread"
-            if kind == "unknown":
-                unknown.add(around)
-        if not misread and any(c in p for c in LOST):
+        strange = []
+        for at, w in enumerate(words):
+            if w.lower() not in look.words:
+                kind = look.word_kind(w)
+                misread = misread or kind == "misread"
+                if kind == "unknown":
+                    strange.append(at)
+        if strange:
+            around = neighbours_of(words)
+            unknown.update(around[at] for at in strange)
+        if not misread and _LOST.search(p):
             misread = True
         unsure: list[tuple[int, str]] = []
         better = look.wide_repairs(p, unsure) if _SUSPECT.search(p) else []
@@ -432,7 +447,7 @@ def read_page(look: Lookup, text: str, title: str | None, index: int | None, off
 def _cut_at_foot(lines: list[str]) -> bool:
     """Whether the text itself ends in a cut word."""
     full = [x for x in lines if x.strip()]
-    m = _BROKEN.search(full[-1]) if full else None
+    m = _BROKEN.search(full[-1]) if full and full[-1].rstrip(" \t")[-1:] in _HYPHENS else None
     return bool(m and len(m.group(1)) > 1)
 
 
