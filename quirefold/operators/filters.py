@@ -73,3 +73,9 @@ def content_type(key: Column) -> Column:
     kinds = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff", "pdf": "application/pdf", "json": "application/json", "txt": "text/plain"}
     known = F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv])
     return F.coalesce(F.try_element_at(known, suffix), F.lit("application/octet-stream"))
+
+
+def norms(df: DataFrame, tradition: str | None = None, most: int | None = None) -> DataFrame:
+    """Norms of one tradition (or all) by tradition and scope, at most ``most`` of them."""
+    rows = df.where(given(tradition=tradition)).orderBy("tradition", "scope")
+    return rows if most is None else rows.limit(most)

@@ -233,6 +233,17 @@ def reviewed(texts: DataFrame, key: str, source: str, draft: str, passes: list[s
     return now.select(key, "draft", "turns")
 
 
+def translated(chunks: DataFrame, key: str, text: str, tier: str, lang: str, era: Column, passes: list[str], name: str = "same") -> DataFrame:
+    """(key, text, canonical, status): primary texts in canonical form, translated and reviewed; others in canonical form, with their own words."""
+    held = chunks.select(key, tier, F.col(text).alias("_t"), canon.canonical(F.col(text), F.col(lang), era).alias("canonical")).where(F.length("_t") > 0)
+    drafts = generate(held.where(F.col(tier) == "primary").select(key, F.col("canonical").alias("text")), [key], ["text"], "translate", name)
+    made = reviewed(drafts.join(held.select(key, "canonical"), key).where("reply is not null"), key, "canonical", "reply", passes)
+    joined = held.join(made.select(key, F.col("draft").alias("_d")), key, "left")
+    primary = F.col(tier) == "primary"
+    status = F.when(~F.coalesce(primary, F.lit(False)), "normalized").when(F.col("_d").isNotNull(), "ok").otherwise("failed")
+    return joined.select(key, F.when(primary, F.col("_d")).otherwise(F.col("_t")).alias("text"), "canonical", status.alias("status"))
+
+
 def translated_titles(books: DataFrame, key: str, title: str, langs: list[str], name: str = "marked") -> DataFrame:
     """(key, lang, title): titles in each of some languages, by a provider."""
     asked = books.where(F.col(title).isNotNull()).select(key, F.col(title).alias("text"), F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"))

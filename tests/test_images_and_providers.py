@@ -94,3 +94,29 @@ def test_replies_and_prompts(spark):
     rows = df.select(R.keywords(F.col("x")).alias("k"), R.page_class(F.col("x")).alias("c"), R.review_verdict(F.col("x")).alias("v")).collect()
     assert [(k.name, k.weight, k.type) for k in rows[0].k] == [("a", 1.0, "OTHER")] and rows[1].v.ok and rows[2].c.kind == "OK" and rows[2].v.ok and rows[2].k == []
     assert spark.createDataFrame([(["x", None],)], "t array<string>").select(R.prompt_blocks(F.col("t")).alias("p")).first().p == "[1] x\n\n[2] "
+
+
+def test_chain_of_image_steps(spark):
+    page = np.full((200, 160), 245, np.uint8)
+    for y in range(40, 160, 8):
+        page[y : y + 2, 15:145] = 10
+    slanted = I.turned(page, -2.0)
+    assert abs(I.measured_skew(slanted) - 2.0) <= 0.3 and I.measured_skew(page) == 0.0 and I.measured_skew(np.full((9, 9), 255, np.uint8)) == 0.0
+    shaded = np.clip(page * np.linspace(0.7, 1.0, 160), 0, 255).astype(np.uint8)
+    even, measures = I.flattened(shaded)
+    assert measures["applied"] and I.background(even).std() < I.background(shaded).std() / 2
+    spread = np.concatenate([page, np.full((200, 24), 250, np.uint8), page], axis=1)
+    rows = [("a", *page.shape, 1, page.tobytes()), ("b", *spread.shape, 1, spread.tobytes()), ("c", 9, 9, 1, b"x"), ("d", 9, 9, 1, None), ("e", *page.shape, 1, (255 - page).tobytes())]
+    got: dict = {}
+    for r in I.preprocess(spark.createDataFrame(rows, "id string, height int, width int, channels int, pixels binary")).collect():
+        got.setdefault(r.id, {})[r.part] = r
+    assert set(got["a"]) >= {"page"} and {"page", "right"} <= set(got["b"]) and set(got["c"]) == set(got["d"]) == {"failed"}
+    assert '"gutterAt": null' in got["a"]["page"].provenance and '"backgroundStd"' in got["a"]["page"].provenance and '"inverted": true' in got["e"]["page"].provenance
+    assert all(len(r.pixels) == r.height * r.width for parts in got.values() for r in parts.values() if r.part != "failed")
+
+
+def test_translation_stage(spark):
+    rows = [(1, "説国", "primary", "zh"), (2, "abc", "secondary", "en"), (3, "", "primary", "zh"), (4, "說", None, None)]
+    df = spark.createDataFrame(rows, "id int, t string, tier string, lang string")
+    got = {r.id: (r.text, r.status) for r in providers.translated(df, "id", "t", "tier", "lang", F.lit(None).cast("string"), ["accept"]).collect()}
+    assert got == {1: ("説國", "ok"), 2: ("abc", "normalized"), 4: ("說", "normalized")}
