@@ -42,7 +42,7 @@ from quirefold.tables import latest
 
 DIMS = 64
 SAMPLE, TREES, PROBES, LEAF = 16_384, 6, 12, 256
-ASKED_PROBES = 200
+ASKED_PROBES = 400
 KEPT = 16
 SPLIT, SUB_TREES, SUB_PROBES = 4096, 3, 12
 
