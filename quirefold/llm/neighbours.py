@@ -42,7 +42,7 @@ from quirefold.tables import latest
 
 DIMS = 64
 SAMPLE, TREES, PROBES, LEAF = 16_384, 6, 12, 256
-ASKED_PROBES = 400
+ASKED_PROBES = 300
 KEPT = 16
 SPLIT, SUB_TREES, SUB_PROBES = 4096, 3, 12
 
@@ -363,7 +363,7 @@ def nearest(units: DataFrame, asked: DataFrame, key: str, k: int, probes: int =
 
     All rows are indexed, copies as one; only the queries search, with many more
     probes than a join of all rows, since no floor narrows what they look for.  Of
-    each leaf a query keeps its 2 k best by code, of all leaves its 5 k best, which
+    each leaf a query keeps its k + 2 best by code, of all leaves its 5 k best, which
     are then ranked by exact cosine.
     """
     reps, groups = collapsed(units, key, k)
@@ -404,7 +404,7 @@ def _nearest_reps(units: DataFrame, asked: DataFrame, key: str, k: int, probes:
                 q, names = rid[rows_], ids[inside]
                 score = x[rows_] @ index[inside].T
                 score[q[:, None] == names[None, :]] = -np.inf
-                n = min(2 * k, score.shape[1])
+                n = min(k + 2, score.shape[1])
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 value = np.take_along_axis(score, best, 1).ravel()
                 sound_ = np.isfinite(value)
