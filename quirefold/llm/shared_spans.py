@@ -19,7 +19,11 @@ Hot windows.  A window that more than ``HOT`` texts hold is not joined each with
 each.  Its occurrences are told apart by the whole stretches of ``SPAN`` characters
 they lie in; all occurrences of one stretch are linked to the first text that holds
 it.  Two texts with a common stretch thus meet in the same first text, with which
-both have that stretch in common: the links name a class, and none is lost.
+both have that stretch in common: the links name a class.  Whoever needs the pairs
+themselves takes ``grouped``, which gives the sets of texts that hold a hot stretch
+and the places of these stretches, for ``every_pair`` and ``coverage``; or
+``shared`` with ``hot="each"``, whose links are those of every two texts.  Both deal
+large groups into blocks, so no task joins more than ``HOT`` rows with as many.
 
 Candidates are verified on the texts: the common stretch round each anchor is
 measured, and only stretches of ``SPAN`` characters or more count.
@@ -29,6 +33,7 @@ Exact copies of a text are one entry of the index, however many records hold it;
 ``record_pairs`` expands them: records of two linked texts each with each, and
 copies with one another, up to ``COPIES`` records a text; a further copy is linked to
 the first record of its own text and of each linked text, which name the classes.
+``every_pair`` has no such bound.
 
 Defined cases: null and short texts share nothing (their coverage is 0); repeated
 rows are one record; a record is never paired with itself; an empty table gives an
@@ -164,6 +169,7 @@ class FingerprintIndex:
         self.runs: list[str] = []
         self.texts: list[str] = []
         self.frames: list[DataFrame] = []
+        self.apart: DataFrame | None = None
         self.state, self.kept = 0, folder is not None
         if folder and exists(spark, self.folder):
             self._open()
@@ -203,17 +209,30 @@ class FingerprintIndex:
         return self.spark.read.schema("rid bigint, text string").parquet(*[os.path.join(self.folder, n) for n in self.texts])
 
     @staticmethod
-    def _meet(old: DataFrame, new: DataFrame, itself: bool) -> DataFrame:
-        o = old.select("hash", *[F.col(c).alias(f"o_{c}") for c in ("rid", "pos", "before", "after")])
-        n = new.select("hash", *[F.col(c).alias(f"n_{c}") for c in ("rid", "pos", "before", "after")])
+    def _meet(old: DataFrame, new: DataFrame, itself: bool, on: tuple[str, ...] = ("hash",)) -> DataFrame:
+        o = old.select(*on, *[F.col(c).alias(f"o_{c}") for c in ("rid", "pos", "before", "after")])
+        n = new.select(*on, *[F.col(c).alias(f"n_{c}") for c in ("rid", "pos", "before", "after")])
         side = ((F.col("o_before") == F.col("n_before")) & (F.col("o_before") != 0)) | ((F.col("o_after") == F.col("n_after")) & (F.col("o_after") != 0))
-        pair = o.hint("merge").join(n, "hash").where(side & ((F.col("o_rid") < F.col("n_rid")) if itself else (F.col("o_rid") != F.col("n_rid"))))
+        pair = o.hint("merge").join(n, list(on)).where(side & ((F.col("o_rid") < F.col("n_rid")) if itself else (F.col("o_rid") != F.col("n_rid"))))
         swap = F.col("o_rid") > F.col("n_rid")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         return pair.select(pick("o_rid", "n_rid").alias("ra"), pick("n_rid", "o_rid").alias("rb"), pick("o_pos", "n_pos").alias("pa"), pick("n_pos", "o_pos").alias("pb"))
 
-    def add(self, records: DataFrame) -> DataFrame:
-        """Adds a batch of records (rid, text); its candidate anchors (ra, rb, pa, pb) with all records so far."""
+    def _meet_blocks(self, old: DataFrame, new: DataFrame, itself: bool) -> DataFrame:
+        """``_meet`` of rows with a column ``n``, how many rows hold their hash: each block of them with each."""
+        blocks = F.ceil(F.col("n") / HOT).cast("int")
+        own = F.pmod(F.xxhash64("rid", "pos"), blocks).cast("int")
+        others = F.explode(F.sequence(F.lit(0), blocks - 1))
+        on, parts = ("hash", "i", "j"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        o, n = old.withColumn("i", own).withColumn("j", others), new.withColumn("j", own).withColumn("i", others)
+        return self._meet(o.repartition(parts, *on), n.repartition(parts, *on), itself, on)
+
+    def add(self, records: DataFrame, hot: str = "first") -> DataFrame:
+        """Adds a batch of records (rid, text); its candidate anchors (ra, rb, pa, pb) with all records so far.
+
+        Texts with a ``hot`` window meet the ``first`` text of each stretch, ``each`` other, or not at all:
+        ``apart`` leaves the occurrences (rid, pos) of such windows in all runs in ``self.apart``.
+        """
         batch = records.select("rid", "text")
         if self.kept:
             text = f"text_{uuid.uuid4().hex}"
@@ -227,16 +246,25 @@ class FingerprintIndex:
         for run in older:
             every = every.unionByName(run)
         # The hashes lie by bucket, so counting them and setting the hot ones aside moves few rows.
-        hot = cut(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("hash"))
-        cool = lambda run: run.join(hot, "hash", "left_anti")
-        none = hot.isEmpty()
+        often = cut(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT))
+        cool = lambda run: run.join(often, "hash", "left_anti")
+        none = often.isEmpty()
         if none:
             cool = lambda run: run
         met = self._meet(cool(new), cool(new), True)
         for run in older:
             met = met.unionByName(self._meet(cool(run), cool(new), False))
-        if not none:
-            met = met.unionByName(self._star(every.join(hot, "hash", "left_semi").select("rid", "pos").distinct(), batch.select("rid")))
+        if not none and hot == "each":
+            busy = lambda run: run.join(often, "hash")
+            met = met.unionByName(self._meet_blocks(busy(new), busy(new), True))
+            for run in older:
+                met = met.unionByName(self._meet_blocks(busy(run), busy(new), False))
+        elif not none:
+            occurrences = every.join(often, "hash", "left_semi").select("rid", "pos").distinct()
+            if hot == "first":
+                met = met.unionByName(self._star(occurrences, batch.select("rid")))
+            else:
+                self.apart = occurrences  # a later batch's holds them too: a hot window stays hot
         self.runs.append(name)
         self._keep()
         return met
@@ -319,11 +347,12 @@ def classes(batches: list[DataFrame]) -> DataFrame:
     return every.where(F.length("text") >= SPAN).select(F.xxhash64("text").alias("rid"), "batch", "rec", "text")
 
 
-def shared(batches: list[DataFrame], index: FingerprintIndex | None = None) -> tuple[DataFrame, DataFrame]:
+def shared(batches: list[DataFrame], index: FingerprintIndex | None = None, hot: str = "first") -> tuple[DataFrame, DataFrame]:
     """Links (ra, rb, spans) between distinct texts of batches (rec, text), and members (rid, rec).
 
     ``rid`` is a hash of a text; each batch is merged into the index in turn.  With an
     ``index`` that holds earlier batches, only links with a text of the given ones come out.
+    ``hot`` says which texts a hot window links, as in ``FingerprintIndex.add``.
     """
     spark = batches[0].sparkSession
     held = cut(classes(batches))
@@ -333,7 +362,7 @@ def shared(batches: list[DataFrame], index: FingerprintIndex | None = None) -> t
         texts = cut(texts.join(index.held().select("rid"), "rid", "left_anti"))
     met = None
     for i in range(len(batches)):
-        new = index.add(texts.where(F.col("batch") == i).select("rid", "text"))
+        new = index.add(texts.where(F.col("batch") == i).select("rid", "text"), hot)
         met = new if met is None else met.unionByName(new)
     met = cut(met)
     index.compact()
@@ -342,6 +371,63 @@ def shared(batches: list[DataFrame], index: FingerprintIndex | None = None) -> t
     return links, held.select("rid", "rec").distinct()
 
 
+def grouped(batches: list[DataFrame]) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame]:
+    """All that distinct texts of batches (rec, text) share, without a row for each two that a hot window ties.
+
+    Links (ra, rb, spans) by the windows that aren't hot; groups (g, rid) of texts that hold one stretch round
+    a hot window, each set of texts once; the places (rid, at) of these stretches; members (rid, rec).
+    Groups and places are None where no window is hot.
+    """
+    index = FingerprintIndex(batches[0].sparkSession)
+    links, members = shared(batches, index, "apart")
+    if index.apart is None:
+        return links, None, None, members
+    each = cut(stretches(index.apart.join(index.held(), "rid")).select("stretch", "rid", "at").distinct())
+    holders = each.select("stretch", "rid").distinct()
+    texts = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"s{i}") for i in range(2)]  # tells a set of texts
+    sets = cut(holders.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), *texts).where("n > 1"))
+    groups = sets.groupBy("n", "s0", "s1").agg(F.min("stretch").alias("stretch")).select("stretch")
+    places = each.join(sets, "stretch", "left_semi").select("rid", "at").distinct()
+    return links, cut(holders.join(groups, "stretch").select(F.col("stretch").alias("g"), "rid")), places, members
+
+
+def _blocks(rows: DataFrame, key: str, x: str) -> DataFrame:
+    """(key, x, n, k, b): the n rows of a key lie in k blocks of about HOT rows; each row's block is b."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.ceil(F.col("n") / HOT).cast("int"))
+    return rows.join(sizes, key).select(key, x, "n", "k", F.pmod(F.xxhash64(x), F.col("k")).cast("int").alias("b"))
+
+
+def _met(left: DataFrame, right: DataFrame, cell: list[str]) -> DataFrame:
+    """Rows of the same cell, each with each; cells are dealt over all tasks, few rows though they are."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(parts, *cell).join(right.repartition(parts, *cell), cell)
+
+
+def among(groups: DataFrame, key: str, x: str) -> DataFrame:
+    """(x, y): every two members of each group (key, x), block by block; a pair of two groups comes twice."""
+    held = _blocks(groups.select(key, x), key, x).where("n > 1")
+    left = held.select(key, F.col(x).alias("x"), F.col("b").alias("i"), F.explode(F.expr("sequence(b, k - 1)")).alias("j"))
+    right = held.select(key, F.col(x).alias("y"), F.col("b").alias("j"), F.explode(F.expr("sequence(0, b)")).alias("i"))
+    return _met(left, right, [key, "i", "j"]).where("i < j or x < y").select("x", "y")
+
+
+def every_pair(links: DataFrame, groups: DataFrame | None, members: DataFrame) -> DataFrame:
+    """(rec_a, rec_b), the smaller first: all pairs of records that share a stretch, by links, groups and copies."""
+    held = _blocks(members, "rid", "rec")
+    a, b = held.select("rid", "rec", "b").toDF("ra", "x", "i"), held.select("rid", "rec", "b").toDF("rb", "y", "j")
+    blocks = held.select("rid", "k").distinct()
+    pairs = cut(links.select("ra", "rb").join(blocks.toDF("ra", "ka"), "ra").join(blocks.toDF("rb", "kb"), "rb"))
+    across = pairs.where("ka = 1 and kb = 1").select("ra", "rb").join(a, "ra").join(b, "rb").select("x", "y")
+    cells = pairs.where("ka > 1 or kb > 1").select("ra", "rb", F.explode(F.expr("sequence(0, ka - 1)")).alias("i"), "kb")
+    cells = cells.select("ra", "rb", "i", F.explode(F.expr("sequence(0, kb - 1)")).alias("j"))
+    cell = ["ra", "rb", "i", "j"]
+    wide = _met(cells.join(a, ["ra", "i"]).select(*cell, "x"), cells.join(b, ["rb", "j"]).select(*cell, "y"), cell).select("x", "y")
+    every = across.unionByName(wide).unionByName(among(members, "rid", "rec"))
+    if groups is not None:
+        every = every.unionByName(among(groups.join(members, "rid").select("g", "rec").distinct(), "g", "rec"))
+    return every.where("x <> y").select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()
+
+
 def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """(rec_a, rec_b), the smaller first: linked texts and copies as pairs of records."""
     sizes = members.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.min("rec").alias("first"))
@@ -378,13 +464,16 @@ def class_spans(links: DataFrame, members: DataFrame) -> DataFrame:
     return named.select(pick("x", "y", "class_a"), pick("y", "x", "class_b"), pick("a", "b", "start_a"), pick("b", "a", "start_b"), F.col("n").alias("length"))
 
 
-def coverage(links: DataFrame, members: DataFrame, records: DataFrame) -> DataFrame:
+def coverage(links: DataFrame, members: DataFrame, records: DataFrame, groups: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
     """(rec, others, covered, share): for every record how many others share a stretch with it (copies too), and how much of it they cover.
 
-    Others that share a hot window only are counted by the class, as their links are.
+    With the ``groups`` and ``places`` of ``grouped`` all others count; with links by the first text of
+    a hot stretch, others that share nothing else are counted by the class, as their links are.
     """
     ends = links.select(F.col("ra").alias("rid"), F.explode("spans").alias("s")).select("rid", F.col("s.a").alias("lo"), (F.col("s.a") + F.col("s.n")).alias("hi"))
     ends = ends.unionByName(links.select(F.col("rb").alias("rid"), F.explode("spans").alias("s")).select("rid", F.col("s.b").alias("lo"), (F.col("s.b") + F.col("s.n")).alias("hi")))
+    if places is not None:
+        ends = ends.unionByName(places.select("rid", F.col("at").alias("lo"), (F.col("at") + SPAN).alias("hi")))
     spans = ends.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     covered = F.aggregate(
         "spans",
@@ -393,7 +482,11 @@ def coverage(links: DataFrame, members: DataFrame, records: DataFrame) -> DataFr
         lambda a: a["sum"],
     )
     copies = members.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
-    both = links.select("ra", "rb").unionByName(links.select(F.col("rb").alias("ra"), F.col("ra").alias("rb")))
+    pairs = links.select("ra", "rb")
+    if groups is not None:
+        pairs = pairs.unionByName(among(groups, "g", "rid").toDF("ra", "rb"))
+        pairs = pairs.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct()
+    both = pairs.unionByName(pairs.select(F.col("rb").alias("ra"), F.col("ra").alias("rb")))
     linked = both.join(copies.toDF("rb", "_n"), "rb").groupBy(F.col("ra").alias("rid")).agg(F.sum("_n").alias("linked"))
     per = copies.join(spans.select("rid", covered.alias("covered")), "rid", "left").join(linked, "rid", "left")
     found = members.join(per, "rid").select("rec", "copies", "covered", "linked")

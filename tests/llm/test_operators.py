@@ -429,6 +429,35 @@ def test_copies_beyond_the_bound_keep_their_links(spark, monkeypatch):
     assert [tuple(r) for r in shared_spans.class_spans(links, members).collect()] == [("k0", "m", 0, 0, len(text))]
 
 
+def test_every_pair_of_hot_windows_and_many_copies(spark, monkeypatch, tmp_path):
+    """Past HOT texts with one window and COPIES copies of one text the queries give what SQL gives; two texts with a window many times too."""
+    from quirefold.llm import queries as Q
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    notice, copy, beat = word(120), word(100), word(7) * 30
+    texts = [(f"r{i:02d}", word(40 + i % 5) + notice[i % 3 * 10 :] + word(30)) for i in range(20)] + [(f"k{i}", copy) for i in range(9)]
+    texts += [("m", copy + word(20)), ("n", copy[:80] + notice[:70]), ("twice", notice + word(50) + notice), ("s", beat), ("t", word(20) + beat), ("u", beat + word(20)), ("z", word(90)), ("o", None)]
+    gold = [("g0", notice[20:90]), ("g1", word(70)), ("g2", word(9) + copy), ("g3", copy), ("g4", "short")]
+    spark.createDataFrame([(k, t, 1) for k, t in texts], "id string, text string, chunkingAt int").write.parquet(f"{tmp_path}/chunk.parquet")
+    spark.createDataFrame(gold, "pair_id string, gold_span string").write.parquet(f"{tmp_path}/linking_gold.parquet")
+    held = {k: t or "" for k, t in texts + gold}
+    at = {k: {t[i : i + 64]: i for i in range(len(t) - 63)} for k, t in held.items()}
+    others = {k: {o for o in held if o != k and at[k].keys() & at[o].keys()} for k in held}
+    want = {(a, b) for a in held for b in others[a] if a < b}
+    plain = {tuple(r) for r in Q.p6_spans(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(shared_spans, "HOT", 6)
+    monkeypatch.setattr(shared_spans, "COPIES", 3)
+    pairs = [tuple(r) for r in Q.p6_found(spark, str(tmp_path)).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    for r in Q.p6_coverage(spark, str(tmp_path)).collect():
+        theirs = set().union(*[at[o].keys() for o in others[r.rec]])
+        t = held[r.rec]
+        assert (r.rec, r.others, r.covered) == (r.rec, len(others[r.rec]), len({p for i in range(len(t) - 63) if t[i : i + 64] in theirs for p in range(i, i + 64)}))
+    spans = [tuple(r) for r in Q.p6_spans(spark, str(tmp_path)).collect()]
+    assert len(spans) == len(set(spans)) and set(spans) == plain
+
+
 def test_index_compacts(spark):
     index = shared_spans.FingerprintIndex(spark, buckets=2)
     text = "".join(random.Random(0).choice("abcdef") for _ in range(100))
