@@ -57,3 +57,14 @@ def test_long_texts_are_cut_but_no_cases(spark, odd):
     every, cases = (Q.queries()[n](spark, messy).withColumnRenamed("item_id", "id").where("kind = 'chunk'") for n in ("p7_sentences", "p7_found"))
     assert cases.join(every, ["id", "end_pos"], "left_anti").count() == 0
     assert every.where(long).count() > 0 and cases.where(long).count() == 0
+
+
+def test_the_mode_of_the_state_that_holds_counts(spark, small, tmp_path):
+    """A page that was native and is scanned now has no sentences, nor has one whose newest text is null; the other way round it has those of the newer text."""
+    from pyspark.sql import functions as F
+
+    page = [("a", "native", "Old. Text.", 1), ("a", "scan", "New.", 2), ("b", "scan", "Old.", 1), ("b", "native", "One. Two.", 2), ("c", "native", "Left.", 1), ("c", None, "Left.", 2), ("d", "native", "Was.", 1), ("d", "native", None, 2)]
+    spark.createDataFrame(page, "id string, mode string, textFused string, fusionAt int").write.parquet(f"{tmp_path}/page.parquet")
+    spark.read.parquet(f"{small}/chunk.parquet").withColumn("chunkingAt", F.lit(1)).limit(0).write.parquet(f"{tmp_path}/chunk.parquet")
+    assert sorted(tuple(r) for r in Q.p7_found(spark, str(tmp_path)).collect()) == [("page", "b", 4), ("page", "b", 9)]
+    assert sorted(tuple(r) for r in Q.p7_sentences(spark, str(tmp_path)).select("item_id", "start_pos", "end_pos").collect()) == [("b", 0, 4), ("b", 4, 9)]
