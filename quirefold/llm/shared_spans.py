@@ -210,21 +210,30 @@ class FingerprintIndex:
 
     @staticmethod
     def _meet(old: DataFrame, new: DataFrame, itself: bool, on: tuple[str, ...] = ("hash",)) -> DataFrame:
-        o = old.select(*on, *[F.col(c).alias(f"o_{c}") for c in ("rid", "pos", "before", "after")])
-        n = new.select(*on, *[F.col(c).alias(f"n_{c}") for c in ("rid", "pos", "before", "after")])
+        o = old.select(*on, *[F.col(c).alias(f"o_{c}") for c in old.columns if c in ("rid", "pos", "before", "after", "prev")])
+        n = new.select(*on, *[F.col(c).alias(f"n_{c}") for c in new.columns if c in ("rid", "pos", "before", "after", "prev")])
         side = ((F.col("o_before") == F.col("n_before")) & (F.col("o_before") != 0)) | ((F.col("o_after") == F.col("n_after")) & (F.col("o_after") != 0))
         pair = o.hint("merge").join(n, list(on)).where(side & ((F.col("o_rid") < F.col("n_rid")) if itself else (F.col("o_rid") != F.col("n_rid"))))
+        if "prev" in old.columns:
+            pair = pair.where(F.coalesce(F.col("o_prev") != F.col("n_prev"), F.lit(True)))
         swap = F.col("o_rid") > F.col("n_rid")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         return pair.select(pick("o_rid", "n_rid").alias("ra"), pick("n_rid", "o_rid").alias("rb"), pick("o_pos", "n_pos").alias("pa"), pick("n_pos", "o_pos").alias("pb"))
 
     def _meet_blocks(self, old: DataFrame, new: DataFrame, itself: bool) -> DataFrame:
-        """``_meet`` of rows with a column ``n``, how many rows hold their hash: each block of them with each."""
+        """``_meet`` of rows with a column ``n``, how many rows hold their hash: each block of them with each.
+
+        Two windows whose predecessors are alike too, and as near, lie in the stretch that those anchor: long
+        repeating texts thus give an anchor a diagonal, not one for each of their windows.
+        """
+        order = W.partitionBy("rid").orderBy("pos")
+        gap = F.col("pos") - F.lag("pos").over(order)
+        chained = lambda run: run.withColumn("prev", F.when(gap <= GRAM, F.struct(F.lag("hash").over(order).alias("hash"), gap.alias("gap"))))
         blocks = F.ceil(F.col("n") / HOT).cast("int")
         own = F.pmod(F.xxhash64("rid", "pos"), blocks).cast("int")
         others = F.explode(F.sequence(F.lit(0), blocks - 1))
         on, parts = ("hash", "i", "j"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        o, n = old.withColumn("i", own).withColumn("j", others), new.withColumn("j", own).withColumn("i", others)
+        o, n = chained(old).withColumn("i", own).withColumn("j", others), chained(new).withColumn("j", own).withColumn("i", others)
         return self._meet(o.repartition(parts, *on), n.repartition(parts, *on), itself, on)
 
     def add(self, records: DataFrame, hot: str = "first") -> DataFrame:

@@ -458,6 +458,13 @@ def test_every_pair_of_hot_windows_and_many_copies(spark, monkeypatch, tmp_path)
     assert len(spans) == len(set(spans)) and set(spans) == plain
 
 
+def test_repeating_texts_give_an_anchor_a_diagonal(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "HOT", 10)
+    df = spark.createDataFrame([(1, ". " * 200), (2, "X" + ". " * 200)], "rid long, text string")
+    met = shared_spans.FingerprintIndex(spark).add(df, "each").select("ra", "rb", (F.col("pa") - F.col("pb")).alias("d"))
+    assert met.distinct().count() >= 2 * (400 - 64) // 2 + 1 and met.count() <= 2 * met.distinct().count()
+
+
 def test_index_compacts(spark):
     index = shared_spans.FingerprintIndex(spark, buckets=2)
     text = "".join(random.Random(0).choice("abcdef") for _ in range(100))
