@@ -191,10 +191,11 @@ def expanded(hits: DataFrame, extra: DataFrame, query: str, item: str) -> DataFr
     return hits.select(query, item, "score").unionByName(new.withColumn("score", F.lit(0.0)))
 
 
-def parts_of(x: Column) -> Column:
-    """All different parts of a short text."""
+def parts_of(x: Column, most: int | None = None) -> Column:
+    """All different parts of a short text, those of up to ``most`` characters where it is given."""
     n = F.length(x)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(x, i, k)))))
+    ends = lambda i: n - i + 1 if most is None else F.least(n - i + 1, F.lit(most))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), ends(i)), lambda k: F.substring(x, i, k)))))
 
 
 def lookup(words: DataFrame, word: str, entries: DataFrame, term: str, most: int = 5, least: int = 2) -> DataFrame:
@@ -218,12 +219,26 @@ def by_keyword(terms: DataFrame, mentions: DataFrame, query: str, item: str, key
     ``terms`` is (query, term), ``mentions`` (item, keyword), once for each mention;
     at most ``items`` items a query, in order of their keys.  Keywords hold a term
     where one of their own parts is it, so the two meet by a join on parts.
+
+    A query's best keywords are among the best of its terms, and its first items among
+    the first of its keywords, so each different term keeps ``most`` keywords and each
+    chosen keyword ``items`` items before queries are put in; neither a term that
+    stands in all keywords nor a keyword that stands in all items is multiplied by the queries.
+    Of a query's keywords that have so many, the least last item bounds the items that count.
     """
-    frequency = mentions.groupBy(keyword).agg(F.count(F.lit(1)).alias("_n"))
-    parts = frequency.where(F.length(keyword) > 0).select(keyword, "_n", F.explode(parts_of(F.col(keyword))).alias("term"))
-    met = terms.select(query, "term").distinct().join(parts, "term").select(query, keyword, "_n").distinct()
-    chosen = top(met, [query], "_n", keyword, most).select(query, keyword)
-    found = chosen.join(mentions.select(item, keyword).distinct(), keyword).select(query, item).distinct()
+    asked = terms.select(query, "term").distinct()
+    wanted = asked.select("term").distinct()
+    longest = wanted.agg(F.max(F.length("term"))).first()[0] or 1
+    tasks = 4 * mentions.sparkSession.sparkContext.defaultParallelism
+    frequency = mentions.groupBy(keyword).agg(F.count(F.lit(1)).alias("_n")).repartition(tasks)  # few rows, but long words have many parts
+    parts = frequency.where(F.length(keyword) > 0).select(keyword, "_n", F.explode(parts_of(F.col(keyword), longest)).alias("term"))
+    best = cut(top(parts.join(small(wanted), "term"), ["term"], "_n", keyword, most).select("term", keyword, "_n"))
+    chosen = cut(top(asked.join(best, "term").select(query, keyword, "_n").distinct(), [query], "_n", keyword, most).select(query, keyword))
+    nth = F.dense_rank().over(W.partitionBy(keyword).orderBy(item))
+    met = mentions.select(item, keyword).join(small(chosen.select(keyword).distinct()), keyword)
+    first = cut(met.withColumn("_r", nth).where(F.col("_r") <= items).distinct())
+    bounds = chosen.join(first.where(F.col("_r") == items).select(keyword, F.col(item).alias("_last")), keyword).groupBy(query).agg(F.min("_last").alias("_last"))
+    found = chosen.join(bounds, query, "left").join(first.drop("_r"), keyword).where(F.col("_last").isNull() | (F.col(item) <= F.col("_last"))).select(query, item).distinct()
     return found.withColumn("_r", F.row_number().over(W.partitionBy(query).orderBy(item))).where(F.col("_r") <= items).drop("_r")
 
 

@@ -309,3 +309,25 @@ def test_communities_and_dense_ids(spark):
     assert set(got) == set("pqrxyz") and len({got[n] for n in "pqr"}) == 1 and len({got[n] for n in "xyz"}) == 1 and got["p"] != got["x"]
     ids = sorted((r.a, r.id) for r in graphs.dense_ids(df, "a").collect())
     assert [i for _, i in ids] == list(range(len(ids)))
+
+
+def test_keywords_of_many_queries_and_items(spark):
+    """A term of every query that all keywords hold, and a keyword of every item, are not multiplied by each other."""
+    import time
+    from collections import Counter
+
+    n = 15_000
+    terms = [(f"q{i:05d}", t) for i in range(n) for t in ("a", f"b{i % 7}")]
+    mentions = [(f"i{i:05d}", w) for i in range(n) for w in ("a", f"a{i % 40}x", f"cb{i % 9}")]
+    began = time.time()
+    found: dict[str, list] = {}
+    df = search.by_keyword(spark.createDataFrame(terms, "q string, term string"), spark.createDataFrame(mentions, "i string, w string"), "q", "i", "w", 3, 5)
+    for r in df.collect():
+        found.setdefault(r.q, []).append(r.i)
+    assert time.time() - began < 45
+    count = Counter(w for _, w in mentions)
+    for q in ("q00000", "q00006", "q14999"):
+        mine = [t for x, t in terms if x == q]
+        chosen = sorted((w for w in count if any(t in w for t in mine)), key=lambda w: (-count[w], w))[:3]
+        assert sorted(found[q]) == sorted({i for i, w in mentions if w in chosen})[:5]
+    assert len(found) == n
