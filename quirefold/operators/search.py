@@ -22,6 +22,7 @@ from quirefold.session import cut, read_folder, scratch, spread
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
 BROADCAST_ROWS, BROADCAST_CHARS, BLOCK = 200_000, 4_000_000, 10_000
+ASKED, DOCS, HOT = 25_000, 16_384, 256
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_CHARS) -> DataFrame:
@@ -31,34 +32,273 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_CHARS
     return F.broadcast(df) if n <= rows and chars <= size else df
 
 
+class _Best:
+    """The ``k`` best items of each of ``n`` queries, with all that lie within ``margin`` of the last of them; ``least`` bounds what can still count."""
+
+    def __init__(self, n: int, k: int, margin: float, least: float):
+        self.k, self.margin, self.least = k, margin, np.full(n, least)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = self.new = 0
+
+    def add(self, q: np.ndarray, item: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((q, item, score))
+        self.new += len(q)
+        if self.new > max(self.held, 1 << 18):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, item, score = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *self.parts))
+        order = np.lexsort((-score, q))
+        q, item, score = q[order], item[order], score[order]
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(q)])
+        full = sizes >= self.k
+        self.least[q[starts[full]]] = np.maximum(self.least[q[starts[full]]], score[starts[full] + self.k - 1] - self.margin)
+        keep = score >= self.least[q]
+        self.parts = [(q[keep], item[keep], score[keep])]
+        self.held, self.new = int(keep.sum()), 0
+        return self.parts[0]
+
+
+_SPACES = np.zeros(0x110000, bool)
+_SPACES[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True  # text.SPACE
+_SPACES[0x2000:0x200B] = True
+
+
+class _Grams:
+    """The trigrams and tetragrams of texts as numbers: a trigram by its place among the wanted ones, a tetragram by its trigram's place and its last character."""
+
+    def __init__(self, three: np.ndarray, four: np.ndarray):
+        self.three, self.four = three, four
+        self.size = len(three) + len(four)
+
+    @staticmethod
+    def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text's number, character) without white space, and the lengths so counted."""
+        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        keep = ~_SPACES[c]
+        at, c = at[keep], c[keep].astype(np.int64)
+        return at, c, np.bincount(at, minlength=len(texts))
+
+    @staticmethod
+    def triples(at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a trigram begins, and its three characters in one number."""
+        begins = np.flatnonzero(at[2:] == at[:-2])
+        return begins, c[begins] << 42 | c[begins + 1] << 21 | c[begins + 2]
+
+    @staticmethod
+    def place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The places of keys in a sorted table, -1 for those it hasn't."""
+        if not len(table):
+            return np.full(len(keys), -1)
+        i = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[i] == keys, i, -1)
+
+    @classmethod
+    def of(cls, texts: list[str]) -> _Grams:
+        """All grams of some texts."""
+        at, c, _ = cls.characters(texts)
+        begins, triple = cls.triples(at, c)
+        three = np.unique(triple)
+        four = np.flatnonzero(at[begins] == np.r_[at, -1][begins + 3])
+        return cls(three, np.unique(cls.place(three, triple[four]) << 21 | c[begins[four] + 3]))
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text's number, gram) of each wanted gram where it stands, and the texts' lengths."""
+        at, c, sizes = self.characters(texts)
+        begins, triple = self.triples(at, c)
+        i = self.place(self.three, triple)
+        begins, i = begins[i >= 0], i[i >= 0]
+        longer = np.flatnonzero(at[begins] == np.r_[at, -1][begins + 3])
+        j = self.place(self.four, i[longer] << 21 | c[begins[longer] + 3])
+        longer, j = longer[j >= 0], j[j >= 0]
+        return np.r_[at[begins], at[begins[longer]]], np.r_[i, j + len(self.three)], sizes
+
+
+def _length(bare: np.ndarray) -> np.ndarray:
+    """How many grams a text of so many characters has."""
+    return sum(np.maximum(bare - n + 1, 0) for n in T.GRAM_SIZES)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together or cut to blocks of at most so many rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            part = b.slice(at, rows - size)
+            held, size, at = [*held, part], size + part.num_rows, at + part.num_rows
+            if size == rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, digits: int = 9) -> DataFrame:
     """(query_key, key, score, place): the k best texts of each query by BM25 over character n-grams.
 
-    Only postings of grams that some query has are kept; the corpus-wide numbers
-    (texts, mean length, document frequencies) are aggregates.  A negative
-    inverse frequency is raised to EPSILON times the mean over the whole vocabulary
-    of the corpus, which is counted only where some gram asked for needs it; so a
-    score doesn't hang on what else is asked.
+    Equal texts and equal queries are one each until the end.  The queries are dealt
+    into blocks of about ASKED, which lie in the shared folder; a task numbers the grams of
+    a block's queries, reads only those in its texts, and adds up a query's scores over
+    DOCS texts at a time.  What leaves a task is a count a gram, and the k best of each query.
+    A negative inverse frequency is raised to EPSILON times the mean over the whole
+    vocabulary of the corpus, which is counted only where some gram asked for needs it; so
+    a score doesn't hang on what else is asked.
+
+    Of the grams that stand in most texts (at most HOT), a query leaves those out at first whose
+    greatest weights together are less than half the score of its k-th text so far; they
+    are added for the texts that can still come to that score.
     """
-    docs = spread(docs.select(key, text))
-    sized = docs.where(F.length(text) >= 3).select(key, F.explode(T.char_grams(F.col(text))).alias("gram"))
-    length = F.length(F.regexp_replace(F.col(text), f"[{T.SPACE}]+", ""))
-    lengths = docs.where(F.length(text) >= 3).select(key, sum((F.greatest(length - n + 1, F.lit(0)) for n in T.GRAM_SIZES), F.lit(0)).alias("len"))
-    total, mean = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
-    asked = queries.select(query_key, F.explode(T.char_grams(F.col(query_text))).alias("gram")).groupBy(query_key, "gram").agg(F.count(F.lit(1)).alias("times"))
-    wanted = asked.select("gram").distinct()
-    postings = cut(sized.join(small(wanted), "gram").groupBy("gram", key).agg(F.count(F.lit(1)).alias("tf")))
-    df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.select("gram", (F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    idf = raw
-    if not raw.where("idf < 0").isEmpty():
-        every = docs.where(F.length(text) >= 3).select(F.explode(F.array_distinct(T.char_grams(F.col(text)))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        average = every.agg(F.avg(F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
-        idf = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(EPSILON * average)).otherwise(F.col("idf")))
-    scored = postings.join(idf, "gram").join(lengths, key)
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-    hits = scored.select("gram", key, weight.alias("w")).join(asked, "gram").groupBy(query_key, key).agg(F.round(F.sum(F.col("w") * F.col("times")), digits).alias("score"))
-    return top(hits.where("score > 0"), [query_key], "score", key, k)
+    spark, kind, query_kind = docs.sparkSession, dict(docs.dtypes)[key], dict(queries.dtypes)[query_key]
+    held = docs.select(key, text).where(F.length(text) >= 3)
+    held = cut(held.groupBy(text).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_n")))
+    asked = cut(queries.where(F.length(query_text) >= 3).groupBy(query_text).agg(F.min(query_key).alias("_q")))
+    blocks = max(1, math.ceil(asked.count() / ASKED))
+    folder = scratch(spark, "asked")
+    asked.withColumn("block", F.pmod(F.xxhash64(query_text), F.lit(blocks))).write.partitionBy("block").parquet(folder)
+    rows = spread(held.select(key, text, "_n"))
+    total = held.agg(F.sum("_n")).first()[0] or 0
+    types = [to_arrow_type(_parse_datatype_string(t)) for t in (query_kind, kind)]
+
+    def wanted(block: int) -> tuple[list, list[str], _Grams]:
+        table = read_folder(os.path.join(folder, f"block={block}"), ["_q", query_text])
+        names, texts = ([], []) if table is None else (table.column(0).to_pylist(), table.column(1).to_pylist())
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        return [names[i] for i in order], [texts[i] for i in order], _Grams.of(texts)
+
+    def count(block: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams = wanted(block)[2]
+            df, size = np.zeros(grams.size, np.int64), 0
+            for b in _blocks(batches, 4096):
+                at, g, bare = grams.read(b.column(1).to_pylist())
+                n = b.column(2).to_numpy()
+                one = np.unique(at * grams.size + g)
+                df += np.bincount(one % grams.size, n[one // grams.size], grams.size).astype(np.int64) if len(one) else 0
+                size += int((_length(bare) * n).sum())
+            found = np.flatnonzero(df)
+            out = pa.table({"gram": np.r_[-1, found], "df": np.r_[size, df[found]]})
+            yield from out.to_batches(10_000)
+
+        return rows.mapInArrow(run, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df"))
+
+    counted = scratch(spark, "counted")
+    for b in range(blocks):
+        count(b).write.parquet(os.path.join(counted, f"block={b}"))
+    counts = spark.read.schema("gram bigint, df bigint, block int").parquet(counted)
+    size = counts.where("gram < 0 AND block = 0").agg(F.max("df")).first()[0] or 0
+    mean = size / total if total and size else 1.0
+    least = 0.0
+    if total and not counts.where((F.col("gram") >= 0) & (F.log(F.lit(total) - F.col("df") + 0.5) < F.log(F.col("df") + 0.5))).isEmpty():
+        n = F.col("df")
+        least = EPSILON * vocabulary(rows, text, "_n").agg(F.avg(F.log(F.lit(total) - n + 0.5) - F.log(n + 0.5))).first()[0]
+
+    def of(block: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, texts, grams = wanted(block)
+            if not names or not grams.size:
+                return
+            df = np.zeros(grams.size)
+            table = read_folder(os.path.join(counted, f"block={block}"), ["gram", "df"])
+            g, n = table.column("gram").to_numpy(), table.column("df").to_numpy()
+            df[g[g >= 0]] = n[g >= 0]
+            idf = np.log(total - df + 0.5) - np.log(df + 0.5)
+            idf = np.where(idf < 0, least, idf)
+            q, g, _ = grams.read(texts)
+            order = np.lexsort((df[g], q))
+            q, g = q[order], g[order]
+            ends = np.searchsorted(q, np.arange(len(names) + 1))
+            top_ = np.argsort(-df, kind="stable")[:HOT]
+            top_ = top_[df[top_] > total / 100]
+            column = np.full(grams.size, -1)
+            column[top_] = np.arange(len(top_))
+            best = _Best(len(names), k, 2 * 10.0**-digits, 5e-324)
+            ids: list = []
+            for b in _blocks(batches, DOCS):
+                m = b.num_rows
+                at, gram, bare = grams.read(b.column(1).to_pylist())
+                both, tf = np.unique(gram * m + at, return_counts=True)
+                gram, at = both // m, both % m
+                w = idf[gram] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * _length(bare)[at] / mean))
+                begin = np.searchsorted(gram, np.arange(grams.size + 1))
+                often = np.zeros((m, len(top_)))
+                hot = np.flatnonzero(column[gram] >= 0)
+                often[at[hot], column[gram[hot]]] = w[hot]
+                bound = often.max(0, initial=0.0)
+                one: tuple[list, list, list] = ([], [], [])
+                for j in range(len(names)):
+                    own = g[ends[j] : ends[j + 1]]
+                    known, late, rest = best.least[j], own[:0], 0.0
+                    if known > 1e-300:
+                        c = column[own]
+                        tail = own[c >= 0]
+                        sums = np.cumsum(bound[column[tail[::-1]]])
+                        late = tail[len(tail) - int(np.searchsorted(sums, known / 2)) :]
+                        if len(late):
+                            rest = float(sums[len(late) - 1])
+                            own = own[: len(own) - len(late)] if len(late) == (c >= 0).sum() and (c[len(own) - len(late) :] >= 0).all() else np.r_[own[c < 0], tail[: len(tail) - len(late)]]
+                    spans = [slice(x, y) for x, y in zip(begin[own].tolist(), begin[own + 1].tolist()) if x < y]
+                    if not spans:
+                        if not len(late):
+                            continue
+                        score = np.zeros(m)
+                    else:
+                        score = np.bincount(np.concatenate([at[s] for s in spans]), np.concatenate([w[s] for s in spans]), m)
+                    near = np.flatnonzero(score >= known - rest - 1e-9 if len(late) else score >= known)
+                    if len(late) and len(near):
+                        score = score[near] + often[near][:, column[late]].sum(1)
+                        near, score = near[score >= known], score[score >= known]
+                    else:
+                        score = score[near]
+                    if len(near) > k:
+                        kth = np.partition(score, len(score) - k)[len(score) - k] - best.margin
+                        near, score = near[score >= kth], score[score >= kth]
+                        best.least[j] = max(best.least[j], kth)
+                    if len(near):
+                        one[0].append(np.full(len(near), j))
+                        one[1].append(near + len(ids))
+                        one[2].append(score)
+                ids += b.column(0).to_pylist()
+                if one[0]:
+                    best.add(*map(np.concatenate, one))
+                    best.settle()
+            q, item, score = best.settle()
+            for x in range(0, len(q), 10_000):
+                p = slice(x, x + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q[p]], type=types[0]), pa.array([ids[i] for i in item[p]], type=types[1]), pa.array(score[p])], names=["_q", key, "score"])
+
+        return rows.select(key, text).mapInArrow(run, f"_q {query_kind}, `{key}` {kind}, score double")
+
+    found = reduce(DataFrame.unionByName, [of(b) for b in range(blocks)]).withColumn("score", F.round("score", digits)).where("score > 0")
+    best = cut(top(found, ["_q"], "score", key, k).drop("place"))
+    copies = held.where("_n > 1").select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    met = best.select(F.col(key).alias("_k")).distinct().join(copies, "_k")
+    others = docs.select(key, F.col(text).alias("_t")).join(met, "_t").select("_k", key)
+    first = others.withColumn("_c", F.row_number().over(W.partitionBy("_k").orderBy(key))).where(F.col("_c") <= k).where(F.col("_k") != F.col(key)).drop("_c")
+    every = best.unionByName(best.withColumnRenamed(key, "_k").join(first, "_k").select("_q", key, "score"))
+    ranked = top(every, ["_q"], "score", key, k)
+    same = queries.select(query_key, query_text).join(asked, query_text).select(query_key, "_q")
+    return ranked.join(small(same), "_q").select(query_key, key, "score", "place")
+
+
+def vocabulary(docs: DataFrame, text: str, times: str) -> DataFrame:
+    """(triple, last, df): every gram of some texts and how many texts have it, each text counted ``times``; ``last`` is -1 for a trigram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches, 8192):
+            texts, n = b.column(0).to_pylist(), b.column(1).to_numpy()
+            grams = _Grams.of(texts)
+            at, g, _ = grams.read(texts)
+            one = np.unique(at * max(grams.size, 1) + g)
+            df = np.bincount(one % grams.size, n[one // grams.size], grams.size).astype(np.int64) if len(one) else np.zeros(0, np.int64)
+            triple = np.r_[grams.three, grams.three[grams.four >> 21]]
+            last = np.r_[np.full(len(grams.three), -1), grams.four & 0x1FFFFF]
+            yield from pa.table({"triple": triple, "last": last, "df": df}).to_batches(50_000)
+
+    return docs.select(text, times).mapInArrow(run, "triple bigint, last bigint, df bigint").groupBy("triple", "last").agg(F.sum("df").alias("df"))
 
 
 def top(df: DataFrame, group: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -92,35 +332,49 @@ def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: s
             lengths = [len(v) for v in table.column("v").to_pylist()]
             dims = max(lengths)
             fit = [j for j, n in enumerate(lengths) if n == dims]
-            q = np.array([table.column("v")[j].as_py() for j in fit])
+            values = table.column("v").to_pylist()
+            q = np.array([values[j] for j in fit])
             norms = np.linalg.norm(q, axis=1)
             q, names = q[norms > 0] / norms[norms > 0, None], [names[j] for j, n in zip(fit, norms) if n > 0]
-            best: list[list[tuple]] = [[] for _ in names]
+            best = _Best(len(names), k, 2e-9, -2.0 if least is None else least - 1e-9)
+            kept: list = []
+            own: dict = {}
+            for j, name in enumerate(names):
+                own.setdefault(name, []).append(j)
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
-                    vs, ids = part.column(1).to_pylist(), part.column(0).to_pylist()
-                    keep = [j for j, v in enumerate(vs) if len(v) == dims]
-                    if not keep:
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    ids, column = part.column(0).to_pylist(), part.column(1)
+                    sizes = np.diff(column.offsets.to_numpy())
+                    right = np.flatnonzero(sizes == dims)
+                    if not len(right):
                         continue
-                    x = np.array([vs[j] for j in keep])
+                    x = column.values.to_numpy()[column.offsets.to_numpy()[right][:, None] + np.arange(dims)]
                     n = np.linalg.norm(x, axis=1)
-                    x, ids = x[n > 0] / n[n > 0, None], [ids[j] for j, m in zip(keep, n) if m > 0]
-                    score = np.round(q @ x.T, 9)
-                    for j, row in enumerate(score):
-                        cut_ = -2.0 if least is None else least
-                        if len(best[j]) >= k:
-                            cut_ = max(cut_, best[j][-1][0])
-                        near = np.flatnonzero(row >= cut_)
-                        if len(near) > 4 * k:
-                            near = near[row[near] >= np.partition(row[near], -k - 1)[-k - 1]]  # one more, as the query itself may be among them
-                        found = [(float(row[c]), ids[c]) for c in near if itself or ids[c] != names[j]]
-                        if found:
-                            best[j] = sorted(best[j] + found, key=lambda f: (-f[0], f[1]))[:k]
-            flat = [(names[j], i, s) for j, fs in enumerate(best) for s, i in fs]
-            for at in range(0, len(flat), 10_000):
-                one = list(zip(*flat[at : at + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(one[0], type=types[0]), pa.array(one[1], type=types[1]), pa.array(one[2], type=pa.float64())], names=["query", "hit", "score"])
+                    x, ids = x[n > 0] / n[n > 0, None], [ids[j] for j in right[n > 0]]
+                    if not ids:
+                        continue
+                    for lo in range(0, len(names), 512):
+                        score = q[lo : lo + 512] @ x.T
+                        low = best.least[lo : lo + 512]
+                        if len(ids) > k and (low < -1.5).any():
+                            np.maximum(low, np.partition(score, -k - 1, axis=1)[:, -k - 1] - best.margin, out=low)  # one more, as the query itself may be among them
+                        row, item = np.nonzero(score >= low[:, None])
+                        found = score[row, item]
+                        if not itself:
+                            same = [(j - lo, i) for i, x_ in enumerate(ids) for j in own.get(x_, ()) if lo <= j < lo + 512]
+                            if same:
+                                other = ~np.isin(row * len(ids) + item, [j * len(ids) + i for j, i in same])
+                                row, item, found = row[other], item[other], found[other]
+                        best.add(row + lo, item + len(kept), found)
+                    kept += ids
+            query, item, score = best.settle()
+            score = np.round(score, 9)
+            if least is not None:
+                query, item, score = query[score >= least], item[score >= least], score[score >= least]
+            for at in range(0, len(query), 10_000):
+                p = slice(at, at + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query[p]], type=types[0]), pa.array([kept[i] for i in item[p]], type=types[1]), pa.array(score[p])], names=["query", "hit", "score"])
 
         types = [to_arrow_type(_parse_datatype_string(t)) for t in (query_kind, kind)]
         return clean(rows, key, vector).mapInArrow(run, schema)
@@ -252,11 +506,15 @@ def intent(text: Column) -> Column:
     )
 
 
+def raised_by_intent(score: Column, tier: Column, intent_: Column, by: float = 0.15) -> Column:
+    """A score raised for primary sources where facts are asked, for others where readings are."""
+    favoured = F.when(intent_ == "factual", "primary").when(intent_ == "interpretive", "secondary")
+    return score + F.when(tier == favoured, by).otherwise(0.0)
+
+
 def boosted_by_intent(df: DataFrame, query: str, score: str, item: str, tier: str, intent_: str, by: float = 0.15) -> DataFrame:
-    """Scores raised for primary sources where facts are asked, for others where readings are, and places anew."""
-    favoured = F.when(F.col(intent_) == "factual", "primary").when(F.col(intent_) == "interpretive", "secondary")
-    up = F.col(score) + F.when(F.col(tier) == favoured, by).otherwise(0.0)
-    return places(df.withColumn("boosted", up), [query], "boosted", item).drop("of")
+    """Scores raised by intent, and places anew."""
+    return places(df.withColumn("boosted", raised_by_intent(F.col(score), F.col(tier), F.col(intent_), by)), [query], "boosted", item).drop("of")
 
 
 def header(title: Column, chapter: Column, ordinal: Column, text: Column) -> Column:

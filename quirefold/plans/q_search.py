@@ -12,6 +12,7 @@ from quirefold.operators import graphs, metrics, providers, search
 from quirefold.operators.ranking import places
 from quirefold.plans.q_corpus import books, chunks_now, pages_now
 from quirefold.plans.registry import BOOKS, CHUNKS, PAGES, query
+from quirefold.session import cut, spread
 from quirefold.tables import load
 
 _BEST = """best AS (SELECT query_id, leg, chunk_id, max(score) AS s FROM search_hit WHERE score IS NOT NULL AND CAST(score AS VARCHAR) NOT IN ('nan', '-nan') GROUP BY ALL)"""
@@ -187,30 +188,36 @@ k AS (SELECT *, CASE WHEN length(sb) < 3 THEN 0 ELSE len(list_intersect({_TRI.fo
 held AS (SELECT *, round(rel, 9) AS relevance, round(0.7 * rel + 0.3 * least(boosted, 1.0), 6) AS score, CASE WHEN tier IN ('primary', 'secondary') THEN tier ELSE 'secondary' END AS ribbon FROM k)"""
 
 
-def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, chunk_id, tier, relevance, score, verdict): the hundred best chunks of every link's span, reranked and verified.
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, chunk_id, tier, span, text, boosted, verdict): the hundred best chunks of every link's span, raised by intent and verified.
 
     The lexical leg searches the span, the dense one the vector of the chunk it stands in.
     """
     g = load(spark, d, "linking_gold").where("pair_id IS NOT NULL AND length(trim(gold_span)) >= 4")
-    q = g.groupBy(F.col("pair_id").alias("query_id")).agg(F.max("gold_span").alias("span"), F.max("secondary_chunk_id").alias("source"))
-    c = chunks_now(spark, d, ["tier", "text", "embedding"])
+    q = cut(g.groupBy(F.col("pair_id").alias("query_id")).agg(F.max("gold_span").alias("span"), F.max("secondary_chunk_id").alias("source")))
+    c = cut(chunks_now(spark, d, ["tier", "text", "embedding"]))
     lexical = search.bm25(c, "id", "text", q, "query_id", "span", 100, 6).select("query_id", F.col("id").alias("chunk_id"), "place")
-    asked = q.join(c.select(F.col("id").alias("source"), "embedding"), "source").select("query_id", "embedding")
-    dense = search.knn(c, "id", "embedding", asked, "query_id", 100, itself=True).select(F.col("query").alias("query_id"), F.col("hit").alias("chunk_id"), "place")
+    sources = c.select("id", "embedding").join(q.select(F.col("source").alias("id")).distinct(), "id", "left_semi")
+    near = search.knn(spread(c.select("id", "embedding")), "id", "embedding", sources, "id", 100, itself=True)
+    dense = near.join(q.select("query_id", F.col("source").alias("query")), "query").select("query_id", F.col("hit").alias("chunk_id"), "place")
     fused = lexical.unionByName(dense).groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (search.RRF + F.col("place"))), 12).alias("rrf"))
-    best = search.top(fused, ["query_id"], "rrf", "chunk_id", 100).drop("place")
-    rows = best.join(q.select("query_id", "span", search.intent(F.col("span")).alias("intent")), "query_id").join(c.select(F.col("id").alias("chunk_id"), "tier", "text"), "chunk_id")
-    up = search.boosted_by_intent(rows, "query_id", "rrf", "chunk_id", "tier", "intent")
-    ranked = providers.rerank(up, ["query_id", "chunk_id"], "span", "text").join(up, ["query_id", "chunk_id"])
+    best = cut(search.top(fused, ["query_id"], "rrf", "chunk_id", 100).drop("place"))
+    rows = best.join(c.select(F.col("id").alias("chunk_id"), "tier", "text"), "chunk_id").join(search.small(q.select("query_id", "span", search.intent(F.col("span")).alias("intent"))), "query_id")
+    up = search.raised_by_intent(F.col("rrf"), F.col("tier"), F.col("intent"))
+    return rows.select("query_id", "chunk_id", "tier", "span", "text", up.alias("boosted"), search.verdict(F.col("span"), F.col("text")).alias("verdict"))
+
+
+def _hybrid(found: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, tier, relevance, score) of found chunks, reranked."""
+    ranked = providers.rerank(found, ["query_id", "chunk_id"], "span", "text").join(found, ["query_id", "chunk_id"])
     combined = 0.7 * F.col("relevance") + 0.3 * F.least("boosted", F.lit(1.0))
-    return ranked.select("query_id", "chunk_id", "tier", F.round("relevance", 9).alias("relevance"), F.round(combined, 6).alias("score"), search.verdict(F.col("span"), F.col("text")).alias("verdict"))
+    return ranked.select("query_id", "chunk_id", "tier", F.round("relevance", 9).alias("relevance"), F.round(combined, 6).alias("score"))
 
 
 @query(f"""WITH {_HYBRID} SELECT query_id, chunk_id, ribbon, score, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ribbon ORDER BY relevance DESC, score DESC, chunk_id) AS nth FROM held WHERE ok) WHERE nth <= CASE ribbon WHEN 'primary' THEN 5 ELSE 3 END""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical and dense legs, fused by rank, raised by intent, reranked, verified, laid out by ribbon."""
-    passed = _hybrid(spark, d).where("verdict = 'verified'")
+    """Lexical and dense legs, fused by rank, raised by intent, verified, reranked, laid out by ribbon."""
+    passed = _hybrid(cut(_found(spark, d).where("verdict = 'verified'")))
     ribbon = F.when(F.col("tier").isin("primary", "secondary"), F.col("tier")).otherwise("secondary")
     nth = F.row_number().over(W.partitionBy("query_id", "ribbon").orderBy(F.desc("relevance"), F.desc("score"), "chunk_id"))
     laid = passed.withColumn("ribbon", ribbon).withColumn("nth", nth)
@@ -223,7 +230,7 @@ SELECT 'ungated' AS rows, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6) AS verif
 UNION ALL SELECT 'gated', round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6), round(avg(CASE WHEN ok THEN 0 ELSE 1 END), 6), 0.0, count(*) FROM held WHERE ok""")
 def faithfulness(spark: SparkSession, d: str) -> DataFrame:
     """How many found chunks are verified, how many not, and how often a link's own chunk is found and refused: before and behind the gate."""
-    rows = _hybrid(spark, d).select("query_id", "chunk_id", (F.col("verdict") == "verified").alias("ok"))
+    rows = cut(_found(spark, d).select("query_id", "chunk_id", (F.col("verdict") == "verified").alias("ok")))
     gold = load(spark, d, "linking_gold").select(F.col("pair_id").alias("query_id"), F.explode("primary_chunk_ids").alias("chunk_id")).distinct()
     asked = load(spark, d, "linking_gold").where("pair_id IS NOT NULL AND length(trim(gold_span)) >= 4").select(F.col("pair_id").alias("query_id")).distinct()
     return metrics.faithfulness(rows, gold.join(asked, "query_id", "left_semi"), "query_id", "chunk_id", "ok")

@@ -311,6 +311,39 @@ def test_communities_and_dense_ids(spark):
     assert [i for _, i in ids] == list(range(len(ids)))
 
 
+def test_bm25_of_many_queries_with_grams_in_common(spark):
+    """1,500 queries by 4,000 texts that share most grams, copies among them: as a plain loop has it, and soon."""
+    import math
+    import random
+    import time
+    from collections import Counter
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    texts = {f"t{i:05d}": "the " + " ".join(rng.choices(words, weights=range(60, 0, -1), k=30)) for i in range(3_600)}
+    texts |= {f"u{i:05d}": texts[f"t{i % 20:05d}"] for i in range(400)}
+    asked = {f"q{i:04d}": texts[f"t{i % 1400:05d}"][5:125] for i in range(1_500)}
+    began = time.time()
+    found: dict[str, list] = {}
+    df = search.bm25(spark.createDataFrame(list(texts.items()), "i string, t string"), "i", "t", spark.createDataFrame(list(asked.items()), "q string, x string"), "q", "x", 30, 6)
+    for r in df.collect():
+        found.setdefault(r.q, []).append((r.place, r.i, r.score))
+    assert time.time() - began < 90
+    grams = {i: Counter(b[j : j + n] for b in ["".join(t.split())] for n in (3, 4) for j in range(len(b) - n + 1)) for i, t in texts.items()}
+    df_ = Counter(g for x in grams.values() for g in x)
+    mean = sum(sum(x.values()) for x in grams.values()) / len(grams)
+    idf = {g: math.log(len(texts) - n + 0.5) - math.log(n + 0.5) for g, n in df_.items()}
+    low = 0.25 * sum(idf.values()) / len(idf)
+    idf = {g: low if x < 0 else x for g, x in idf.items()}
+    assert len(found) == 1_500
+    for q in ("q0000", "q0019", "q0700", "q1450"):
+        b = "".join(asked[q].split())
+        own = Counter(b[j : j + n] for n in (3, 4) for j in range(len(b) - n + 1))
+        scores = {i: round(sum(m * idf[g] * x[g] * 2.5 / (x[g] + 1.5 * (0.25 + 0.75 * sum(x.values()) / mean)) for g, m in own.items() if g in x), 6) for i, x in grams.items()}
+        want = sorted(((i, s) for i, s in scores.items() if s > 0), key=lambda x: (-x[1], x[0]))[:30]
+        assert [(i, round(s, 5)) for _, i, s in sorted(found[q])] == [(i, round(s, 5)) for i, s in want]
+
+
 def test_keywords_of_many_queries_and_items(spark):
     """A term of every query that all keywords hold, and a keyword of every item, are not multiplied by each other."""
     import time
