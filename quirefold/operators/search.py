@@ -22,7 +22,7 @@ from quirefold.session import cut, read_folder, scratch, spread
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
 BROADCAST_ROWS, BROADCAST_CHARS, BLOCK = 200_000, 4_000_000, 10_000
-ASKED, DOCS, HOT = 25_000, 16_384, 256
+ASKED, DOCS = 25_000, 16_384
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_CHARS) -> DataFrame:
@@ -147,10 +147,6 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     A negative inverse frequency is raised to EPSILON times the mean over the whole
     vocabulary of the corpus, which is counted only where some gram asked for needs it; so
     a score doesn't hang on what else is asked.
-
-    Of the grams that stand in most texts (at most HOT), a query leaves those out at first whose
-    greatest weights together are less than half the score of its k-th text so far; they
-    are added for the texts that can still come to that score.
     """
     spark, kind, query_kind = docs.sparkSession, dict(docs.dtypes)[key], dict(queries.dtypes)[query_key]
     held = docs.select(key, text).where(F.length(text) >= 3)
@@ -159,7 +155,8 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     blocks = max(1, math.ceil(asked.count() / ASKED))
     folder = scratch(spark, "asked")
     asked.withColumn("block", F.pmod(F.xxhash64(query_text), F.lit(blocks))).write.partitionBy("block").parquet(folder)
-    rows = spread(held.select(key, text, "_n"))
+    cores, splits = spark.sparkContext.defaultParallelism, held.rdd.getNumPartitions()
+    rows = held.select(key, text, "_n").repartition(cores * max(1, splits // cores))  # no last task alone
     total = held.agg(F.sum("_n")).first()[0] or 0
     types = [to_arrow_type(_parse_datatype_string(t)) for t in (query_kind, kind)]
 
@@ -208,13 +205,9 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
             idf = np.log(total - df + 0.5) - np.log(df + 0.5)
             idf = np.where(idf < 0, least, idf)
             q, g, _ = grams.read(texts)
-            order = np.lexsort((df[g], q))
+            order = np.lexsort((g, q))
             q, g = q[order], g[order]
             ends = np.searchsorted(q, np.arange(len(names) + 1))
-            top_ = np.argsort(-df, kind="stable")[:HOT]
-            top_ = top_[df[top_] > total / 100]
-            column = np.full(grams.size, -1)
-            column[top_] = np.arange(len(top_))
             best = _Best(len(names), k, 2 * 10.0**-digits, 5e-324)
             ids: list = []
             for b in _blocks(batches, DOCS):
@@ -224,35 +217,20 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
                 gram, at = both // m, both % m
                 w = idf[gram] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * _length(bare)[at] / mean))
                 begin = np.searchsorted(gram, np.arange(grams.size + 1))
-                often = np.zeros((m, len(top_)))
-                hot = np.flatnonzero(column[gram] >= 0)
-                often[at[hot], column[gram[hot]]] = w[hot]
-                bound = often.max(0, initial=0.0)
+                spare = np.zeros(0, np.int64), np.zeros(0)  # used again and again, as fresh memory costs more than the sums
                 one: tuple[list, list, list] = ([], [], [])
                 for j in range(len(names)):
                     own = g[ends[j] : ends[j + 1]]
-                    known, late, rest = best.least[j], own[:0], 0.0
-                    if known > 1e-300:
-                        c = column[own]
-                        tail = own[c >= 0]
-                        sums = np.cumsum(bound[column[tail[::-1]]])
-                        late = tail[len(tail) - int(np.searchsorted(sums, known / 2)) :]
-                        if len(late):
-                            rest = float(sums[len(late) - 1])
-                            own = own[: len(own) - len(late)] if len(late) == (c >= 0).sum() and (c[len(own) - len(late) :] >= 0).all() else np.r_[own[c < 0], tail[: len(tail) - len(late)]]
-                    spans = [slice(x, y) for x, y in zip(begin[own].tolist(), begin[own + 1].tolist()) if x < y]
-                    if not spans:
-                        if not len(late):
-                            continue
-                        score = np.zeros(m)
-                    else:
-                        score = np.bincount(np.concatenate([at[s] for s in spans]), np.concatenate([w[s] for s in spans]), m)
-                    near = np.flatnonzero(score >= known - rest - 1e-9 if len(late) else score >= known)
-                    if len(late) and len(near):
-                        score = score[near] + often[near][:, column[late]].sum(1)
-                        near, score = near[score >= known], score[score >= known]
-                    else:
-                        score = score[near]
+                    x, y = begin[own], begin[own + 1]
+                    n = int((y - x).sum())
+                    if not n:
+                        continue
+                    if n > len(spare[0]):
+                        spare = np.zeros(2 * n, np.int64), np.zeros(2 * n)
+                    spans = [slice(u, v) for u, v in zip(x.tolist(), y.tolist()) if u < v]
+                    score = np.bincount(np.concatenate([at[s] for s in spans], out=spare[0][:n]), np.concatenate([w[s] for s in spans], out=spare[1][:n]), m)
+                    near = np.flatnonzero(score >= best.least[j])
+                    score = score[near]
                     if len(near) > k:
                         kth = np.partition(score, len(score) - k)[len(score) - k] - best.margin
                         near, score = near[score >= kth], score[score >= kth]
